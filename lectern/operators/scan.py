@@ -24,40 +24,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyspark.storagelevel import StorageLevel
+
+from lectern.session import ensure_checkpoint_dir
+
 DEFAULT_CHUNK = 1 << 16
 
 
 def running_scan(df: DataFrame, keys: list[str], order: str,
                  sums: dict[str, Column] | None = None,
                  lasts: dict[str, Column] | None = None,
-                 chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
+                 chunk_size: int = DEFAULT_CHUNK,
+                 materialize: bool = True) -> DataFrame:
     """Add inclusive running ``sums`` and latest-non-null ``lasts`` columns.
 
     ``order`` must be an integral column, unique within ``keys``.
+
+    The windowed rows feed two branches (chunk totals and the join back).
+    With ``materialize`` they are written once with ``checkpoint()`` to the
+    shared checkpoint folder, so neither branch recomputes the input (the
+    branches prune different columns, so the shuffle could not be reused)
+    and a lost executor re-reads files instead of re-running the lineage.
+
+    Plan shape: one shuffle of the rows on (keys, chunk) feeds a single
+    window operator that yields both the in-chunk running values and the
+    chunk totals; the one-row-per-chunk table is aggregated from that
+    already partitioned output (no second shuffle of the rows), its carry is
+    a window over chunk rows, and the join back only moves the small side.
     """
     sums = sums or {}
     lasts = lasts or {}
+    names = [*sums, *lasts]
+    if not names:
+        return df
     chunk = "_scan_chunk"
     staged = df.withColumn(chunk, F.floor(F.col(order) / F.lit(chunk_size)))
     for name, expr in {**sums, **lasts}.items():
         staged = staged.withColumn(f"_v_{name}", expr)
 
-    w_in = (Window.partitionBy(*keys, chunk).orderBy(order)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = staged
-    for name in sums:
-        local = local.withColumn(f"_l_{name}", F.sum(f"_v_{name}").over(w_in))
-    for name in lasts:
-        local = local.withColumn(
-            f"_l_{name}", F.last(f"_v_{name}", ignorenulls=True).over(w_in))
-
-    # One row per chunk: totals and the latest non-null value of the chunk.
-    aggs = [F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums]
-    aggs += [F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(order)))
-             .alias(f"_t_{n}") for n in lasts]
-    if not aggs:
-        return df
-    totals = staged.groupBy(*keys, chunk).agg(*aggs)
+    spec = Window.partitionBy(*keys, chunk).orderBy(order)
+    w_in = spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w_all = spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cols = []
+    for n in sums:
+        cols += [F.sum(f"_v_{n}").over(w_in).alias(f"_l_{n}"),
+                 F.sum(f"_v_{n}").over(w_all).alias(f"_t_{n}")]
+    for n in lasts:
+        cols += [F.last(f"_v_{n}", ignorenulls=True).over(w_in).alias(f"_l_{n}"),
+                 F.last(f"_v_{n}", ignorenulls=True).over(w_all).alias(f"_t_{n}")]
+    local = staged.select("*", *cols)
+    if materialize:
+        local = checkpointed(local)
+
+    # One row per chunk (partitioning already satisfied by the window).
+    totals = local.groupBy(*keys, chunk).agg(
+        *[F.first(f"_t_{n}").alias(f"_t_{n}") for n in names])
     w_before = (Window.partitionBy(*keys).orderBy(chunk)
                 .rowsBetween(Window.unboundedPreceding, -1))
     carry = totals.select(
@@ -72,13 +93,24 @@ def running_scan(df: DataFrame, keys: list[str], order: str,
         out = out.withColumn(name, F.col(f"_c_{name}") + F.col(f"_l_{name}"))
     for name in lasts:
         out = out.withColumn(name, F.coalesce(F.col(f"_l_{name}"), F.col(f"_c_{name}")))
-    drop = [chunk] + [f"_{p}_{n}" for p in "vlc" for n in {**sums, **lasts}]
+    drop = [chunk] + [f"_{p}_{n}" for p in "vltc" for n in names]
     return out.drop(*drop)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable, eager checkpoint computed once: the rows are cached while
+    the checkpoint files are written (otherwise writing them would run the
+    lineage a second time).  The result keeps the input's partitioning."""
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
+
+
 def dense_rank_of(df: DataFrame, keys: list[str], order: str, name: str,
-                  chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
+                  chunk_size: int = DEFAULT_CHUNK, materialize: bool = True) -> DataFrame:
     """0-based position of each row within ``keys`` ordered by ``order``."""
     ranked = running_scan(df, keys, order, sums={name: F.lit(1)},
-                          chunk_size=chunk_size)
+                          chunk_size=chunk_size, materialize=materialize)
     return ranked.withColumn(name, F.col(name) - 1)

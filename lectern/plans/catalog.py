@@ -188,6 +188,17 @@ def d3_batch_top_k(spark, sf):
                        _r(1.0 / (1.0 + F.col("d2"))).alias("score"))
 
 
+def d3_text_queries_top_k(spark, sf):
+    """``benchmark`` texts, hashed to the vector length of ``embeddings``,
+    retrieve their 10 nearest vectors."""
+    e = S.vectors(spark, sf)
+    dim = encode.vector_dimension(e)
+    bench = S.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    q = encode.encode_hashed(bench, "text", dim, out_col="qvec")
+    hits = knn.nearest(e, q, k=retrieve.MAX_K)
+    return hits.select("qid", "rk", "vec_id", _r("d2").alias("d2"))
+
+
 def _scored(spark, sf):
     return retrieve.attach_metadata(_self_hits(spark, sf), S.labelled_metadata(spark, sf))
 
@@ -349,6 +360,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "d1_squared_distance": d1_squared_distance,
     "d2_top_k_single": d2_top_k_single,
     "d3_batch_top_k": d3_batch_top_k,
+    "d3_text_queries_top_k": d3_text_queries_top_k,
     "d5_metadata_hits": d5_metadata_hits,
     "d6_dropped_hits": d6_dropped_hits,
     "d7_query_validation": d7_query_validation,

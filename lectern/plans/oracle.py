@@ -76,6 +76,17 @@ scored AS (
   SELECT h.qid, h.rk, h.vec_id, m.verse_id, m.verse, m.source, 1.0 / (1.0 + h.d2) AS score
   FROM rhits h JOIN meta m USING (vec_id))"""
 
+_TOKENS_DIM = """
+toks AS (
+  SELECT {id} AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS tok
+  FROM {table}),
+tf AS (
+  SELECT id, CAST((('0x' || substr(md5(tok), 1, 7))::BIGINT) % {dim} AS INTEGER) AS bucket,
+         count(*) AS tf
+  FROM toks GROUP BY 1, 2),
+nrm AS (SELECT id, sqrt(sum(tf * tf)::DOUBLE) AS norm FROM tf GROUP BY 1),
+w AS (SELECT tf.id, tf.bucket, ((tf.tf / nrm.norm)::FLOAT)::DOUBLE AS w FROM tf JOIN nrm USING (id))"""
+
 _TOKENS = """
 toks AS (
   SELECT {id} AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS tok
@@ -309,3 +320,19 @@ SELECT CAST(count(*) AS BIGINT) AS n_pairs,
        round(avg(0.5 * (y * d * d + (1.0 - y) * greatest(0.5 - d, 0.0) * greatest(0.5 - d, 0.0))), 6) AS loss,
        round(avg(d), 6) AS mean_distance
 FROM d"""
+
+SQL["d3_text_queries_top_k"] = "WITH " + _TOKENS_DIM.format(id="item_id", table="benchmark", dim=64) + f""",
+grid AS (
+  SELECT b.item_id AS id, g.i
+  FROM benchmark b, (SELECT unnest(range(64)) AS i) g),
+qv AS (
+  SELECT grid.id AS qid, list(coalesce(w.w, 0.0) ORDER BY grid.i) AS qvec
+  FROM grid LEFT JOIN w ON w.id = grid.id AND w.bucket = grid.i
+  GROUP BY grid.id),
+d AS (
+  SELECT qv.qid, e.vec_id, {_SQ_L2.format(a='qv.qvec', b='e.embedding')} AS d2
+  FROM qv, embeddings e)
+SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY d2, vec_id) AS INTEGER) AS rk,
+       vec_id, round(d2, 6) AS d2
+FROM d
+QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d2, vec_id) <= 10"""

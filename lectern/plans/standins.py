@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators.scan import dense_rank_of, running_scan
+from lectern.operators.scan import running_scan
+from lectern.sources.tables import read_table
 
 # Stand-in layout constants (our own test design, not reference values).
 BOOK_FILE_PREFIX = "upanishads-"
@@ -26,8 +27,16 @@ DUPLICATE_ID_MODULUS = 120
 RELEVANT_EVENTS = ("click", "purchase")
 
 
+TABLE_KEYS = {
+    "documents": "doc_id", "embeddings": "vec_id", "events": "event_id",
+    "benchmark": "item_id", "conversations": "conv_id", "labels": "doc_id",
+    "orders": "o_orderkey", "pages": "page_id",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table; small single-file scans are spread over the slots."""
+    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", TABLE_KEYS.get(name))
 
 
 def book_file(source_col="source"):
@@ -55,14 +64,20 @@ def book_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = (table(spark, sf_dir, "documents")
             .select("doc_id", "text", book_file().alias("file")))
-    docs = dense_rank_of(docs, ["file"], "doc_id", "r")
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
+    # Lines of a document without its optional part header: header, blank,
+    # two halves, blank, commentary lines, blank.
+    docs = docs.withColumn("_base", (F.size(lines) + 5).cast("long"))
+    # One running scan gives both the rank and the end offset: the part
+    # headers before and at rank r add 2 lines each, (r div 12 + 1) of them.
+    docs = running_scan(docs, ["file"], "doc_id",
+                        sums={"_n": F.lit(1).cast("long"), "_base_end": F.col("_base")})
+    r = F.col("_n") - 1
     first = lines.getItem(0)
     h = F.floor(F.length(first) / 2).cast("int")
     half1 = first.substr(F.lit(1), h)
     half2 = first.substr(h + 1, F.length(first))
     rest = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
-    r = F.col("r")
     part_word = F.element_at(F.array(*[F.lit(w) for w in PART_WORDS]),
                              (F.floor(r / VERSES_PER_PART) % len(PART_WORDS) + 1).cast("int"))
     part_block = F.when(r % VERSES_PER_PART == 0,
@@ -75,9 +90,8 @@ def book_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.array(header, F.lit(""), F.concat(F.lit("  "), half1, F.lit(" ")),
                    F.concat(F.lit("\t"), half2, F.lit("  ")), F.lit(""))
     block = F.concat(part_block, body, rest, F.array(F.lit("")))
-    docs = docs.select("file", "doc_id", block.alias("block"))
-    docs = running_scan(docs, ["file"], "doc_id",
-                        sums={"_end": F.size("block").cast("long")})
+    end = F.col("_base_end") + 2 * (F.floor(r / VERSES_PER_PART) + 1)
+    docs = docs.select("file", end.alias("_end"), block.alias("block"))
     return (docs.select("file", (F.col("_end") - F.size("block")).alias("_off"),
                         F.posexplode("block").alias("_pos", "raw"))
                 .select("file", (F.col("_off") + F.col("_pos") + 1).cast("int").alias("line_no"),
