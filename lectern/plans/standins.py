@@ -70,8 +70,11 @@ def book_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.withColumn("_base", (F.size(lines) + 5).cast("long"))
     # One running scan gives both the rank and the end offset: the part
     # headers before and at rank r add 2 lines each, (r div 12 + 1) of them.
+    # The input is a plain table scan: reading it twice is cheaper than
+    # writing a checkpoint, so the windowed rows are not materialised.
     docs = running_scan(docs, ["file"], "doc_id",
-                        sums={"_n": F.lit(1).cast("long"), "_base_end": F.col("_base")})
+                        sums={"_n": F.lit(1).cast("long"), "_base_end": F.col("_base")},
+                        materialize=False)
     r = F.col("_n") - 1
     first = lines.getItem(0)
     h = F.floor(F.length(first) / 2).cast("int")

@@ -48,6 +48,16 @@ def test_adapt_cycle_publishes_then_consumes(spark, tmp_path):
     assert all(b <= a + 1e-12 for a, b in zip(res["losses"], res["losses"][1:]))
     assert index_store.resolve_version(spark, root) == "v1"
     assert spark.read.parquet(store_path + "_next").count() == 0
+    vectors, meta, weights = pipeline.current_index(spark, root, dim=16)
+    assert weights is not None and len(weights) == 16
+    q = spark.createDataFrame([(1, "om shanti"), (2, "beta gamma")], "qid LONG, query STRING")
+    hits = pipeline.retrieve_hits(vectors, meta, q, k=2, dim=16, weights=weights).collect()
+    top = {r.qid: r.verse_id for r in hits if r.rk == 1}
+    assert top == {1: "Upanishads+Test-0-3", 2: "Upanishads+Test-0-2"}
+    out = pipeline.answer_batch(vectors, meta, spark.createDataFrame(
+        [(1, "om", 2), (2, " ", 3), (3, "alpha", 11)], "qid LONG, query STRING, k INT"), dim=16)
+    assert out["rejected"].count() == 2
+    assert [len(r.results) for r in out["responses"].collect()] == [2]
 
 
 def test_stream_ingest_splits_valid_and_rejected(spark, tmp_path):
