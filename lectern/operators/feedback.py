@@ -56,7 +56,11 @@ def lookup_texts(pairs: DataFrame, verses: DataFrame, strict: bool = False,
     """Attach the verse text by id (first match).  ``strict`` raises when
     an id is unknown, like the reference; otherwise unknown ids drop out
     (see ``missing_ids``)."""
-    texts = first_texts(verses, order_col)
+    # Only ids that occur in the pairs matter.  The pairs are the bounded
+    # latest-N set, so their distinct ids (at most N) are broadcast and the
+    # verse table is cut down before the first-match aggregate.
+    wanted = F.broadcast(pairs.select("verse_id").distinct())
+    texts = first_texts(verses.join(wanted, "verse_id", "left_semi"), order_col)
     if strict:
         missing = pairs.join(texts, "verse_id", "left_anti").limit(1).collect()
         if missing:
