@@ -30,6 +30,21 @@ def _r(c, n=R):
 # A - sources and feedback store
 # ---------------------------------------------------------------------------
 
+def a1_text_file_books(spark, sf):
+    """A1 end to end: the stand-in books are written as plain text files
+    (one file per book, lines in order), read back with line numbers and
+    parsed.  Must give the same verses as ``b_parse_verses``."""
+    from lectern.sources import text_files
+    path = scratch_path(spark, f"books-{uuid.uuid4().hex}")
+    lines = S.book_lines(spark, sf)
+    (lines.repartition("file").sortWithinPartitions("file", "line_no")
+          .select("file", "raw").write.partitionBy("file").text(path))
+    read = text_files.read_lines(spark, f"{path}/*/*.txt")
+    # The book's file name is the partition folder name ``file=<name>``.
+    read = read.withColumn("file", F.regexp_extract("file", r"file=([^/]+)/[^/]*$", 1))
+    return parse.parse_verses(read).select("verse_id", "text", "source")
+
+
 def a2_book_titles(spark, sf):
     files = parse.with_titles(S.book_lines(spark, sf).select("file").distinct())
     return files.select("file", "title", TX.first_token("title").alias("spec"))
@@ -140,6 +155,23 @@ def c3_vec_ids(spark, sf):
     return encode.assign_vec_ids(verses).select("vec_id", "verse_id")
 
 
+def c5_published_index(spark, sf):
+    """Verses written and read back (required columns
+    checked), index built and published under ``base``, then resolved and
+    read back as a reader would."""
+    from lectern.plans import pipeline
+    from lectern.sources import index_store
+    root = scratch_path(spark, f"index-{uuid.uuid4().hex}")
+    verses = parse.parse_verses(S.book_lines(spark, sf))
+    index_store.write_verses(verses, f"{root}/verses")
+    lines_back = index_store.read_verses(spark, f"{root}/verses")
+    corpus = encode.encode_hashed(encode.assign_vec_ids(lines_back), "text")
+    pipeline.publish_corpus(spark, corpus, root, "base")
+    vectors, meta, _ = pipeline.current_index(spark, root)
+    return meta.join(vectors, "vec_id").select(
+        "vec_id", "verse_id", "source", F.size("embedding").cast("long").alias("dim"))
+
+
 def c4c_current_version(spark, sf):
     from lectern.sources import index_store
     labels = S.table(spark, sf, "labels")
@@ -341,6 +373,7 @@ def e10_adapt_weights(spark, sf):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "a1_text_file_books": a1_text_file_books,
     "a2_book_titles": a2_book_titles,
     "a8_feedback_scan": a8_feedback_scan,
     "a9_feedback_consume": a9_feedback_consume,
@@ -357,6 +390,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "c2_dimensions": c2_dimensions,
     "c3_vec_ids": c3_vec_ids,
     "c4c_current_version": c4c_current_version,
+    "c5_published_index": c5_published_index,
     "d1_squared_distance": d1_squared_distance,
     "d2_top_k_single": d2_top_k_single,
     "d3_batch_top_k": d3_batch_top_k,

@@ -336,3 +336,10 @@ SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY d2, vec_id) AS INT
        vec_id, round(d2, 6) AS d2
 FROM d
 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d2, vec_id) <= 10"""
+
+SQL["a1_text_file_books"] = SQL["b_parse_verses"]
+
+SQL["c5_published_index"] = "WITH " + _BOOKS + """
+SELECT CAST(row_number() OVER (ORDER BY file, r) - 1 AS BIGINT) AS vec_id, verse_id,
+       vsource AS source, CAST(384 AS BIGINT) AS dim
+FROM ev"""
