@@ -343,3 +343,43 @@ SQL["c5_published_index"] = "WITH " + _BOOKS + """
 SELECT CAST(row_number() OVER (ORDER BY file, r) - 1 AS BIGINT) AS vec_id, verse_id,
        vsource AS source, CAST(384 AS BIGINT) AS dim
 FROM ev"""
+
+# End to end: expected verses of the stand-in books, hashed 384-d unit
+# vectors for verses and benchmark texts, brute-force distances, top 5.
+SQL["t_text_retrieval"] = "WITH " + _BOOKS + """,
+corpus AS (
+  SELECT CAST(row_number() OVER (ORDER BY file, r) - 1 AS BIGINT) AS vec_id,
+         verse_id, vtext AS text, vsource AS source
+  FROM ev),
+docs AS (
+  SELECT 'v' AS side, vec_id AS id, text FROM corpus
+  UNION ALL
+  SELECT 'q', item_id, text FROM benchmark),
+toks AS (
+  SELECT side, id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS tok
+  FROM docs),
+tf AS (
+  SELECT side, id, CAST((('0x' || substr(md5(tok), 1, 7))::BIGINT) % 384 AS INTEGER) AS bucket,
+         count(*) AS tf
+  FROM toks GROUP BY 1, 2, 3),
+nrm AS (SELECT side, id, sqrt(sum(tf * tf)::DOUBLE) AS norm FROM tf GROUP BY 1, 2),
+w AS (
+  SELECT tf.side, tf.id, tf.bucket, ((tf.tf / nrm.norm)::FLOAT)::DOUBLE AS w
+  FROM tf JOIN nrm USING (side, id)),
+grid AS (SELECT side, id, g.i FROM docs, (SELECT unnest(range(384)) AS i) g),
+vec AS (
+  SELECT grid.side, grid.id, list(coalesce(w.w, 0.0) ORDER BY grid.i) AS v
+  FROM grid LEFT JOIN w ON w.side = grid.side AND w.id = grid.id AND w.bucket = grid.i
+  GROUP BY grid.side, grid.id),
+dist AS (
+  SELECT q.id AS qid, c.id AS vec_id,
+         list_sum(list_transform(list_zip(q.v, c.v),
+                  lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d2
+  FROM vec q, vec c WHERE q.side = 'q' AND c.side = 'v'),
+top AS (
+  SELECT qid, vec_id, d2,
+         CAST(row_number() OVER (PARTITION BY qid ORDER BY d2, vec_id) AS INTEGER) AS rk
+  FROM dist
+  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d2, vec_id) <= 5)
+SELECT top.qid, top.rk, corpus.verse_id, corpus.source, round(1.0 / (1.0 + top.d2), 6) AS score
+FROM top JOIN corpus USING (vec_id)"""
