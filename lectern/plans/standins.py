@@ -34,9 +34,13 @@ TABLE_KEYS = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; small single-file scans are spread over the slots."""
-    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", TABLE_KEYS.get(name))
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """A driver table; small single-file scans are spread over the slots
+    unless the next step shuffles anyway (``spread=False``)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if not spread:
+        return spark.read.parquet(path)
+    return read_table(spark, path, TABLE_KEYS.get(name))
 
 
 def book_file(source_col="source"):
@@ -62,7 +66,8 @@ def book_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         <remaining text lines: commentary>
                                    (blank)
     """
-    docs = (table(spark, sf_dir, "documents")
+    # The first step shuffles by book, and nothing heavy runs before it.
+    docs = (table(spark, sf_dir, "documents", spread=False)
             .select("doc_id", "text", book_file().alias("file")))
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
     # Lines of a document without its optional part header: header, blank,
