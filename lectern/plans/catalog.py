@@ -105,9 +105,11 @@ def b9_roman_numerals(spark, sf):
 
 
 def b13_verses_per_book(spark, sf):
-    lines = S.book_lines(spark, sf)
-    verses = parse.parse_verses(lines)
-    return parse.verses_per_file(verses, lines.select("file"))
+    # The file list is a cheap listing (one name per source), not a second
+    # pass over the book lines.
+    files = S.table(spark, sf, "documents", spread=False).select(S.book_file().alias("file"))
+    verses = parse.parse_verses(S.book_lines(spark, sf))
+    return parse.verses_per_file(verses, files)
 
 
 def b14_id_decomposition(spark, sf):
