@@ -117,8 +117,8 @@ def vector_dimension(vectors: DataFrame, vec_col: str = "embedding") -> int:
 
 def dimension_check(vectors: DataFrame, vec_col: str = "embedding") -> DataFrame:
     """C2 as a table: ``dim_min, dim_max, n, consistent``."""
-    return vectors.agg(F.min(F.size(vec_col)).alias("dim_min"),
-                       F.max(F.size(vec_col)).alias("dim_max"),
+    return vectors.agg(F.min(F.size(vec_col)).cast("long").alias("dim_min"),
+                       F.max(F.size(vec_col)).cast("long").alias("dim_max"),
                        F.count(F.lit(1)).alias("n")) \
         .withColumn("consistent", F.col("dim_min") == F.col("dim_max"))
 
