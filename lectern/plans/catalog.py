@@ -67,7 +67,8 @@ def a10_feedback_stream(spark, sf):
     from lectern.streaming import feedback_ingest
     out = scratch_path(spark, f"feedback-stream-{uuid.uuid4().hex}")
     feedback_ingest.ingest_events_once(spark, sf, out)
-    return spark.read.parquet(f"{out}/valid")
+    return feedback_ingest.read_ingested(spark, out).select(
+        "fid", "query", "verse_id", "is_relevant", "timestamp")
 
 
 def a11_feedback_validate(spark, sf):

@@ -31,16 +31,34 @@ def validated_stream(raw_stream: DataFrame) -> DataFrame:
     return fb.validate_records(raw_stream)
 
 
+REQUEST_SCHEMA = T.StructType([
+    T.StructField("query", T.StringType()),
+    T.StructField("verse_id", T.StringType()),
+    T.StructField("is_relevant", T.StringType()),
+])
+
+
 def start_ingest(checked: DataFrame, out_dir: str, checkpoint: str,
                  available_now: bool = True):
     """A10: write valid records to ``out_dir/valid`` and malformed ones to
-    ``out_dir/rejected``, exactly once per micro-batch via the checkpoint."""
+    ``out_dir/rejected``.
+
+    Each micro-batch goes to its own ``batch=<id>`` folder with overwrite,
+    so a batch that is retried (for example after a lost executor) replaces
+    its own output instead of appending it twice; the checkpoint records
+    which batches are done.  Readers use ``read_ingested``.
+    """
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
+        if "fid" not in batch.columns:
+            # Request id from the batch id and the row's position in the
+            # batch: the same on a retry of the same batch.
+            batch = batch.withColumn("fid", F.xxhash64(F.lit(epoch_id),
+                                                       F.monotonically_increasing_id()))
         batch = batch.persist()
         (batch.filter(F.col("reason").isNull()).drop("reason")
-              .write.mode("append").parquet(f"{out_dir}/valid"))
+              .write.mode("overwrite").parquet(f"{out_dir}/valid/batch={epoch_id}"))
         (batch.filter(F.col("reason").isNotNull())
-              .write.mode("append").parquet(f"{out_dir}/rejected"))
+              .write.mode("overwrite").parquet(f"{out_dir}/rejected/batch={epoch_id}"))
         batch.unpersist()
 
     writer = (checked.writeStream.foreachBatch(write_batch)
@@ -50,6 +68,27 @@ def start_ingest(checked: DataFrame, out_dir: str, checkpoint: str,
     return writer.start()
 
 
+def read_ingested(spark: SparkSession, out_dir: str, which: str = "valid") -> DataFrame:
+    """Valid (or rejected) records of all finished micro-batches."""
+    df = spark.read.parquet(f"{out_dir}/{which}")
+    return df.drop("batch")
+
+
+def stamped_requests(requests: DataFrame) -> DataFrame:
+    """A7 on a stream: each request gets the processing time of its
+    micro-batch (UTC, naive); ``start_ingest`` adds the id."""
+    return requests.withColumn("timestamp", F.localtimestamp())
+
+
+def ingest_json_requests(spark: SparkSession, in_dir: str, out_dir: str,
+                         available_now: bool = True):
+    """A10: feedback requests arriving as JSON files (one object per line,
+    fields ``query, verse_id, is_relevant``) -> validated feedback store."""
+    stream = spark.readStream.schema(REQUEST_SCHEMA).json(in_dir)
+    checked = validated_stream(stamped_requests(stream))
+    return start_ingest(checked, out_dir, f"{out_dir}/_checkpoint", available_now)
+
+
 def ingest_events_once(spark: SparkSession, sf_dir: str, out_dir: str) -> None:
     """Stream the ``events`` table of a driver folder as feedback requests
     (stand-in mapping of ``standins.feedback``) into ``out_dir``."""
@@ -67,3 +106,5 @@ def ingest_events_once(spark: SparkSession, sf_dir: str, out_dir: str) -> None:
         F.col("ts").alias("timestamp"))
     q = start_ingest(validated_stream(raw), out_dir, f"{out_dir}/_checkpoint")
     q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()

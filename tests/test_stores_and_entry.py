@@ -70,8 +70,24 @@ def test_stream_ingest_splits_valid_and_rejected(spark, tmp_path):
     out = str(tmp_path / "out")
     q = feedback_ingest.start_ingest(feedback_ingest.validated_stream(stream), out, out + "/_ckpt")
     q.awaitTermination()
-    assert [r.fid for r in spark.read.parquet(out + "/valid").collect()] == [1]
-    assert sorted(r.fid for r in spark.read.parquet(out + "/rejected").collect()) == [2, 3]
+    assert [r.fid for r in feedback_ingest.read_ingested(spark, out).collect()] == [1]
+    assert sorted(r.fid for r in feedback_ingest.read_ingested(spark, out, "rejected").collect()) == [2, 3]
+
+
+def test_json_request_stream(spark, tmp_path):
+    src = tmp_path / "requests"
+    src.mkdir()
+    (src / "a.json").write_text('{"query": "What is Dharma?", "verse_id": "Upanishads+Isa-0-1", "is_relevant": true}\n'
+                                '{"query": "x", "verse_id": null, "is_relevant": false}\n')
+    (src / "b.json").write_text('{"query": "Peace", "verse_id": "Upanishads+Kena-1-2", "is_relevant": "no idea"}\n')
+    out = str(tmp_path / "store")
+    q = feedback_ingest.ingest_json_requests(spark, str(src), out)
+    q.awaitTermination()
+    valid = feedback_ingest.read_ingested(spark, out).collect()
+    assert [(r.query, r.is_relevant) for r in valid] == [("What is Dharma?", True)]
+    assert valid[0].timestamp is not None and valid[0].fid is not None
+    rejected = feedback_ingest.read_ingested(spark, out, "rejected").collect()
+    assert sorted(r.reason for r in rejected) == ["is_relevant not a boolean", "verse_id missing"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="driver tables not present")
