@@ -21,12 +21,14 @@ both are exact.  Every task holds at most one chunk of rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pyspark.storagelevel import StorageLevel
 
-from lectern.session import ensure_checkpoint_dir
+from lectern.session import ensure_checkpoint_dir, scratch_path
 
 DEFAULT_CHUNK = 1 << 16
 
@@ -35,10 +37,12 @@ def running_scan(df: DataFrame, keys: list[str], order: str,
                  sums: dict[str, Column] | None = None,
                  lasts: dict[str, Column] | None = None,
                  chunk_size: int = DEFAULT_CHUNK,
-                 materialize: bool = True) -> DataFrame:
+                 materialize: bool = True,
+                 chunk_col: str | None = None) -> DataFrame:
     """Add inclusive running ``sums`` and latest-non-null ``lasts`` columns.
 
     ``order`` must be an integral column, unique within ``keys``.
+    ``chunk_col`` keeps the chunk number under that name.
 
     The windowed rows feed two branches (chunk totals and the join back).
     With ``materialize`` they are written once with ``checkpoint()`` to the
@@ -48,9 +52,10 @@ def running_scan(df: DataFrame, keys: list[str], order: str,
 
     Plan shape: one shuffle of the rows on (keys, chunk) feeds a single
     window operator that yields both the in-chunk running values and the
-    chunk totals; the one-row-per-chunk table is aggregated from that
-    already partitioned output (no second shuffle of the rows), its carry is
-    a window over chunk rows, and the join back only moves the small side.
+    chunk totals; the one-row-per-chunk table is aggregated from those rows
+    (partial aggregation leaves one row per chunk per task), its carry is a
+    window over chunk rows, and with ``materialize`` the carry is written
+    as a small table and broadcast back when its size allows.
     """
     sums = sums or {}
     lasts = lasts or {}
@@ -88,13 +93,32 @@ def running_scan(df: DataFrame, keys: list[str], order: str,
         *[F.last(f"_t_{n}", ignorenulls=True).over(w_before).alias(f"_c_{n}")
           for n in lasts])
 
+    if materialize:
+        # The carry has one row per chunk.  Written as a small table it has
+        # a true size, so the planner broadcasts it when it is under the
+        # broadcast threshold (the rows are then not shuffled again) and
+        # falls back to a sort-merge join when it is not.
+        carry = small_table(carry, "carry")
     out = local.join(carry, on=[*keys, chunk], how="inner")
     for name in sums:
         out = out.withColumn(name, F.col(f"_c_{name}") + F.col(f"_l_{name}"))
     for name in lasts:
         out = out.withColumn(name, F.coalesce(F.col(f"_l_{name}"), F.col(f"_c_{name}")))
-    drop = [chunk] + [f"_{p}_{n}" for p in "vltc" for n in names]
-    return out.drop(*drop)
+    drop = [f"_{p}_{n}" for p in "vltc" for n in names]
+    if chunk_col:
+        # Keep the chunk: the rows stay hash-partitioned by (keys, chunk),
+        # so later work keyed by (keys, chunk, ...) needs no shuffle.
+        return out.drop(*drop).withColumnRenamed(chunk, chunk_col)
+    return out.drop(chunk, *drop)
+
+
+def small_table(df: DataFrame, prefix: str) -> DataFrame:
+    """Write a small derived table under the shared checkpoint folder and
+    read it back, so that the planner sees its real size."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{prefix}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
