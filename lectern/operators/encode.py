@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.operators.scan import running_scan
+from lectern.operators.scan import running_scan, small_table
 
 DEFAULT_DIM = 384
 TOKEN_PATTERN = "[a-z0-9]+"
@@ -138,6 +138,9 @@ def assign_vec_ids(verses: DataFrame, file_col: str = "file",
          .rowsBetween(Window.unboundedPreceding, -1))
     offsets = per_file.select(file_col,
                               F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    # One row per file, written so its real size decides the join: a
+    # broadcast when small (no shuffle of the verses, no hot-file skew).
+    offsets = small_table(offsets, "file-offsets")
     return (ranked.join(offsets, file_col)
                   .withColumn("vec_id", (F.col("_off") + F.col("_pos") - 1).cast("long"))
                   .drop("_off", "_pos"))

@@ -5,7 +5,9 @@ any file whole: Spark's line reader splits big files into byte blocks, and
 the line number of a row is (lines in earlier blocks of the same file) +
 (position inside its block).  The per-block line counts are one tiny
 aggregate, their running sum per file is a window over block rows (one row
-per block), and the result is joined back on (file, block).
+per block), and the result is joined back on (file, block) - broadcast when
+the block table is under the broadcast threshold, so the lines stay where
+the scan put them.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.scan import small_table
+
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Text files -> ``file STRING, line_no INT, raw STRING``.
@@ -21,6 +25,11 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     ``line_no`` starts at 1 in every file.  A missing path raises
     (Spark's ``PATH_NOT_FOUND``); use ``read_lines_if_exists`` for the
     empty-result behaviour.
+
+    The files are scanned twice (block statistics, then the lines), and
+    both scans must split the files the same way: keep the file-split
+    settings (``spark.sql.files.*``) unchanged until the result is used, or
+    write it (``parse_verses`` checkpoints it right away).
     """
     if isinstance(paths, str):
         paths = [paths]
@@ -38,6 +47,10 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     offsets = blocks.select(
         "file", "block", "_first",
         F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    # One row per file block: written as a small table so the planner sees
+    # its size and broadcasts it (the lines themselves are never shuffled
+    # here); beyond the broadcast threshold it falls back to a merge join.
+    offsets = small_table(offsets, "line-offsets")
     return (raw.join(offsets, ["file", "block"])
                .select("file",
                        (F.col("_before") + F.col("_pos") - F.col("_first") + 1)
