@@ -144,8 +144,3 @@ def assign_vec_ids(verses: DataFrame, file_col: str = "file",
     return (ranked.join(offsets, file_col)
                   .withColumn("vec_id", (F.col("_off") + F.col("_pos") - 1).cast("long"))
                   .drop("_off", "_pos"))
-
-
-def as_float_vectors(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
-    """Index vectors are stored as float32."""
-    return df.withColumn(vec_col, F.col(vec_col).cast(T.ArrayType(T.FloatType())))

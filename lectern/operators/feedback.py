@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions import text as T
 
 # Fixed values of the training-set builder (must equal the reference).
 LATEST_N = 100
@@ -21,7 +20,6 @@ FEEDBACK_COLUMNS = ["fid", "query", "verse_id", "is_relevant", "timestamp"]
 REASON_QUERY = "query missing"
 REASON_VERSE = "verse_id missing"
 REASON_FLAG = "is_relevant not a boolean"
-REASON_TIME = "timestamp missing"
 
 
 def latest(feedback: DataFrame, n: int = LATEST_N) -> DataFrame:
@@ -32,7 +30,7 @@ def latest(feedback: DataFrame, n: int = LATEST_N) -> DataFrame:
     """
     return (feedback.orderBy(F.col("timestamp").desc(), F.col("fid").desc())
                     .limit(n)
-                    .select("fid", "query", "verse_id", "is_relevant", "timestamp"))
+                    .select(*FEEDBACK_COLUMNS))
 
 
 def split_by_relevance(recent: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -126,7 +124,3 @@ def validate_records(raw: DataFrame) -> DataFrame:
                .when(F.col("_flag").isNull(), F.lit(REASON_FLAG)))
     out = raw.withColumn("_flag", flag).withColumn("reason", reason)
     return out.withColumn("is_relevant", F.col("_flag")).drop("_flag")
-
-
-def empty_query(col="query"):
-    return F.col(col).isNull() | (T.py_strip(col) == "")

@@ -130,11 +130,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     out = cached.checkpoint(eager=True)
     cached.unpersist()
     return out
-
-
-def dense_rank_of(df: DataFrame, keys: list[str], order: str, name: str,
-                  chunk_size: int = DEFAULT_CHUNK, materialize: bool = True) -> DataFrame:
-    """0-based position of each row within ``keys`` ordered by ``order``."""
-    ranked = running_scan(df, keys, order, sums={name: F.lit(1)},
-                          chunk_size=chunk_size, materialize=materialize)
-    return ranked.withColumn(name, F.col(name) - 1)

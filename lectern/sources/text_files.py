@@ -12,11 +12,15 @@ the scan put them.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.operators.scan import small_table
 
+_log = logging.getLogger(__name__)
+
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Text files -> ``file STRING, line_no INT, raw STRING``.
@@ -59,7 +63,8 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_lines_if_exists(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Like ``read_lines``, but missing files give an empty table."""
+    """A1 as the reference behaves: a missing file gives an empty result
+    (and a logged error) instead of failing the job."""
     if isinstance(paths, str):
         paths = [paths]
     jvm = spark.sparkContext._jvm
@@ -70,11 +75,9 @@ def read_lines_if_exists(spark: SparkSession, paths: str | list[str]) -> DataFra
         fs = hp.getFileSystem(conf)
         if fs.globStatus(hp) is not None and len(fs.globStatus(hp)) > 0:
             present.append(p)
+    missing = [p for p in paths if p not in present]
+    if missing:
+        _log.error("file not found: %s", ", ".join(missing))
     if not present:
         return spark.createDataFrame([], "file STRING, line_no INT, raw STRING")
     return read_lines(spark, present)
-
-
-def file_list(lines: DataFrame) -> DataFrame:
-    """Distinct files of a line table (input of the B13 count)."""
-    return lines.select("file").distinct()
