@@ -309,6 +309,27 @@ def t_text_retrieval(spark, sf):
         "qid", "rk", "verse_id", "source", _r("score").alias("score"))
 
 
+def t_answer_batch(spark, sf):
+    """End to end with request semantics: ``conversations`` turns are the
+    requests (per-request k, some blank, some out of range); valid ones are
+    answered from the verses of the stand-in books."""
+    from lectern.plans import pipeline
+    corpus = pipeline.corpus_from_lines(S.book_lines(spark, sf))
+    requests = _conversation_queries(spark, sf)
+    out = pipeline.answer_batch(corpus.select("vec_id", "embedding"),
+                                corpus.select("vec_id", "verse_id", "text", "source"),
+                                requests)
+    answered = out["responses"].select(
+        "qid", F.lit(None).cast("string").alias("reason"),
+        F.size("results").cast("long").alias("n_results"),
+        F.array_join(F.transform("results", lambda h: h["source"]), "|").alias("sources"),
+        _r(F.aggregate("results", F.lit(0.0), lambda a, h: a + h["score"])).alias("score_sum"))
+    rejected = out["rejected"].select(
+        "qid", "reason", F.lit(0).cast("long").alias("n_results"),
+        F.lit("").alias("sources"), F.lit(0.0).alias("score_sum"))
+    return answered.unionByName(rejected)
+
+
 # ---------------------------------------------------------------------------
 # E - feedback and training
 # ---------------------------------------------------------------------------
@@ -407,6 +428,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "d11_prompt": d11_prompt,
     "d12_listing": d12_listing,
     "t_text_retrieval": t_text_retrieval,
+    "t_answer_batch": t_answer_batch,
     "e1_latest_feedback": e1_latest_feedback,
     "e3_split": e3_split,
     "e4_training_pairs": e4_training_pairs,

@@ -383,3 +383,60 @@ top AS (
   QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d2, vec_id) <= 5)
 SELECT top.qid, top.rk, corpus.verse_id, corpus.source, round(1.0 / (1.0 + top.d2), 6) AS score
 FROM top JOIN corpus USING (vec_id)"""
+
+# Requests from conversations: validation, retrieval with k <= 10 per
+# request, results nested in rank order.
+SQL["t_answer_batch"] = "WITH " + _BOOKS + """,
+corpus AS (
+  SELECT CAST(row_number() OVER (ORDER BY file, r) - 1 AS BIGINT) AS vec_id,
+         verse_id, vtext AS text, vsource AS source
+  FROM ev),
+req AS (
+  SELECT conv_id * 100 + turn AS qid,
+         CASE WHEN conv_id % 7 = 0 THEN ' ' || chr(9) || chr(10) || ' ' ELSE text END AS query,
+         coalesce(CAST(CASE WHEN turn = 7 THEN NULL ELSE turn * 2 END AS INTEGER), 5) AS k
+  FROM conversations),
+chk AS (
+  SELECT *, CASE WHEN query IS NULL OR regexp_replace(query, '^\\s+|\\s+$', '', 'g') = ''
+                   THEN 'Query cannot be empty'
+                 WHEN k < 1 OR k > 10 THEN 'k must be between 1 and 10' END AS reason
+  FROM req),
+docs AS (
+  SELECT 'v' AS side, vec_id AS id, text FROM corpus
+  UNION ALL
+  SELECT 'q', qid, query FROM chk WHERE reason IS NULL),
+toks AS (
+  SELECT side, id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS tok
+  FROM docs),
+tf AS (
+  SELECT side, id, CAST((('0x' || substr(md5(tok), 1, 7))::BIGINT) % 384 AS INTEGER) AS bucket,
+         count(*) AS tf
+  FROM toks GROUP BY 1, 2, 3),
+nrm AS (SELECT side, id, sqrt(sum(tf * tf)::DOUBLE) AS norm FROM tf GROUP BY 1, 2),
+w AS (
+  SELECT tf.side, tf.id, tf.bucket, ((tf.tf / nrm.norm)::FLOAT)::DOUBLE AS w
+  FROM tf JOIN nrm USING (side, id)),
+grid AS (SELECT side, id, g.i FROM docs, (SELECT unnest(range(384)) AS i) g),
+vec AS (
+  SELECT grid.side, grid.id, list(coalesce(w.w, 0.0) ORDER BY grid.i) AS v
+  FROM grid LEFT JOIN w ON w.side = grid.side AND w.id = grid.id AND w.bucket = grid.i
+  GROUP BY grid.side, grid.id),
+dist AS (
+  SELECT q.id AS qid, c.id AS vec_id,
+         list_sum(list_transform(list_zip(q.v, c.v),
+                  lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d2
+  FROM vec q, vec c WHERE q.side = 'q' AND c.side = 'v'),
+top AS (
+  SELECT qid, vec_id, d2, row_number() OVER (PARTITION BY qid ORDER BY d2, vec_id) AS rk
+  FROM dist
+  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d2, vec_id) <= 10),
+hits AS (
+  SELECT top.qid, top.rk, corpus.source, 1.0 / (1.0 + top.d2) AS score
+  FROM top JOIN chk USING (qid) JOIN corpus USING (vec_id)
+  WHERE top.rk <= chk.k)
+SELECT chk.qid, chk.reason,
+       CAST(count(hits.rk) AS BIGINT) AS n_results,
+       coalesce(string_agg(hits.source, '|' ORDER BY hits.rk), '') AS sources,
+       round(coalesce(sum(hits.score), 0.0), 6) AS score_sum
+FROM chk LEFT JOIN hits USING (qid)
+GROUP BY chk.qid, chk.reason"""
