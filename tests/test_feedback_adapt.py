@@ -108,3 +108,18 @@ def test_hashed_encoder(spark):
     assert all(x == 0 for x in enc[2]) and all(x == 0 for x in enc[3])
     tf = encode.term_buckets(df, "id", "text", dim=32).filter(F.col("id") == 1)
     assert sorted(r.tf for r in tf.collect()) == [1, 3]
+
+
+def test_pluggable_model_encoder(spark):
+    class LengthModel:
+        """A stand-in for a user model: vector = (length, vowel count).
+        Defined locally so it is pickled by value for the workers."""
+
+        def encode(self, texts):
+            return np.array([[len(t), sum(c in "aeiou" for c in t)] for t in texts],
+                            dtype=np.float32)
+
+    df = spark.createDataFrame([(1, "om"), (2, "peace"), (3, None)], "id LONG, text STRING")
+    out = {r.id: r.embedding for r in encode.encode_with_model(df, LengthModel, dim=2).collect()}
+    assert out == {1: [2.0, 1.0], 2: [5.0, 3.0], 3: [0.0, 0.0]}
+    assert encode.vector_dimension(encode.encode_with_model(df, LengthModel)) == 2
