@@ -50,14 +50,19 @@ def first_texts(verses: DataFrame, order_col: str = "vec_id") -> DataFrame:
 
 
 def lookup_texts(pairs: DataFrame, verses: DataFrame, strict: bool = False,
-                 order_col: str = "vec_id") -> DataFrame:
+                 order_col: str = "vec_id", pairs_bounded: bool = False) -> DataFrame:
     """Attach the verse text by id (first match).  ``strict`` raises when
     an id is unknown, like the reference; otherwise unknown ids drop out
-    (see ``missing_ids``)."""
-    # Only ids that occur in the pairs matter.  The pairs are the bounded
-    # latest-N set, so their distinct ids (at most N) are broadcast and the
-    # verse table is cut down before the first-match aggregate.
-    wanted = F.broadcast(pairs.select("verse_id").distinct())
+    (see ``missing_ids``).
+
+    Only ids that occur in the pairs matter, so the verse table is cut down
+    by a semi-join before the first-match aggregate.  ``pairs_bounded``
+    says the pairs are a bounded set (the latest N), and their distinct ids
+    are then broadcast; otherwise the planner chooses the join.
+    """
+    wanted = pairs.select("verse_id").distinct()
+    if pairs_bounded:
+        wanted = F.broadcast(wanted)
     texts = first_texts(verses.join(wanted, "verse_id", "left_semi"), order_col)
     if strict:
         missing = pairs.join(texts, "verse_id", "left_anti").limit(1).collect()
@@ -82,7 +87,9 @@ def labelled_pairs(recent: DataFrame, verses: DataFrame, strict: bool = False,
     pos, neg = split_by_relevance(recent)
     both = (pos.withColumn("label", F.lit(POSITIVE_LABEL))
                .unionByName(neg.withColumn("label", F.lit(NEGATIVE_LABEL))))
-    joined = lookup_texts(both, verses, strict=strict, order_col=order_col)
+    # ``recent`` is the latest-N set, so at most N ids are broadcast.
+    joined = lookup_texts(both, verses, strict=strict, order_col=order_col,
+                          pairs_bounded=True)
     w = Window.orderBy(F.col("label").desc(), F.col("timestamp").desc(), F.col("fid").desc())
     return joined.select((F.row_number().over(w) - 1).alias("ord"), "fid", "query",
                          "verse_id", "verse_text", "label")

@@ -162,15 +162,15 @@ def c5_published_index(spark, sf):
     """Verses written and read back (required columns
     checked), index built and published under ``base``, then resolved and
     read back as a reader would."""
-    from lectern.plans import pipeline
+    from lectern.plans import jobs
     from lectern.sources import index_store
     root = scratch_path(spark, f"index-{uuid.uuid4().hex}")
     verses = parse.parse_verses(S.book_lines(spark, sf))
     index_store.write_verses(verses, f"{root}/verses")
     lines_back = index_store.read_verses(spark, f"{root}/verses")
     corpus = encode.encode_hashed(encode.assign_vec_ids(lines_back), "text")
-    pipeline.publish_corpus(spark, corpus, root, "base")
-    vectors, meta, _ = pipeline.current_index(spark, root)
+    jobs.publish_corpus(spark, corpus, root, "base")
+    vectors, meta, _ = jobs.current_index(spark, root)
     return meta.join(vectors, "vec_id").select(
         "vec_id", "verse_id", "source", F.size("embedding").cast("long").alias("dim"))
 
@@ -304,8 +304,8 @@ def d12_listing(spark, sf):
 def t_text_retrieval(spark, sf):
     """End to end: books from documents -> verses -> hashed vectors ->
     benchmark texts as queries (k = 5) -> hits with metadata."""
-    from lectern.plans import pipeline
-    return pipeline.text_retrieval(spark, sf).select(
+    from lectern.plans import jobs
+    return jobs.text_retrieval(spark, sf).select(
         "qid", "rk", "verse_id", "source", _r("score").alias("score"))
 
 
@@ -313,10 +313,10 @@ def t_answer_batch(spark, sf):
     """End to end with request semantics: ``conversations`` turns are the
     requests (per-request k, some blank, some out of range); valid ones are
     answered from the verses of the stand-in books."""
-    from lectern.plans import pipeline
-    corpus = pipeline.corpus_from_lines(S.book_lines(spark, sf))
+    from lectern.plans import jobs
+    corpus = jobs.corpus_from_lines(S.book_lines(spark, sf))
     requests = _conversation_queries(spark, sf)
-    out = pipeline.answer_batch(corpus.select("vec_id", "embedding"),
+    out = jobs.answer_batch(corpus.select("vec_id", "embedding"),
                                 corpus.select("vec_id", "verse_id", "text", "source"),
                                 requests)
     answered = out["responses"].select(

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, lines_df
-from lectern.plans import pipeline
+from lectern.plans import jobs
 from lectern.sources import feedback_store, index_store
 from lectern.streaming import feedback_ingest
 
@@ -24,7 +24,7 @@ def test_versions_publish_and_resolve(spark, tmp_path):
     lines = lines_df(spark, "I\nalpha beta\n\nII\nbeta gamma\n\nIII\nom\n")
     built = []
     assert index_store.build_if_missing(
-        spark, root, "base", lambda: built.append(pipeline.build_corpus(spark, lines, root)))
+        spark, root, "base", lambda: built.append(jobs.build_corpus(spark, lines, root)))
     assert not index_store.build_if_missing(spark, root, "base", lambda: None)
     assert index_store.resolve_version(spark, root) == "base"
     meta = index_store.read_metadata(spark, root)
@@ -36,25 +36,25 @@ def test_versions_publish_and_resolve(spark, tmp_path):
 def test_adapt_cycle_publishes_then_consumes(spark, tmp_path):
     root = str(tmp_path / "idx")
     lines = lines_df(spark, "I\nalpha beta\n\nII\nbeta gamma\n\nIII\nom shanti\n\nIV\nalpha om\n")
-    pipeline.build_corpus(spark, lines, root, dim=16)
+    jobs.build_corpus(spark, lines, root, dim=16)
     store_path = str(tmp_path / "fb")
     reqs = spark.createDataFrame(
         [("alpha", "Upanishads+Test-0-1", True), ("om", "Upanishads+Test-0-3", True),
          ("alpha", "Upanishads+Test-0-3", False), ("gamma", "Upanishads+Test-0-2", True)],
         "query STRING, verse_id STRING, is_relevant BOOLEAN")
     feedback_store.append(feedback_store.stamp(reqs), store_path)
-    res = pipeline.adapt_from_feedback(spark, root, store_path, "v1", dim=16, steps=3)
+    res = jobs.adapt_from_feedback(spark, root, store_path, "v1", dim=16, steps=3)
     assert res["trained"] and res["n_pos"] == 3 and res["n_neg"] == 1
     assert all(b <= a + 1e-12 for a, b in zip(res["losses"], res["losses"][1:]))
     assert index_store.resolve_version(spark, root) == "v1"
     assert spark.read.parquet(store_path + "_next").count() == 0
-    vectors, meta, weights = pipeline.current_index(spark, root, dim=16)
+    vectors, meta, weights = jobs.current_index(spark, root, dim=16)
     assert weights is not None and len(weights) == 16
     q = spark.createDataFrame([(1, "om shanti"), (2, "beta gamma")], "qid LONG, query STRING")
-    hits = pipeline.retrieve_hits(vectors, meta, q, k=2, dim=16, weights=weights).collect()
+    hits = jobs.retrieve_hits(vectors, meta, q, k=2, dim=16, weights=weights).collect()
     top = {r.qid: r.verse_id for r in hits if r.rk == 1}
     assert top == {1: "Upanishads+Test-0-3", 2: "Upanishads+Test-0-2"}
-    out = pipeline.answer_batch(vectors, meta, spark.createDataFrame(
+    out = jobs.answer_batch(vectors, meta, spark.createDataFrame(
         [(1, "om", 2), (2, " ", 3), (3, "alpha", 11)], "qid LONG, query STRING, k INT"), dim=16)
     assert out["rejected"].count() == 2
     assert [len(r.results) for r in out["responses"].collect()] == [2]
