@@ -46,7 +46,10 @@ def a1_text_file_books(spark, sf):
 
 
 def a2_book_titles(spark, sf):
-    files = parse.with_titles(S.book_lines(spark, sf).select("file").distinct())
+    # One file per source: the listing, not the book lines, gives the files.
+    files = (S.table(spark, sf, "documents", spread=False)
+             .select(S.book_file().alias("file")).distinct())
+    files = parse.with_titles(files)
     return files.select("file", "title", TX.first_token("title").alias("spec"))
 
 
