@@ -26,11 +26,16 @@ def latest(feedback: DataFrame, n: int = LATEST_N) -> DataFrame:
     """E1 + E2: newest ``n`` records (timestamp desc, fid desc), projected.
 
     Sort + limit plans as ``TakeOrderedAndProject``: each task keeps its
-    own top ``n`` and only those are merged.
+    own top ``n`` and only those are merged.  The result has at most ``n``
+    rows by definition, so it is materialised once as a small local table;
+    the split, the lookup and the consume then reuse it instead of scanning
+    the store again for every use.
     """
-    return (feedback.orderBy(F.col("timestamp").desc(), F.col("fid").desc())
-                    .limit(n)
-                    .select(*FEEDBACK_COLUMNS))
+    top = (feedback.orderBy(F.col("timestamp").desc(), F.col("fid").desc())
+                   .limit(n)
+                   .select(*FEEDBACK_COLUMNS))
+    spark = feedback.sparkSession
+    return spark.createDataFrame(top.collect(), top.schema)
 
 
 def split_by_relevance(recent: DataFrame) -> tuple[DataFrame, DataFrame]:

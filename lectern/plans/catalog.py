@@ -47,7 +47,7 @@ def a1_text_file_books(spark, sf):
 
 def a2_book_titles(spark, sf):
     # One file per source: the listing, not the book lines, gives the files.
-    files = (S.table(spark, sf, "documents", spread=False)
+    files = (S.table(spark, sf, "documents")
              .select(S.book_file().alias("file")).distinct())
     files = parse.with_titles(files)
     return files.select("file", "title", TX.first_token("title").alias("spec"))
@@ -111,7 +111,7 @@ def b9_roman_numerals(spark, sf):
 def b13_verses_per_book(spark, sf):
     # The file list is a cheap listing (one name per source), not a second
     # pass over the book lines.
-    files = S.table(spark, sf, "documents", spread=False).select(S.book_file().alias("file"))
+    files = S.table(spark, sf, "documents").select(S.book_file().alias("file"))
     verses = parse.parse_verses(S.book_lines(spark, sf))
     return parse.verses_per_file(verses, files)
 
@@ -125,7 +125,7 @@ def b14_id_decomposition(spark, sf):
 # ---------------------------------------------------------------------------
 
 def c1_term_buckets(spark, sf):
-    docs = S.table(spark, sf, "documents")
+    docs = S.table(spark, sf, "documents", spread=True)
     return encode.term_buckets(docs, "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
@@ -140,18 +140,18 @@ def _vector_summary(df, id_col):
 
 
 def c1_encode_documents(spark, sf):
-    docs = S.table(spark, sf, "documents").select("doc_id", "text")
+    docs = S.table(spark, sf, "documents", spread=True).select("doc_id", "text")
     return _vector_summary(encode.encode_hashed(docs, "text"), "doc_id")
 
 
 def c1q_encode_queries(spark, sf):
-    bench = S.table(spark, sf, "benchmark").select("item_id", "text")
+    bench = S.table(spark, sf, "benchmark", spread=True).select("item_id", "text")
     return _vector_summary(encode.encode_hashed(bench, "text"), "item_id")
 
 
 def c2_dimensions(spark, sf):
     emb = encode.dimension_check(S.vectors(spark, sf)).withColumn("source", F.lit("embeddings"))
-    bench = encode.encode_hashed(S.table(spark, sf, "benchmark"), "text")
+    bench = encode.encode_hashed(S.table(spark, sf, "benchmark", spread=True), "text")
     enc = encode.dimension_check(bench).withColumn("source", F.lit("benchmark"))
     return emb.unionByName(enc)
 
@@ -231,7 +231,7 @@ def d3_text_queries_top_k(spark, sf):
     retrieve their 10 nearest vectors."""
     e = S.vectors(spark, sf)
     dim = encode.vector_dimension(e)
-    bench = S.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    bench = S.table(spark, sf, "benchmark", spread=True).select(F.col("item_id").alias("qid"), "text")
     q = encode.encode_hashed(bench, "text", dim, out_col="qvec")
     hits = knn.nearest(e, q, k=retrieve.MAX_K)
     return hits.select("qid", "rk", "vec_id", _r("d2").alias("d2"))

@@ -34,9 +34,10 @@ TABLE_KEYS = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """A driver table; small single-file scans are spread over the slots
-    unless the next step shuffles anyway (``spread=False``)."""
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A driver table.  ``spread`` is for tables whose scan is followed by
+    CPU-heavy work before any shuffle (tokenising, hashing, distances): a
+    single-row-group file would otherwise run that work in one task."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     if not spread:
         return spark.read.parquet(path)
@@ -67,7 +68,7 @@ def book_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    (blank)
     """
     # The first step shuffles by book, and nothing heavy runs before it.
-    docs = (table(spark, sf_dir, "documents", spread=False)
+    docs = (table(spark, sf_dir, "documents")
             .select("doc_id", "text", book_file().alias("file")))
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
     # Lines of a document without its optional part header: header, blank,
@@ -107,7 +108,8 @@ def book_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    # Distance kernels run right after the scan.
+    return table(spark, sf_dir, "embeddings", spread=True).select("vec_id", "embedding", "label")
 
 
 def labelled_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
