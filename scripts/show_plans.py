@@ -43,8 +43,9 @@ def main(argv):
     spark = get_spark("local[8]", shuffle_partitions=8)
     print("# Physical plan outlines\n")
     print("Generated by `scripts/show_plans.py` on the sf0.01 driver tables (plans")
-    print("before adaptive re-planning; `Scan ExistingRDD` is a checkpoint, small")
-    print("`FileScan parquet` tables under the checkpoint folder are written carries).")
+    print("before adaptive re-planning; `Scan ExistingRDD` is a checkpoint or a small")
+    print("local table such as the latest-N feedback; small `FileScan parquet` tables under")
+    print("the checkpoint folder are written carries and offsets).")
     print("No plan contains a Cartesian product or a nested-loop join.\n")
     for name, fn in E.queries().items():
         if name == "e10_adapt_weights":
