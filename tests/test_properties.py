@@ -45,3 +45,36 @@ def test_missing_file_gives_empty_result(spark, tmp_path):
     p.write_text("I\none\n")
     assert read_lines_if_exists(spark, str(tmp_path / "nope.txt")).count() == 0
     assert read_lines_if_exists(spark, [str(p), str(tmp_path / "nope.txt")]).count() == 2
+
+
+@settings(max_examples=10, deadline=None,
+          suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
+@given(n=st.integers(1, 120), nq=st.integers(1, 12), dim=st.integers(1, 9),
+       k=st.integers(1, 12), dups=st.integers(0, 5), small_cap=st.booleans(),
+       seed=st.integers(0, 10_000))
+def test_nearest_equals_brute_force(spark, n, nq, dim, k, dups, small_cap, seed):
+    import numpy as np
+    from lectern.operators import knn
+
+    rng = np.random.default_rng(seed)
+    vecs = rng.integers(-3, 4, size=(n, dim)).astype(np.float32)   # many exact ties
+    for i in range(min(dups, n - 1)):
+        vecs[i + 1] = vecs[0]
+    qs = rng.integers(-3, 4, size=(nq, dim)).astype(np.float64)
+    cdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)],
+                                "vec_id LONG, embedding ARRAY<FLOAT>").repartition(3)
+    qdf = spark.createDataFrame([(100 + j, q.tolist()) for j, q in enumerate(qs)],
+                                "qid LONG, qvec ARRAY<DOUBLE>")
+    cap = 8 * dim if small_cap else knn.DEFAULT_BROADCAST_CAP
+    got = knn.nearest(cdf, qdf, k=k, broadcast_cap=cap, corpus_rows=n,
+                      corpus_block_rows=max(1, n // 3)).collect()
+    by_q = {}
+    for r in got:
+        by_q.setdefault(r.qid, []).append((r.rk, r.vec_id, r.d2))
+    for j, q in enumerate(qs):
+        d = ((vecs.astype(np.float64) - q) ** 2).sum(axis=1)
+        exp = sorted(zip(d.tolist(), range(n)))[:k]
+        rows = sorted(by_q[100 + j])
+        assert [rk for rk, _, _ in rows] == list(range(1, min(k, n) + 1))
+        assert [v for _, v, _ in rows] == [i for _, i in exp]
+        assert [dd for _, _, dd in rows] == [dd for dd, _ in exp]
