@@ -81,7 +81,8 @@ def running_scan(df: DataFrame, keys: list[str], order: str,
     if materialize:
         local = checkpointed(local)
 
-    # One row per chunk (partitioning already satisfied by the window).
+    # One row per chunk: the partial aggregate leaves at most one row per
+    # chunk per task, so only those rows are shuffled.
     totals = local.groupBy(*keys, chunk).agg(
         *[F.first(f"_t_{n}").alias(f"_t_{n}") for n in names])
     w_before = (Window.partitionBy(*keys).orderBy(chunk)
@@ -124,7 +125,10 @@ def small_table(df: DataFrame, prefix: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable, eager checkpoint computed once: the rows are cached while
     the checkpoint files are written (otherwise writing them would run the
-    lineage a second time).  The result keeps the input's partitioning."""
+    lineage a second time).  The checkpointed rows carry no known
+    partitioning, so later work keyed by the same columns shuffles again;
+    callers keep those shuffles small (a broadcast carry, a filtered
+    subset)."""
     ensure_checkpoint_dir(df.sparkSession)
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
     out = cached.checkpoint(eager=True)
