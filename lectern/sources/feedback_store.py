@@ -20,15 +20,24 @@ FEEDBACK_SCHEMA = T.StructType([
 ])
 
 
+def utc_now(spark: SparkSession):
+    """The current time as a naive UTC timestamp, whatever the session's
+    time zone (``current_timestamp`` shifted to UTC wall-clock time)."""
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    return F.to_utc_timestamp(F.current_timestamp(), tz).cast("timestamp_ntz")
+
+
 def stamp(requests: DataFrame) -> DataFrame:
     """Stamp requests with the current UTC time (naive timestamp) and a
     unique id when they have none."""
     out = requests
     if "timestamp" not in out.columns:
-        out = out.withColumn("timestamp", F.localtimestamp())
+        out = out.withColumn("timestamp", utc_now(requests.sparkSession))
     if "fid" not in out.columns:
-        # Unique and stable for one run: hash of the request plus its time.
-        out = out.withColumn("fid", F.xxhash64("query", "verse_id", "is_relevant", "timestamp"))
+        # The request, its time and its position: identical requests sent
+        # together still get different ids.
+        out = out.withColumn("fid", F.xxhash64("query", "verse_id", "is_relevant", "timestamp",
+                                               F.monotonically_increasing_id()))
     return out.select(*[F.col(f.name).cast(f.dataType) for f in FEEDBACK_SCHEMA.fields])
 
 

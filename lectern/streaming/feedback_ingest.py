@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from lectern.operators import feedback as fb
 from lectern.plans import standins as S
+from lectern.sources import feedback_store
 
 RAW_SCHEMA = T.StructType([
     T.StructField("fid", T.LongType()),
@@ -77,7 +78,7 @@ def read_ingested(spark: SparkSession, out_dir: str, which: str = "valid") -> Da
 def stamped_requests(requests: DataFrame) -> DataFrame:
     """A7 on a stream: each request gets the processing time of its
     micro-batch (UTC, naive); ``start_ingest`` adds the id."""
-    return requests.withColumn("timestamp", F.localtimestamp())
+    return requests.withColumn("timestamp", feedback_store.utc_now(requests.sparkSession))
 
 
 def ingest_json_requests(spark: SparkSession, in_dir: str, out_dir: str,

@@ -18,6 +18,15 @@ def test_verses_csv_round_trip(spark, tmp_path):
         index_store.check_columns(df.drop("source"))
 
 
+def test_stamped_duplicates_get_distinct_ids(spark, tmp_path):
+    reqs = spark.createDataFrame([("q", "v", True)] * 3, "query STRING, verse_id STRING, is_relevant BOOLEAN")
+    path = str(tmp_path / "store")
+    feedback_store.append(feedback_store.stamp(reqs), path)
+    got = feedback_store.read(spark, path).collect()
+    assert len(got) == 3 and len({r.fid for r in got}) == 3
+    assert all(r.timestamp is not None for r in got)
+
+
 def test_versions_publish_and_resolve(spark, tmp_path):
     root = str(tmp_path / "idx")
     assert index_store.resolve_version(spark, root) == "base"
