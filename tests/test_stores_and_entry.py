@@ -18,6 +18,17 @@ def test_verses_csv_round_trip(spark, tmp_path):
         index_store.check_columns(df.drop("source"))
 
 
+def test_verses_sink_create_then_append(spark, tmp_path):
+    path = str(tmp_path / "verses")
+    a = spark.createDataFrame([("x-0-1", "one", "X 0.1")], "verse_id STRING, text STRING, source STRING")
+    b = spark.createDataFrame([("y-0-1", "uno", "Y 0.1")], "verse_id STRING, text STRING, source STRING")
+    index_store.write_verses(a, path)
+    index_store.write_verses(b, path, append=True)
+    assert sorted(r.verse_id for r in index_store.read_verses(spark, path).collect()) == ["x-0-1", "y-0-1"]
+    index_store.write_verses(b, path)
+    assert [r.verse_id for r in index_store.read_verses(spark, path).collect()] == ["y-0-1"]
+
+
 def test_stamped_duplicates_get_distinct_ids(spark, tmp_path):
     reqs = spark.createDataFrame([("q", "v", True)] * 3, "query STRING, verse_id STRING, is_relevant BOOLEAN")
     path = str(tmp_path / "store")
