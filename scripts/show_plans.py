@@ -15,7 +15,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
 KEEP = re.compile(r"(Exchange|BroadcastExchange|Join|Window|WindowGroupLimit|Aggregate|"
-                  r"FileScan|Scan ExistingRDD|MapInPandas|ArrowEvalPython|FlatMapCoGroupsInPandas|"
+                  r"FileScan|Scan ExistingRDD|MapInPandas|MapInArrow|ArrowEvalPython|FlatMapCoGroupsInPandas|"
                   r"TakeOrderedAndProject|Union|CartesianProduct|Generate)")
 
 
