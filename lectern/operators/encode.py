@@ -4,8 +4,9 @@ The default encoder is a *hashed bag of words*: lower-case the text, take
 the tokens ``[a-z0-9]+``, map each token to a bucket with the first 28 bits
 of its MD5 (mod ``dim``), count, and scale the count vector to unit length.
 Tokenising and hashing are Spark SQL functions; turning one row's bucket
-list into a dense vector is a vectorised Arrow UDF (``np.bincount`` over the
-whole batch), so encoding needs no shuffle and keeps the input partitioning.
+list into a dense vector is an Arrow-native UDF (``np.bincount`` over the
+flat buffers of the whole batch), so encoding needs no shuffle and keeps the
+input partitioning.
 
 A learned sentence encoder can replace it through ``encode_with_model``:
 ``mapInPandas`` loads a user-supplied model once per task.  No such model
@@ -15,7 +16,8 @@ ships here.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,23 +58,23 @@ def term_buckets(df: DataFrame, id_col: str, text_col: str,
 
 
 def _unit_vectors(dim: int):
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def to_unit(buckets: pd.Series) -> pd.Series:
+    """Arrow-native UDF: bucket lists -> unit count vectors.  The whole batch
+    is handled as flat buffers (list offsets + values) with one
+    ``np.bincount``; no per-row Python work."""
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def to_unit(buckets: pa.Array) -> pa.Array:
         n = len(buckets)
-        lengths = np.fromiter((0 if b is None else len(b) for b in buckets),
-                              dtype=np.int64, count=n)
-        if lengths.sum():
-            flat = np.concatenate([np.asarray(b, dtype=np.int64)
-                                   for b in buckets if b is not None and len(b)])
-        else:
-            flat = np.zeros(0, dtype=np.int64)
+        lengths = pc.fill_null(pc.list_value_length(buckets), 0)
+        lengths = lengths.to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = buckets.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         rows = np.repeat(np.arange(n, dtype=np.int64), lengths)
         counts = np.bincount(rows * dim + flat, minlength=n * dim)
         counts = counts.reshape(n, dim).astype(np.float64)
         norms = np.sqrt((counts * counts).sum(axis=1))
         norms[norms == 0] = 1.0
-        unit = (counts / norms[:, None]).astype(np.float32)
-        return pd.Series(list(unit))
+        unit = (counts / norms[:, None]).astype(np.float32).ravel()
+        offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(unit, pa.float32()))
     return to_unit
 
 
