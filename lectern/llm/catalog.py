@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import language, mixing, sentencepiece, tokens
+from lectern.llm import language, mixing, ngram_join, pii, sentencepiece, tokens
 from lectern.llm.common import crc_mod, materialize, table
 from lectern.session import scratch_path
 
@@ -17,6 +17,11 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-copy classes of all documents."""
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -44,6 +49,11 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for personal data."""
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, written and read back."""
     docs = table(spark, sf_dir, "documents")
@@ -52,14 +62,37 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_documents(manifest)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over all documents."""
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_language_id": op6_language_id,
     "op7_source_mix": op7_source_mix,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_pii_surrogates": op9_pii_surrogates,
     "op10_token_files": op10_token_files,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_ngram_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) >= 4 THEN array_to_string(ws[i:i+3], ' ') ELSE array_to_string(ws, ' ') END AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r(doc_id, m) AS (SELECT doc_id, doc_id FROM w UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.doc_id)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.m) AS component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.doc_id = w.doc_id GROUP BY 1""",
+}
 
 
 def queries() -> dict:
