@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import language, mixing, ngram_join, pii, sentencepiece, tokens
+from lectern.llm import caps, curves, language, mixing, ngram_join, pii, sentencepiece, tokens
 from lectern.llm.common import crc_mod, materialize, table
 from lectern.session import scratch_path
 
@@ -17,6 +17,16 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every query vector."""
+    return curves.nearest(table(spark, sf_dir, "embeddings"), 20, F.col("vec_id") % 20 == 0)
+
+
+def op3_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of all vectors."""
+    return caps.links(table(spark, sf_dir, "embeddings"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-copy classes of all documents."""
     return ngram_join.join(table(spark, sf_dir, "documents"))
@@ -70,6 +80,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "pipeline": pipeline,
+    "op2_hilbert_ann": op2_hilbert_ann,
+    "op3_cap_filters": op3_cap_filters,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_language_id": op6_language_id,
     "op7_source_mix": op7_source_mix,
@@ -79,6 +91,17 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op3_cap_filters": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings),
+u AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS r FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.e, b.e) >= 0.93 * a.r * b.r),
+r(vec_id, m) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.vec_id),
+c AS (SELECT vec_id, min(m) AS component_id FROM r GROUP BY 1),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)""",
     "op5_ngram_jaccard": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
