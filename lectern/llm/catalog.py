@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import caps, curves, language, mixing, ngram_join, pii, sentencepiece, tokens
+from lectern.llm import caps, curves, language, mixing, ngram_join, pii, quality, sentencepiece, tokens
 from lectern.llm.common import crc_mod, materialize, table
 from lectern.session import scratch_path
 
@@ -17,6 +17,15 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    voter = quality.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
+    scored = quality.score(docs.select("doc_id", "text"), voter)
+    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors found for every query vector."""
     return curves.nearest(table(spark, sf_dir, "embeddings"), 20, F.col("vec_id") % 20 == 0)
@@ -80,6 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "pipeline": pipeline,
+    "op1_quality_votes": op1_quality_votes,
     "op2_hilbert_ann": op2_hilbert_ann,
     "op3_cap_filters": op3_cap_filters,
     "op5_ngram_jaccard": op5_ngram_jaccard,
