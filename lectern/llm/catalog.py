@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import caps, curves, language, mixing, ngram_join, pii, quality, sentencepiece, tokens
+from lectern.llm import caps, curves, language, mixing, ngram_join, pii, quality, repeats, sentencepiece, tokens
 from lectern.llm.common import crc_mod, materialize, table
 from lectern.session import scratch_path
 
@@ -36,6 +36,11 @@ def op3_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return caps.links(table(spark, sf_dir, "embeddings"))
 
 
+def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without repeated byte strings."""
+    return repeats.remove(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-copy classes of all documents."""
     return ngram_join.join(table(spark, sf_dir, "documents"))
@@ -92,6 +97,7 @@ QUERIES = {
     "op1_quality_votes": op1_quality_votes,
     "op2_hilbert_ann": op2_hilbert_ann,
     "op3_cap_filters": op3_cap_filters,
+    "op4_suffix_repeats": op4_suffix_repeats,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_language_id": op6_language_id,
     "op7_source_mix": op7_source_mix,
