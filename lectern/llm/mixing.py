@@ -64,21 +64,28 @@ def balance(strata: DataFrame, targets: DataFrame, cap: float = CAP,
             tolerance: float = 1e-9, max_steps: int = 60) -> DataFrame:
     """Newton iterations on the dual: ``strata`` (source, base, size, n) and
     ``targets`` (source, target) -> ``source, lam``."""
-    lam = materialize(targets.select("source", "target", F.lit(0.0).alias("lam"), F.lit(1.0).alias("off")), "dual")
+    # Where rates meet the cap the dual has kinks; a step that leaves the
+    # bracket of the root (lo, hi) becomes a halving of it.
+    lam = materialize(targets.select("source", "target", F.lit(0.0).alias("lam"), F.lit(-1e3).alias("lo"),
+                                     F.lit(1e3).alias("hi"), F.lit(1.0).alias("off")), "dual")
     for _ in range(max_steps):
         rate = F.col("base") * F.exp("lam")
         words = F.col("n") * F.col("size")
         step = (strata.join(lam, strata["source"].eqNullSafe(lam["source"]))
-                .groupBy(lam["source"], "target", "lam")
+                .groupBy(lam["source"], "target", "lam", "lo", "hi")
                 .agg(F.sum(words * F.least(rate, F.lit(cap))).alias("got"),
                      F.sum(F.when(rate < cap, words * rate).otherwise(0.0)).alias("slope")))
         gap = F.col("got") - F.col("target")
-        move = F.when(F.col("slope") > 0, F.greatest(F.lit(-2.0), F.least(F.lit(2.0), -gap / F.col("slope")))).otherwise(
-            F.when(gap > 0, -1.0).otherwise(0.0))
-        off = F.when((F.col("slope") <= 0) & (gap <= 0), 0.0).otherwise(
-            F.abs(gap) / F.greatest(F.col("target"), F.lit(1.0)))
-        nxt = materialize(step.select("source", "target", (F.col("lam") + F.when(off > tolerance, move).otherwise(0.0)).alias("lam"),
-                                      off.alias("off")), "dual")
+        step = (step.withColumn("off", F.when((F.col("slope") <= 0) & (gap <= 0), 0.0).otherwise(
+                    F.abs(gap) / F.greatest(F.col("target"), F.lit(1.0))))
+                .withColumn("lo", F.when(gap < 0, F.col("lam")).otherwise(F.col("lo")))
+                .withColumn("hi", F.when(gap > 0, F.col("lam")).otherwise(F.col("hi")))
+                .withColumn("newton", F.col("lam") + F.when(F.col("slope") > 0, F.greatest(
+                    F.lit(-2.0), F.least(F.lit(2.0), -gap / F.col("slope")))).otherwise(F.when(gap > 0, -1.0).otherwise(1.0))))
+        inside = (F.col("newton") > F.col("lo")) & (F.col("newton") < F.col("hi"))
+        nxt = materialize(step.select(
+            "source", "target", F.when(F.col("off") <= tolerance, F.col("lam")).when(inside, F.col("newton"))
+            .otherwise((F.col("lo") + F.col("hi")) / 2).alias("lam"), "lo", "hi", "off"), "dual")
         worst = nxt.agg(F.max("off")).first()[0]
         discard(lam)
         lam = nxt
