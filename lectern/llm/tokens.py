@@ -103,7 +103,7 @@ class _Writer:
         self.rest.append(ids.astype(self.id_type))
         self.held += len(ids)
         if self.held >= self.seq_len * BATCH_SEQS:
-            self._flush(self.held // self.seq_len)
+            self._flush(self.held // (self.seq_len * BATCH_SEQS) * BATCH_SEQS)   # whole batches only
 
     def _flush(self, n: int, pad: int = 0) -> None:
         flat = np.concatenate([*self.rest, np.zeros(pad, self.id_type)])
