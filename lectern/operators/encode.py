@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.operators.scan import running_scan, small_table
+from lectern.operators.scan import small_table
 
 DEFAULT_DIM = 384
 TOKEN_PATTERN = "[a-z0-9]+"
@@ -129,20 +129,20 @@ def assign_vec_ids(verses: DataFrame, file_col: str = "file",
                    order_col: str = "line_no") -> DataFrame:
     """Stable dense ``vec_id`` = position in (file, line) order, from 0.
 
-    Position inside a file comes from the chunked running count; the offset
-    of each file is a running sum over one row per file.  No global window
-    over all rows.
+    The verses are range-partitioned in that order (a large book takes
+    several ranges), sorted inside each range and written once.  A position
+    is the rows of earlier ranges plus the place in its own, so the only
+    window runs over one row per range, however many files there are.
     """
-    ranked = running_scan(verses, [file_col], order_col,
-                          sums={"_pos": F.lit(1).cast("long")})
-    per_file = ranked.groupBy(file_col).agg(F.count(F.lit(1)).alias("_n"))
-    w = (Window.orderBy(file_col)
-         .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = per_file.select(file_col,
-                              F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    # One row per file, written so its real size decides the join: a
-    # broadcast when small (no shuffle of the verses, no hot-file skew).
-    offsets = small_table(offsets, "file-offsets")
-    return (ranked.join(offsets, file_col)
-                  .withColumn("vec_id", (F.col("_off") + F.col("_pos") - 1).cast("long"))
-                  .drop("_off", "_pos"))
+    ordered = small_table(
+        verses.repartitionByRange(file_col, order_col).sortWithinPartitions(file_col, order_col)
+        .withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_at", 33)
+    ranges = ordered.groupBy(part.alias("_part")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = small_table(ranges.select(
+        "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "range-offsets")
+    return (ordered.withColumn("_part", part).join(offsets, "_part")
+            .withColumn("vec_id", (F.col("_before") + F.col("_at") - F.col("_first")).cast("long"))
+            .drop("_part", "_at", "_first", "_before"))

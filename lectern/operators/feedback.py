@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.scan import small_table
 
 # Fixed values of the training-set builder (must equal the reference).
 LATEST_N = 100
@@ -48,26 +49,25 @@ def split_by_relevance(recent: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def first_texts(verses: DataFrame, order_col: str = "vec_id") -> DataFrame:
     """E4 helper: one text per ``verse_id`` - the row with the lowest
-    ``order_col`` (the first match in index order).  A partial aggregate:
-    each task keeps one candidate per id before the shuffle."""
-    return (verses.groupBy("verse_id")
-                  .agg(F.min_by("text", order_col).alias("verse_text")))
+    ``order_col`` (the first match in index order).  The aggregate keeps
+    numbers only; the text joins its winner afterwards."""
+    least = verses.groupBy("verse_id").agg(F.min(order_col).alias("_first"))
+    return (verses.join(least.withColumnRenamed("verse_id", "_id"),
+                        (F.col(order_col) == F.col("_first")) & (F.col("verse_id") == F.col("_id")))
+                  .select("verse_id", F.col("text").alias("verse_text")))
 
 
 def lookup_texts(pairs: DataFrame, verses: DataFrame, strict: bool = False,
-                 order_col: str = "vec_id", pairs_bounded: bool = False) -> DataFrame:
+                 order_col: str = "vec_id") -> DataFrame:
     """Attach the verse text by id (first match).  ``strict`` raises when
     an id is unknown, like the reference; otherwise unknown ids drop out
     (see ``missing_ids``).
 
     Only ids that occur in the pairs matter, so the verse table is cut down
-    by a semi-join before the first-match aggregate.  ``pairs_bounded``
-    says the pairs are a bounded set (the latest N), and their distinct ids
-    are then broadcast; otherwise the planner chooses the join.
+    by a semi-join before the first-match aggregate.  The ids are a written
+    table of known size: the planner broadcasts them while they are few.
     """
-    wanted = pairs.select("verse_id").distinct()
-    if pairs_bounded:
-        wanted = F.broadcast(wanted)
+    wanted = small_table(pairs.select("verse_id").distinct(), "pair-ids")
     texts = first_texts(verses.join(wanted, "verse_id", "left_semi"), order_col)
     if strict:
         missing = pairs.join(texts, "verse_id", "left_anti").limit(1).collect()
@@ -78,7 +78,9 @@ def lookup_texts(pairs: DataFrame, verses: DataFrame, strict: bool = False,
 
 def missing_ids(pairs: DataFrame, verses: DataFrame) -> DataFrame:
     """Feedback rows whose verse_id is not in the verse table."""
-    return pairs.join(verses.select("verse_id").distinct(), "verse_id", "left_anti")
+    wanted = small_table(pairs.select("verse_id").distinct(), "pair-ids")
+    known = verses.select("verse_id").join(wanted, "verse_id", "left_semi").distinct()
+    return pairs.join(known, "verse_id", "left_anti")
 
 
 def labelled_pairs(recent: DataFrame, verses: DataFrame, strict: bool = False,
@@ -92,9 +94,7 @@ def labelled_pairs(recent: DataFrame, verses: DataFrame, strict: bool = False,
     pos, neg = split_by_relevance(recent)
     both = (pos.withColumn("label", F.lit(POSITIVE_LABEL))
                .unionByName(neg.withColumn("label", F.lit(NEGATIVE_LABEL))))
-    # ``recent`` is the latest-N set, so at most N ids are broadcast.
-    joined = lookup_texts(both, verses, strict=strict, order_col=order_col,
-                          pairs_bounded=True)
+    joined = lookup_texts(both, verses, strict=strict, order_col=order_col)
     w = Window.orderBy(F.col("label").desc(), F.col("timestamp").desc(), F.col("fid").desc())
     return joined.select((F.row_number().over(w) - 1).alias("ord"), "fid", "query",
                          "verse_id", "verse_text", "label")
@@ -113,8 +113,8 @@ def guard_counts(recent: DataFrame) -> DataFrame:
 def consume(feedback: DataFrame, used: DataFrame, mode: str = "used") -> DataFrame:
     """The feedback left after training.
 
-    ``used`` removes only the records that went into the training set;
-    ``all`` empties the store, as the reference does.
+    ``used`` removes the records given (those that went into the training
+    set); ``all`` empties the store, as the reference does.
     """
     if mode == "all":
         return feedback.limit(0)

@@ -10,12 +10,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as TX
 from lectern.functions.vectors import cosine_distance, sq_l2
 from lectern.operators import adapt, encode, feedback as fb, knn, parse, retrieve
+from lectern.operators.scan import small_table
 from lectern.plans import standins as S
 from lectern.session import scratch_path
 
@@ -36,12 +37,21 @@ def a1_text_file_books(spark, sf):
     parsed.  Must give the same verses as ``b_parse_verses``."""
     from lectern.sources import text_files
     path = scratch_path(spark, f"books-{uuid.uuid4().hex}")
+    # Ranges of lines, several for a large book: part files are numbered in
+    # range order, so a book's files follow each other in line order.
     lines = S.book_lines(spark, sf)
-    (lines.repartition("file").sortWithinPartitions("file", "line_no")
+    (lines.repartitionByRange("file", "line_no").sortWithinPartitions("file", "line_no")
           .select("file", "raw").write.partitionBy("file").text(path))
     read = text_files.read_lines(spark, f"{path}/*/*.txt")
-    # The book's file name is the partition folder name ``file=<name>``.
-    read = read.withColumn("file", F.regexp_extract("file", r"file=([^/]+)/[^/]*$", 1))
+    # The book's file name is the partition folder name ``file=<name>``; its
+    # line numbers go on from one part file to the next.
+    name, part = F.regexp_extract("file", r"file=([^/]+)/[^/]*$", 1), F.regexp_extract("file", r"([^/]+)$", 1)
+    read = read.select(name.alias("file"), part.alias("part"), "line_no", "raw")
+    sizes = read.groupBy("file", "part").agg(F.max("line_no").alias("n"))
+    before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = small_table(sizes.select("file", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "parts")
+    read = (read.join(sizes, ["file", "part"])
+            .select("file", (F.col("before") + F.col("line_no")).alias("line_no"), "raw"))
     return parse.parse_verses(read).select("verse_id", "text", "source")
 
 
@@ -60,12 +70,52 @@ def a8_feedback_scan(spark, sf):
     return feedback_store.read(spark, path)
 
 
+def a7_feedback_append(spark, sf):
+    """Requests stamped with the time and an id, appended and read back."""
+    from lectern.sources import feedback_store
+    path = scratch_path(spark, f"feedback-{uuid.uuid4().hex}")
+    requests = S.feedback(spark, sf).select("query", "verse_id", "is_relevant")
+    feedback_store.append(feedback_store.stamp(requests), path)
+    now = feedback_store.utc_now(spark)
+    return (feedback_store.read(spark, path)
+            .withColumn("recent", F.abs(F.unix_timestamp(now) - F.unix_timestamp("timestamp")) < 3600)
+            .groupBy("query", "verse_id", "is_relevant")
+            .agg(F.count(F.lit(1)).alias("n"), F.countDistinct("fid").alias("n_ids"), F.min("recent").alias("recent")))
+
+
 def a9_feedback_consume(spark, sf):
     store = S.feedback(spark, sf)
     used = fb.latest(store)
     return fb.consume(store, used, mode="used")
 
 
+def e11_adapt_publish_consume(spark, sf):
+    """The base index is built where it is
+    missing, an adapted version is trained and published, and the feedback
+    it was trained on is consumed.  The rows are the store as the next run
+    reads it, with the version that readers resolve."""
+    from lectern.plans import jobs
+    from lectern.sources import feedback_store, index_store
+    root = scratch_path(spark, f"index-{uuid.uuid4().hex}")
+    store = f"{root}/feedback"
+    verses = S.verses_with_repeated_ids(spark, sf).withColumn("source", F.lit("documents"))
+
+    def build():
+        jobs.publish_corpus(spark, encode.encode_hashed(verses, "text", 64), root)
+
+    index_store.build_if_missing(spark, root, index_store.BASE_VERSION, build)
+    index_store.build_if_missing(spark, root, index_store.BASE_VERSION, build)     # there already
+    feedback_store.append(S.feedback(spark, sf), store)
+    jobs.adapt_from_feedback(spark, root, store, "adapted-1", dim=64, steps=2)
+    vectors, _, weights = jobs.current_index(spark, root, 64)
+    n = vectors.agg(F.count(F.lit(1)).alias("n_vectors"), F.max(F.size("embedding")).alias("dim"))
+    return (feedback_store.read(spark, store).select("fid")
+            .crossJoin(F.broadcast(n.withColumn("version", F.lit(index_store.resolve_version(spark, root)))
+                                   .withColumn("n_weights", F.lit(len(weights)))))   # one row
+            .select("fid", "version", F.col("n_vectors").cast("long").alias("n_vectors"),
+                    F.col("dim").cast("long").alias("dim"), F.col("n_weights").cast("long").alias("n_weights")))
+
+
 def a10_feedback_stream(spark, sf):
     from lectern.streaming import feedback_ingest
     out = scratch_path(spark, f"feedback-stream-{uuid.uuid4().hex}")
@@ -214,14 +264,24 @@ def d2_top_k_single(spark, sf):
                        _r(1.0 / (1.0 + F.col("d2"))).alias("score"))
 
 
-def _self_hits(spark, sf, k=3):
+def _text_hits(spark, sf, queries, k, **options):
+    """``queries`` (qid, text), hashed to the vector length of ``embeddings``."""
     e = S.vectors(spark, sf)
-    q = e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
-    return knn.nearest(e, q, k=k)
+    q = encode.encode_hashed(queries, "text", encode.vector_dimension(e), out_col="qvec")
+    return knn.nearest(e, q, k=k, **options)
+
+
+def _benchmark_queries(spark, sf):
+    return S.table(spark, sf, "benchmark", spread=True).select(F.col("item_id").alias("qid"), "text")
 
 
 def d3_batch_top_k(spark, sf):
-    hits = _self_hits(spark, sf)
+    """Every turn of ``conversations`` as a query, in several blocks."""
+    turns = S.table(spark, sf, "conversations", spread=True).select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("qid"), "text")
+    # A small bound, so that the batch takes several blocks at any size.
+    cap = 8 * 64 * max(1, turns.count() // 4)
+    hits = _text_hits(spark, sf, turns, 3, broadcast_cap=cap)
     return hits.select("qid", "rk", "vec_id", _r("d2").alias("d2"),
                        _r(1.0 / (1.0 + F.col("d2"))).alias("score"))
 
@@ -229,16 +289,13 @@ def d3_batch_top_k(spark, sf):
 def d3_text_queries_top_k(spark, sf):
     """``benchmark`` texts, hashed to the vector length of ``embeddings``,
     retrieve their 10 nearest vectors."""
-    e = S.vectors(spark, sf)
-    dim = encode.vector_dimension(e)
-    bench = S.table(spark, sf, "benchmark", spread=True).select(F.col("item_id").alias("qid"), "text")
-    q = encode.encode_hashed(bench, "text", dim, out_col="qvec")
-    hits = knn.nearest(e, q, k=retrieve.MAX_K)
+    hits = _text_hits(spark, sf, _benchmark_queries(spark, sf), retrieve.MAX_K)
     return hits.select("qid", "rk", "vec_id", _r("d2").alias("d2"))
 
 
 def _scored(spark, sf):
-    return retrieve.attach_metadata(_self_hits(spark, sf), S.labelled_metadata(spark, sf))
+    hits = _text_hits(spark, sf, _benchmark_queries(spark, sf), 3)
+    return retrieve.attach_metadata(hits, S.labelled_metadata(spark, sf))
 
 
 def d5_metadata_hits(spark, sf):
@@ -247,7 +304,7 @@ def d5_metadata_hits(spark, sf):
 
 
 def d6_dropped_hits(spark, sf):
-    hits = _self_hits(spark, sf)
+    hits = _text_hits(spark, sf, _benchmark_queries(spark, sf), 3)
     dropped = retrieve.dropped_hits(hits, S.labelled_metadata(spark, sf))
     return dropped.groupBy("qid").agg(F.count(F.lit(1)).alias("n_dropped"))
 
@@ -269,9 +326,8 @@ def d7_query_validation(spark, sf):
 
 
 def _nested(spark, sf, keep_ids=False):
-    e = S.vectors(spark, sf)
-    queries = e.select(F.col("vec_id").alias("qid"),
-                       F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("query"))
+    queries = S.table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("qid"), F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("query"))
     return retrieve.nest_results(queries, _scored(spark, sf), keep_verse_id=keep_ids)
 
 
@@ -322,15 +378,16 @@ def t_answer_batch(spark, sf):
     out = jobs.answer_batch(corpus.select("vec_id", "embedding"),
                                 corpus.select("vec_id", "verse_id", "text", "source"),
                                 requests)
-    answered = out["responses"].select(
-        "qid", F.lit(None).cast("string").alias("reason"),
-        F.size("results").cast("long").alias("n_results"),
-        F.array_join(F.transform("results", lambda h: h["source"]), "|").alias("sources"),
-        _r(F.aggregate("results", F.lit(0.0), lambda a, h: a + h["score"])).alias("score_sum"))
-    rejected = out["rejected"].select(
-        "qid", "reason", F.lit(0).cast("long").alias("n_results"),
+    rows = lambda name, hits: out[name].select(
+        "qid", F.lit(name).alias("kind"), F.lit(None).cast("string").alias("reason"),
+        F.size(hits).cast("long").alias("n_results"),
+        F.array_join(F.transform(hits, lambda h: h["source"]), "|").alias("sources"),
+        _r(F.aggregate(hits, F.lit(0.0), lambda a, h: a + h["score"])).alias("score_sum"))
+    refused = lambda name, kind: out[name].select(
+        "qid", F.lit(kind).alias("kind"), "reason", F.lit(0).cast("long").alias("n_results"),
         F.lit("").alias("sources"), F.lit(0.0).alias("score_sum"))
-    return answered.unionByName(rejected)
+    return (rows("responses", "results").unionByName(rows("answers", "context"))
+            .unionByName(refused("rejected", "responses")).unionByName(refused("rejected_answers", "answers")))
 
 
 # ---------------------------------------------------------------------------
@@ -393,15 +450,18 @@ def e9_contrastive_loss(spark, sf):
 
 
 def e10_adapt_weights(spark, sf):
+    """Weights after one gradient step, and the loss before and after it."""
     pairs = _vector_pairs(spark, sf)
     dim = encode.vector_dimension(S.vectors(spark, sf))
-    w, _ = adapt.fit_scale(pairs, dim, steps=3)
-    return adapt.weights_table(spark, w, "adapted").select("dim", _r("weight").alias("weight"))
+    w, losses = adapt.fit_scale(pairs, dim, steps=1)
+    return adapt.weights_table(spark, w, "adapted").select(
+        "dim", _r("weight").alias("weight"), _r(F.lit(losses[0])).alias("loss_before"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "a1_text_file_books": a1_text_file_books,
     "a2_book_titles": a2_book_titles,
+    "a7_feedback_append": a7_feedback_append,
     "a8_feedback_scan": a8_feedback_scan,
     "a9_feedback_consume": a9_feedback_consume,
     "a10_feedback_stream": a10_feedback_stream,
@@ -441,4 +501,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "e8_schedule": e8_schedule,
     "e9_contrastive_loss": e9_contrastive_loss,
     "e10_adapt_weights": e10_adapt_weights,
+    "e11_adapt_publish_consume": e11_adapt_publish_consume,
 }

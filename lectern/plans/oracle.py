@@ -13,29 +13,30 @@ _ROMANS = "['I','II','III','IV','V','VI','VII','VIII','IX','X','XI','XII']"
 # Expected layout of the synthetic books, one row per document.
 _BOOKS = f"""
 d AS (
-  SELECT doc_id, text,
+  SELECT doc_id, source, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '\\S')) AS ls,
          'upanishads-' || CASE WHEN length(source) % 2 = 0 THEN upper(source) ELSE source END
            || '.txt' AS file
   FROM documents),
 r AS (
   SELECT *, row_number() OVER (PARTITION BY file ORDER BY doc_id) - 1 AS r,
-         split_part(coalesce(text, ''), chr(10), 1) AS first_line
+         CASE WHEN len(ls) < 3 THEN ls ELSE ls[1:len(ls) - 1] END AS vl,
+         source = 'src7' AS bare, source LIKE '%3' OR source = 'src7' AS partless
   FROM d),
 x AS (
-  SELECT *, substr(first_line, 1, length(first_line) // 2) AS half1,
-            substr(first_line, length(first_line) // 2 + 1) AS half2,
-            regexp_replace(regexp_replace(file, '\\.txt$', ''), '^upanishads-', '') AS stem,
-            {_PART_NUMBERS}[((r // 12) % 8) + 1] AS part,
-            CAST(r % 12 + 1 AS VARCHAR) AS num
+  SELECT *,
+         regexp_replace(regexp_replace(file, '\\.txt$', ''), '^upanishads-', '') AS stem,
+         CASE WHEN partless THEN '0' ELSE {_PART_NUMBERS}[((r // 12) % 8) + 1] END AS part,
+         CASE WHEN r % 12 = 11 THEN 'peace_chant' ELSE CAST(r % 12 + 1 AS VARCHAR) END AS num
   FROM r),
 bk AS (
   SELECT *, upper(substr(stem, 1, 1)) || lower(substr(stem, 2)) || ' Upanishad' AS title
   FROM x),
-ev AS (
+al AS (
   SELECT *, 'Upanishads+' || split_part(title, ' ', 1) || '-' || part || '-' || num AS verse_id,
-         trim(regexp_replace(trim(half1) || ' ' || trim(half2), '\\s+', ' ', 'g')) AS vtext,
+         trim(regexp_replace(array_to_string(vl, ' '), '\\s+', ' ', 'g')) AS vtext,
          title || ' ' || part || '.' || num AS vsource
-  FROM bk)"""
+  FROM bk),
+ev AS (SELECT * FROM al WHERE NOT bare AND len(vl) > 0)"""
 
 _FEEDBACK = """
 fbk AS (
@@ -58,23 +59,8 @@ pairs AS (
          fid, query, verse_id, verse_text, label
   FROM pj)"""
 
-_SQ_L2 = ("list_sum(list_transform(list_zip({a}, {b}), lambda x: "
-          "(x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE)))")
-
-_SELF_HITS = f"""
-hits AS (
-  SELECT q.vec_id AS qid, c.vec_id AS vec_id,
-         {_SQ_L2.format(a='q.embedding', b='c.embedding')} AS d2
-  FROM embeddings q, embeddings c
-  QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY d2, c.vec_id) <= 3),
-rhits AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY d2, vec_id) AS INTEGER) AS rk FROM hits),
-meta AS (
-  SELECT doc_id AS vec_id, CAST(doc_id AS VARCHAR) AS verse_id, text AS verse, source
-  FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
-scored AS (
-  SELECT h.qid, h.rk, h.vec_id, m.verse_id, m.verse, m.source, 1.0 / (1.0 + h.d2) AS score
-  FROM rhits h JOIN meta m USING (vec_id))"""
+_SQ_L2 = ("round(list_sum(list_transform(list_zip({a}, {b}), lambda x: "
+          "(x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))), 12)")
 
 _TOKENS_DIM = """
 toks AS (
@@ -99,6 +85,33 @@ nrm AS (SELECT id, sqrt(sum(tf * tf)::DOUBLE) AS norm FROM tf GROUP BY 1),
 w AS (SELECT tf.id, tf.bucket, ((tf.tf / nrm.norm)::FLOAT)::DOUBLE AS w FROM tf JOIN nrm USING (id))"""
 
 
+def _text_hits(id_col: str, table: str, k: int) -> str:
+    """Nearest vectors of the hashed texts of a table: CTE ``hits``."""
+    return _TOKENS_DIM.format(id=id_col, table=table, dim=64) + f""",
+grid AS (
+  SELECT {id_col} AS id, g.i FROM {table}, (SELECT unnest(range(64)) AS i) g),
+qv AS (
+  SELECT grid.id AS qid, list(coalesce(w.w, 0.0) ORDER BY grid.i) AS qvec
+  FROM grid LEFT JOIN w ON w.id = grid.id AND w.bucket = grid.i
+  GROUP BY grid.id),
+d2s AS (
+  SELECT qv.qid, e.vec_id, {_SQ_L2.format(a='qv.qvec', b='e.embedding')} AS d2
+  FROM qv, embeddings e),
+hits AS (
+  SELECT qid, vec_id, d2, CAST(row_number() OVER (PARTITION BY qid ORDER BY d2, vec_id) AS INTEGER) AS rk
+  FROM d2s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d2, vec_id) <= {k})"""
+
+
+_SCORED_HITS = _text_hits("item_id", "benchmark", 3) + """,
+rhits AS (SELECT * FROM hits),
+meta AS (
+  SELECT doc_id AS vec_id, CAST(doc_id AS VARCHAR) AS verse_id, text AS verse, source
+  FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+scored AS (
+  SELECT h.qid, h.rk, h.vec_id, m.verse_id, m.verse, m.source, 1.0 / (1.0 + h.d2) AS score
+  FROM rhits h JOIN meta m USING (vec_id))"""
+
+
 def _vector_summary_sql(table: str, id_col: str) -> str:
     return "WITH " + _TOKENS.format(id=id_col, table=table) + f"""
 SELECT t.{id_col}, CAST(count(w.bucket) AS BIGINT) AS n_nonzero,
@@ -110,7 +123,7 @@ GROUP BY t.{id_col}"""
 SQL: dict[str, str] = {}
 
 SQL["a2_book_titles"] = "WITH " + _BOOKS + """
-SELECT DISTINCT file, title, split_part(title, ' ', 1) AS spec FROM ev"""
+SELECT DISTINCT file, title, split_part(title, ' ', 1) AS spec FROM al"""
 
 _FEEDBACK_ROWS = "WITH " + _FEEDBACK + "\nSELECT * FROM fbk"
 SQL["a8_feedback_scan"] = _FEEDBACK_ROWS
@@ -137,19 +150,16 @@ SQL["b2_line_kinds"] = "WITH " + _BOOKS + f""",
 k AS (
   SELECT file, 'part' AS kind, 1 AS n,
          length('Part ' || {_PART_WORDS}[((r // 12) % 8) + 1]) AS chars
-  FROM ev WHERE r % 12 = 0
+  FROM al WHERE r % 12 = 0 AND NOT partless
   UNION ALL
-  SELECT file, 'blank', 3 + CASE WHEN r % 12 = 0 THEN 1 ELSE 0 END, 0 FROM ev
+  SELECT file, 'blank', 1 + CASE WHEN r % 12 = 0 AND NOT partless THEN 1 ELSE 0 END
+         + CASE WHEN bare THEN 0 ELSE 1 END + CASE WHEN len(ls) >= 3 THEN 1 ELSE 0 END, 0 FROM al
   UNION ALL
-  SELECT file, 'verse', 1,
-         length(CASE WHEN (r // 12) % 2 = 0 THEN {_ROMANS}[r % 12 + 1]
-                     ELSE CAST(r % 12 + 1 AS VARCHAR) END) FROM ev
+  SELECT file, CASE WHEN r % 12 = 11 THEN 'chant' ELSE 'verse' END, 1,
+         length(CASE WHEN r % 12 = 11 THEN 'peace CHANT' WHEN (r // 12) % 2 = 0 THEN {_ROMANS}[r % 12 + 1]
+                     ELSE CAST(r % 12 + 1 AS VARCHAR) END) FROM al WHERE NOT bare
   UNION ALL
-  SELECT file, 'text', 1 + len(string_split(coalesce(text, ''), chr(10))),
-         length(trim(half1)) + length(trim(half2))
-         + coalesce(list_sum(list_transform(string_split(coalesce(text, ''), chr(10))[2:],
-                                            lambda l: length(trim(l)))), 0)
-  FROM ev)
+  SELECT file, 'text', len(ls), coalesce(list_sum(list_transform(ls, lambda l: length(trim(l)))), 0) FROM al WHERE len(ls) > 0)
 SELECT file, kind, CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(chars) AS BIGINT) AS n_chars
 FROM k GROUP BY file, kind"""
 
@@ -169,7 +179,7 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN lower(up) ELSE up END AS nu
 FROM s"""
 
 SQL["b13_verses_per_book"] = "WITH " + _BOOKS + """
-SELECT file, CAST(count(*) AS BIGINT) AS n_verses FROM ev GROUP BY file"""
+SELECT file, CAST(count(*) FILTER (WHERE NOT bare AND len(vl) > 0) AS BIGINT) AS n_verses FROM al GROUP BY file"""
 
 SQL["b14_id_decomposition"] = "WITH " + _BOOKS + """
 SELECT verse_id AS id, 'Upanishads' AS book, split_part(title, ' ', 1) AS spec,
@@ -216,13 +226,13 @@ SELECT CAST(0 AS BIGINT) AS qid,
 FROM d
 QUALIFY row_number() OVER (ORDER BY d2, vec_id) <= 5"""
 
-SQL["d3_batch_top_k"] = "WITH " + _SELF_HITS + """
-SELECT qid, rk, vec_id, round(d2, 6) AS d2, round(1.0 / (1.0 + d2), 6) AS score FROM rhits"""
+SQL["d3_batch_top_k"] = "WITH " + _text_hits("conv_id * 100 + turn", "conversations", 3) + """
+SELECT qid, rk, vec_id, round(d2, 6) AS d2, round(1.0 / (1.0 + d2), 6) AS score FROM hits"""
 
-SQL["d5_metadata_hits"] = "WITH " + _SELF_HITS + """
+SQL["d5_metadata_hits"] = "WITH " + _SCORED_HITS + """
 SELECT qid, rk, vec_id, verse_id, verse, source, round(score, 6) AS score FROM scored"""
 
-SQL["d6_dropped_hits"] = "WITH " + _SELF_HITS + """
+SQL["d6_dropped_hits"] = "WITH " + _SCORED_HITS + """
 SELECT qid, CAST(count(*) AS BIGINT) AS n_dropped
 FROM rhits WHERE vec_id NOT IN (SELECT vec_id FROM meta) GROUP BY qid"""
 
@@ -236,32 +246,32 @@ e AS (SELECT *, query IS NULL OR regexp_replace(query, '^\\s+|\\s+$', '', 'g') =
 SELECT qid, k,
        CASE WHEN empty THEN 'Query cannot be empty'
             WHEN k < 1 OR k > 10 THEN 'k must be between 1 and 10' END AS reason,
-       CASE WHEN empty THEN 'Query cannot be empty' END AS answer_reason
+       CASE WHEN empty THEN 'Query cannot be empty' WHEN k < 1 THEN 'k must be at least 1' END AS answer_reason
 FROM e"""
 
-SQL["d8_response_rows"] = "WITH " + _SELF_HITS + """
+SQL["d8_response_rows"] = "WITH " + _SCORED_HITS + """
 SELECT qid, rk, verse, source, round(score, 6) AS score FROM scored"""
 
-SQL["d9_nested_results"] = "WITH " + _SELF_HITS + """
-SELECT e.vec_id AS qid, 'q' || CAST(e.vec_id AS VARCHAR) AS query,
+SQL["d9_nested_results"] = "WITH " + _SCORED_HITS + """
+SELECT e.item_id AS qid, 'q' || CAST(e.item_id AS VARCHAR) AS query,
        CAST(count(s.rk) AS BIGINT) AS n_results,
        coalesce(string_agg(s.source, '|' ORDER BY s.rk), '') AS sources,
        round(coalesce(sum(s.score), 0), 6) AS score_sum
-FROM embeddings e LEFT JOIN scored s ON s.qid = e.vec_id
-GROUP BY e.vec_id"""
+FROM benchmark e LEFT JOIN scored s ON s.qid = e.item_id
+GROUP BY e.item_id"""
 
-SQL["d10_context"] = "WITH " + _SELF_HITS + """
-SELECT e.vec_id AS qid, coalesce(string_agg('- ' || s.verse, chr(10) ORDER BY s.rk), '') AS context
-FROM embeddings e LEFT JOIN scored s ON s.qid = e.vec_id
-GROUP BY e.vec_id"""
+SQL["d10_context"] = "WITH " + _SCORED_HITS + """
+SELECT e.item_id AS qid, coalesce(string_agg('- ' || s.verse, chr(10) ORDER BY s.rk), '') AS context
+FROM benchmark e LEFT JOIN scored s ON s.qid = e.item_id
+GROUP BY e.item_id"""
 
-SQL["d11_prompt"] = "WITH " + _SELF_HITS + """,
+SQL["d11_prompt"] = "WITH " + _SCORED_HITS + """,
 ctx AS (
-  SELECT e.vec_id AS qid, 'q' || CAST(e.vec_id AS VARCHAR) AS query,
+  SELECT e.item_id AS qid, 'q' || CAST(e.item_id AS VARCHAR) AS query,
          coalesce(string_agg(s.verse_id, '|' ORDER BY s.rk), '') AS verse_ids,
          coalesce(string_agg('- ' || s.verse, chr(10) ORDER BY s.rk), '') AS context
-  FROM embeddings e LEFT JOIN scored s ON s.qid = e.vec_id
-  GROUP BY e.vec_id)
+  FROM benchmark e LEFT JOIN scored s ON s.qid = e.item_id
+  GROUP BY e.item_id)
 SELECT qid, query, verse_ids,
        'You are a helpful assistant knowledgeable in Vedic Science. Even though the Vedas talk about God, it is not a religion. Please do not name any religion, like Hinduism.' AS system_msg,
        'Question: ' || query
@@ -274,7 +284,7 @@ SELECT qid, query, verse_ids,
        || 'Please do not go through the sources one by one, summarize and synthesize.' AS user_msg
 FROM ctx"""
 
-SQL["d12_listing"] = "WITH " + _SELF_HITS + """
+SQL["d12_listing"] = "WITH " + _SCORED_HITS + """
 SELECT qid, rk, source, verse AS text, printf('%.3f', score) AS score_3 FROM scored"""
 
 SQL["e1_latest_feedback"] = "WITH " + _FEEDBACK + "\nSELECT * FROM latest"
@@ -321,21 +331,8 @@ SELECT CAST(count(*) AS BIGINT) AS n_pairs,
        round(avg(d), 6) AS mean_distance
 FROM d"""
 
-SQL["d3_text_queries_top_k"] = "WITH " + _TOKENS_DIM.format(id="item_id", table="benchmark", dim=64) + f""",
-grid AS (
-  SELECT b.item_id AS id, g.i
-  FROM benchmark b, (SELECT unnest(range(64)) AS i) g),
-qv AS (
-  SELECT grid.id AS qid, list(coalesce(w.w, 0.0) ORDER BY grid.i) AS qvec
-  FROM grid LEFT JOIN w ON w.id = grid.id AND w.bucket = grid.i
-  GROUP BY grid.id),
-d AS (
-  SELECT qv.qid, e.vec_id, {_SQ_L2.format(a='qv.qvec', b='e.embedding')} AS d2
-  FROM qv, embeddings e)
-SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY d2, vec_id) AS INTEGER) AS rk,
-       vec_id, round(d2, 6) AS d2
-FROM d
-QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d2, vec_id) <= 10"""
+SQL["d3_text_queries_top_k"] = "WITH " + _text_hits("item_id", "benchmark", 10) + """
+SELECT qid, rk, vec_id, round(d2, 6) AS d2 FROM hits"""
 
 SQL["a1_text_file_books"] = SQL["b_parse_verses"]
 
@@ -373,8 +370,8 @@ vec AS (
   GROUP BY grid.side, grid.id),
 dist AS (
   SELECT q.id AS qid, c.id AS vec_id,
-         list_sum(list_transform(list_zip(q.v, c.v),
-                  lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d2
+         round(list_sum(list_transform(list_zip(q.v, c.v),
+                  lambda x: (x[1] - x[2]) * (x[1] - x[2]))), 12) AS d2
   FROM vec q, vec c WHERE q.side = 'q' AND c.side = 'v'),
 top AS (
   SELECT qid, vec_id, d2,
@@ -384,8 +381,8 @@ top AS (
 SELECT top.qid, top.rk, corpus.verse_id, corpus.source, round(1.0 / (1.0 + top.d2), 6) AS score
 FROM top JOIN corpus USING (vec_id)"""
 
-# Requests from conversations: validation, retrieval with k <= 10 per
-# request, results nested in rank order.
+# Requests from conversations: retrieve requests take k <= 10, answer
+# requests any k >= 1; results nested in rank order.
 SQL["t_answer_batch"] = "WITH " + _BOOKS + """,
 corpus AS (
   SELECT CAST(row_number() OVER (ORDER BY file, r) - 1 AS BIGINT) AS vec_id,
@@ -396,15 +393,18 @@ req AS (
          CASE WHEN conv_id % 7 = 0 THEN ' ' || chr(9) || chr(10) || ' ' ELSE text END AS query,
          coalesce(CAST(CASE WHEN turn = 7 THEN NULL ELSE turn * 2 END AS INTEGER), 5) AS k
   FROM conversations),
+e AS (SELECT *, query IS NULL OR regexp_replace(query, '^\\s+|\\s+$', '', 'g') = '' AS empty FROM req),
 chk AS (
-  SELECT *, CASE WHEN query IS NULL OR regexp_replace(query, '^\\s+|\\s+$', '', 'g') = ''
-                   THEN 'Query cannot be empty'
+  SELECT *, 'responses' AS kind, CASE WHEN empty THEN 'Query cannot be empty'
                  WHEN k < 1 OR k > 10 THEN 'k must be between 1 and 10' END AS reason
-  FROM req),
+  FROM e
+  UNION ALL
+  SELECT *, 'answers', CASE WHEN empty THEN 'Query cannot be empty' WHEN k < 1 THEN 'k must be at least 1' END
+  FROM e),
 docs AS (
   SELECT 'v' AS side, vec_id AS id, text FROM corpus
   UNION ALL
-  SELECT 'q', qid, query FROM chk WHERE reason IS NULL),
+  SELECT 'q', qid, query FROM chk WHERE reason IS NULL AND kind = 'answers'),
 toks AS (
   SELECT side, id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS tok
   FROM docs),
@@ -423,20 +423,47 @@ vec AS (
   GROUP BY grid.side, grid.id),
 dist AS (
   SELECT q.id AS qid, c.id AS vec_id,
-         list_sum(list_transform(list_zip(q.v, c.v),
-                  lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d2
+         round(list_sum(list_transform(list_zip(q.v, c.v),
+                  lambda x: (x[1] - x[2]) * (x[1] - x[2]))), 12) AS d2
   FROM vec q, vec c WHERE q.side = 'q' AND c.side = 'v'),
 top AS (
   SELECT qid, vec_id, d2, row_number() OVER (PARTITION BY qid ORDER BY d2, vec_id) AS rk
   FROM dist
-  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d2, vec_id) <= 10),
+  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d2, vec_id) <= (SELECT max(k) FROM chk)),
 hits AS (
-  SELECT top.qid, top.rk, corpus.source, 1.0 / (1.0 + top.d2) AS score
+  SELECT chk.kind, top.qid, top.rk, corpus.source, 1.0 / (1.0 + top.d2) AS score
   FROM top JOIN chk USING (qid) JOIN corpus USING (vec_id)
-  WHERE top.rk <= chk.k)
-SELECT chk.qid, chk.reason,
+  WHERE top.rk <= chk.k AND chk.reason IS NULL)
+SELECT chk.qid, chk.kind, chk.reason,
        CAST(count(hits.rk) AS BIGINT) AS n_results,
        coalesce(string_agg(hits.source, '|' ORDER BY hits.rk), '') AS sources,
        round(coalesce(sum(hits.score), 0.0), 6) AS score_sum
-FROM chk LEFT JOIN hits USING (qid)
-GROUP BY chk.qid, chk.reason"""
+FROM chk LEFT JOIN hits ON hits.qid = chk.qid AND hits.kind = chk.kind
+GROUP BY chk.qid, chk.kind, chk.reason"""
+
+SQL["a7_feedback_append"] = "WITH " + _FEEDBACK + """
+SELECT query, verse_id, is_relevant, count(*) AS n, count(*) AS n_ids, true AS recent
+FROM fbk GROUP BY 1, 2, 3"""
+
+SQL["e11_adapt_publish_consume"] = "WITH " + _PAIRS + """
+SELECT fid, 'adapted-1' AS version, (SELECT count(*) FROM documents) AS n_vectors,
+       CAST(64 AS BIGINT) AS dim, CAST(64 AS BIGINT) AS n_weights
+FROM fbk WHERE fid NOT IN (SELECT fid FROM pairs)"""
+
+# One gradient step from weights of 1 at rate 0.5.
+SQL["e10_adapt_weights"] = """
+WITH n AS (SELECT count(*) AS n FROM embeddings),
+p AS (
+  SELECT a.vec_id AS id, CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END::DOUBLE AS y, a.embedding AS a, b.embedding AS b,
+         list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) AS ab,
+         list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE)) AS aa,
+         list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE)) AS bb
+  FROM embeddings a CROSS JOIN n JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 1) % n.n),
+c AS (SELECT *, ab / (sqrt(aa) * sqrt(bb)) AS cos FROM p),
+l AS (SELECT *, y * (1 - cos) - (1 - y) * greatest(0.5 - (1 - cos), 0.0) AS dl,
+         0.5 * (y * (1 - cos) * (1 - cos) + (1 - y) * greatest(0.5 - (1 - cos), 0.0) * greatest(0.5 - (1 - cos), 0.0)) AS loss FROM c),
+g AS (
+  SELECT i, avg(-2.0 * dl * (x::DOUBLE * z::DOUBLE / (sqrt(aa) * sqrt(bb))
+             - cos * (x::DOUBLE * x::DOUBLE / aa + z::DOUBLE * z::DOUBLE / bb) / 2.0)) AS g, avg(loss) AS loss
+  FROM (SELECT *, unnest(a) AS x, unnest(b) AS z, unnest(range(len(a))) AS i FROM l) GROUP BY i)
+SELECT CAST(i AS INTEGER) AS dim, round(1.0 - 0.5 * g, 6) AS weight, round(loss, 6) AS loss_before FROM g"""

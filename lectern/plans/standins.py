@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
 from lectern.operators.scan import running_scan
 from lectern.sources.tables import read_table
 
@@ -23,6 +24,9 @@ BOOK_FILE_PREFIX = "upanishads-"
 PART_WORDS = ["First", "second", "THIRD", "Fourth", "fifth", "Sixth", "II", "vii"]
 ROMANS_1_12 = ["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII"]
 VERSES_PER_PART = 12
+CHANT_LINE = "peace CHANT"
+NO_PARTS = "3"           # last character of sources whose books have no parts
+NO_HEADERS = "src7"      # source whose book has no headers
 DUPLICATE_ID_MODULUS = 120
 RELEVANT_EVENTS = ("click", "purchase")
 
@@ -55,55 +59,56 @@ def book_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` -> book lines ``(file, line_no, raw)``.
 
     One book per ``source``; documents in ``doc_id`` order, rank ``r`` from 0.
-    Each document becomes (every 12th one opens a part first)::
+    A document's lines are those of its text that are not blank; all but the
+    last are the verse, the last is commentary (with fewer than three lines all are the
+    verse).  Each document becomes::
 
+                                (blank)
            Part <word>          <- when r % 12 = 0; word by (r div 12) % 8
-                                   (blank)
-        <numeral>               <- Roman I..XII or digits 1..12 for r % 12 + 1
-                                   (blank)
-          <first half of the first text line>
-        \\t<second half>
-                                   (blank)
-        <remaining text lines: commentary>
-                                   (blank)
+                                (blank)
+        <header>                <- numeral or digits of r % 12 + 1; for r % 12 = 11 the chant
+                                (blank)
+          <verse lines, the first one with space before and after>
+                                (blank, commentary line)
+
+    Books whose source ends in 3 have no parts, the book of ``NO_HEADERS``
+    has no headers at all (and so no verse).  A book ends without a blank line.
     """
-    # The first step shuffles by book, and nothing heavy runs before it.
     docs = (table(spark, sf_dir, "documents")
-            .select("doc_id", "text", book_file().alias("file")))
-    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-    # Lines of a document without its optional part header: header, blank,
-    # two halves, blank, commentary lines, blank.
-    docs = docs.withColumn("_base", (F.size(lines) + 5).cast("long"))
+            .select("doc_id", "text", "source", book_file().alias("file")))
+    headed = F.col("source") != NO_HEADERS
+    parted = headed & ~F.col("source").endswith(NO_PARTS)
+    # Lines before the optional part header: their number does not depend on the rank.
+    lines = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: T.py_strip(x) != "")
+    docs = docs.select("doc_id", "file", headed.alias("headed"), parted.alias("parted"), lines.alias("lines"))
+    docs = docs.withColumn("_size", (F.size("lines") + F.when(F.col("headed"), 3).otherwise(1)
+                                     + F.when(F.size("lines") >= 3, 1).otherwise(0)).cast("long"))
     # One running scan gives both the rank and the end offset: the part
     # headers before and at rank r add 2 lines each, (r div 12 + 1) of them.
-    # The input is a plain table scan: reading it twice is cheaper than
-    # writing a checkpoint, so the windowed rows are not materialised.
     docs = running_scan(docs, ["file"], "doc_id",
-                        sums={"_n": F.lit(1).cast("long"), "_base_end": F.col("_base")},
+                        sums={"_n": F.lit(1).cast("long"), "_end": F.col("_size")},
                         materialize=False)
     r = F.col("_n") - 1
-    first = lines.getItem(0)
-    h = F.floor(F.length(first) / 2).cast("int")
-    half1 = first.substr(F.lit(1), h)
-    half2 = first.substr(h + 1, F.length(first))
-    rest = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
-    part_word = F.element_at(F.array(*[F.lit(w) for w in PART_WORDS]),
-                             (F.floor(r / VERSES_PER_PART) % len(PART_WORDS) + 1).cast("int"))
-    part_block = F.when(r % VERSES_PER_PART == 0,
-                        F.array(F.concat(F.lit("   Part "), part_word), F.lit(""))) \
+    word = F.element_at(F.array(*[F.lit(w) for w in PART_WORDS]),
+                        (F.floor(r / VERSES_PER_PART) % len(PART_WORDS) + 1).cast("int"))
+    part_block = F.when(F.col("parted") & (r % VERSES_PER_PART == 0),
+                        F.array(F.concat(F.lit("   Part "), word), F.lit(""))) \
         .otherwise(F.array().cast("array<string>"))
     number = r % VERSES_PER_PART + 1
-    header = F.when(F.floor(r / VERSES_PER_PART) % 2 == 0,
-                    F.element_at(F.array(*[F.lit(x) for x in ROMANS_1_12]), number.cast("int"))) \
-        .otherwise(number.cast("string"))
-    body = F.array(header, F.lit(""), F.concat(F.lit("  "), half1, F.lit(" ")),
-                   F.concat(F.lit("\t"), half2, F.lit("  ")), F.lit(""))
-    block = F.concat(part_block, body, rest, F.array(F.lit("")))
-    end = F.col("_base_end") + 2 * (F.floor(r / VERSES_PER_PART) + 1)
+    header = (F.when(number == VERSES_PER_PART, F.lit(CHANT_LINE))
+              .when(F.floor(r / VERSES_PER_PART) % 2 == 0,
+                    F.element_at(F.array(*[F.lit(x) for x in ROMANS_1_12]), number.cast("int")))
+              .otherwise(number.cast("string")))
+    header_block = F.when(F.col("headed"), F.array(header, F.lit(""))).otherwise(F.array().cast("array<string>"))
+    verse = F.transform("lines", lambda x, i: F.when(i == 0, F.concat(F.lit("  "), x, F.lit(" \t"))).otherwise(x))
+    verse = F.when(F.size("lines") < 3, verse).otherwise(
+        F.concat(F.slice(verse, F.lit(1), F.size("lines") - 1), F.array(F.lit(""), F.element_at("lines", -1))))
+    block = F.concat(F.array(F.lit("")), part_block, header_block, verse)
+    end = F.col("_end") + F.when(F.col("parted"), 2 * (F.floor(r / VERSES_PER_PART) + 1)).otherwise(0)
     docs = docs.select("file", end.alias("_end"), block.alias("block"))
     return (docs.select("file", (F.col("_end") - F.size("block")).alias("_off"),
                         F.posexplode("block").alias("_pos", "raw"))
-                .select("file", (F.col("_off") + F.col("_pos") + 1).cast("int").alias("line_no"),
+                .select("file", (F.col("_off") + F.col("_pos") + 1).cast("long").alias("line_no"),
                         "raw"))
 
 

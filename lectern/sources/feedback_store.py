@@ -1,8 +1,15 @@
-"""Feedback store: an append-only Parquet table.
+"""Feedback store: an append-only Parquet table with snapshots.
 
 The reference keeps feedback in a document database.  Here the store is a
-folder of Parquet files on the shared file system: appends add files, a
-consume writes a new snapshot and never rewrites files a reader may hold.
+folder on the shared file system::
+
+    path/added/                 records as they are appended
+    path/consumed/run=<n>/      ids that a finished training run used
+
+The store's content is the added records without the consumed ids.  A
+consume only adds a folder: readers and appends that run meanwhile are not
+disturbed, records appended during a training run stay, and the next read
+sees the consume.
 """
 
 from __future__ import annotations
@@ -44,14 +51,26 @@ def stamp(requests: DataFrame) -> DataFrame:
 def append(records: DataFrame, path: str) -> None:
     """Append records (already stamped) to the store."""
     (records.select(*[F.col(f.name).cast(f.dataType) for f in FEEDBACK_SCHEMA.fields])
-            .write.mode("append").parquet(path))
+            .write.mode("append").parquet(f"{path}/added"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hp)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Scan the store with its fixed schema."""
-    return spark.read.schema(FEEDBACK_SCHEMA).parquet(path)
+    """The records of the store that no run has consumed."""
+    if not _exists(spark, f"{path}/added"):
+        return spark.createDataFrame([], FEEDBACK_SCHEMA)
+    added = spark.read.schema(FEEDBACK_SCHEMA).parquet(f"{path}/added")
+    if not _exists(spark, f"{path}/consumed"):
+        return added
+    used = spark.read.schema("fid LONG").parquet(f"{path}/consumed")
+    return added.join(used.select("fid"), "fid", "left_anti")
 
 
-def write_snapshot(remaining: DataFrame, path: str) -> None:
-    """Write the feedback left after a consume as a new snapshot."""
-    remaining.write.mode("overwrite").parquet(path)
+def consume(used: DataFrame, path: str, run: str) -> None:
+    """Mark records as consumed.  ``run`` names the training run, so a
+    run that is repeated replaces its own mark."""
+    used.select(F.col("fid").cast("long")).write.mode("overwrite").parquet(f"{path}/consumed/run={run}")

@@ -3,7 +3,7 @@
 Layout under one root folder on the shared file system::
 
     root/verses/                 verse_id, text, source (+ file, line_no)
-    root/metadata/               vec_id, verse_id, text, source
+    root/metadata/<version>/     vec_id, verse_id, text, source
     root/vectors/<version>/      vec_id, embedding ARRAY<FLOAT>
     root/weights/<version>/      dim, weight          (adapted encoders)
     root/versions/               version, created, published  (one row each)
@@ -76,14 +76,18 @@ def read_vectors(spark: SparkSession, root: str, version: str) -> DataFrame:
     return spark.read.parquet(f"{root}/vectors/{version}")
 
 
-def write_metadata(verses_with_ids: DataFrame, root: str) -> None:
-    """Verse metadata keyed by ``vec_id``."""
+def write_metadata(verses_with_ids: DataFrame, root: str, version: str = BASE_VERSION) -> None:
+    """Verse metadata keyed by ``vec_id``, with the version it belongs to."""
     (verses_with_ids.select("vec_id", "verse_id", "text", "source")
-        .write.mode("overwrite").parquet(f"{root}/metadata"))
+        .write.mode("overwrite").parquet(f"{root}/metadata/{version}"))
 
 
-def read_metadata(spark: SparkSession, root: str) -> DataFrame:
-    return check_columns(spark.read.parquet(f"{root}/metadata"))
+def read_metadata(spark: SparkSession, root: str, version: str = BASE_VERSION) -> DataFrame:
+    """Metadata of a version; versions that only changed the encoder have
+    none of their own and use the base version's."""
+    own = f"{root}/metadata/{version}"
+    return check_columns(spark.read.parquet(
+        own if _exists(spark, own) else f"{root}/metadata/{BASE_VERSION}"))
 
 
 def publish_version(spark: SparkSession, root: str, version: str) -> None:

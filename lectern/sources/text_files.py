@@ -3,11 +3,12 @@
 ``read_lines`` turns text files into ``(file, line_no, raw)`` without reading
 any file whole: Spark's line reader splits big files into byte blocks, and
 the line number of a row is (lines in earlier blocks of the same file) +
-(position inside its block).  The per-block line counts are one tiny
-aggregate, their running sum per file is a window over block rows (one row
-per block), and the result is joined back on (file, block) - broadcast when
-the block table is under the broadcast threshold, so the lines stay where
-the scan put them.
+(position inside its block).  The scanned rows are written once with their
+block and position, so the counts and the lines come from the same splits
+whatever the number of executors does meanwhile.  The per-block counts are
+one tiny aggregate, their running sum per file is a window over block rows,
+and the result is joined back on (file, block) - broadcast when the block
+table is under the broadcast threshold.
 """
 
 from __future__ import annotations
@@ -23,25 +24,24 @@ _log = logging.getLogger(__name__)
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Text files -> ``file STRING, line_no INT, raw STRING``.
+    """Text files -> ``file STRING, line_no LONG, raw STRING``.
 
     Line ends are LF, CR LF or CR, as with Python's universal newlines.
     ``line_no`` starts at 1 in every file.  A missing path raises
     (Spark's ``PATH_NOT_FOUND``); use ``read_lines_if_exists`` for the
     empty-result behaviour.
 
-    The files are scanned twice (block statistics, then the lines), and
-    both scans must split the files the same way: keep the file-split
-    settings (``spark.sql.files.*``) unchanged until the result is used, or
-    write it (``parse_verses`` checkpoints it right away).
+    ``file`` is the path with its percent-encoding undone, so titles and
+    ids come from the name that a listing shows.
     """
     if isinstance(paths, str):
         paths = [paths]
-    raw = (spark.read.text(paths)
-           .select(F.col("_metadata.file_path").alias("file"),
-                   F.col("_metadata.file_block_start").alias("block"),
-                   F.monotonically_increasing_id().alias("_pos"),
-                   F.col("value").alias("raw")))
+    raw = small_table(
+        spark.read.text(paths)
+        .select(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("file"),
+                F.col("_metadata.file_block_start").alias("block"),
+                F.monotonically_increasing_id().alias("_pos"),
+                F.col("value").alias("raw")), "raw-lines")
     # Rows of one (file, block) are read by one task in file order, so
     # their monotonically increasing ids are consecutive and ordered.
     blocks = raw.groupBy("file", "block").agg(
@@ -58,7 +58,7 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return (raw.join(offsets, ["file", "block"])
                .select("file",
                        (F.col("_before") + F.col("_pos") - F.col("_first") + 1)
-                       .cast("int").alias("line_no"),
+                       .cast("long").alias("line_no"),
                        "raw"))
 
 
@@ -79,5 +79,5 @@ def read_lines_if_exists(spark: SparkSession, paths: str | list[str]) -> DataFra
     if missing:
         _log.error("file not found: %s", ", ".join(missing))
     if not present:
-        return spark.createDataFrame([], "file STRING, line_no INT, raw STRING")
+        return spark.createDataFrame([], "file STRING, line_no LONG, raw STRING")
     return read_lines(spark, present)

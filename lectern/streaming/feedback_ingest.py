@@ -90,14 +90,20 @@ def ingest_json_requests(spark: SparkSession, in_dir: str, out_dir: str,
     return start_ingest(checked, out_dir, f"{out_dir}/_checkpoint", available_now)
 
 
-def ingest_events_once(spark: SparkSession, sf_dir: str, out_dir: str) -> None:
-    """Stream the ``events`` table of a driver folder as feedback requests
-    (stand-in mapping of ``standins.feedback``) into ``out_dir``."""
+def ingest_events_once(spark: SparkSession, sf_dir: str, out_dir: str, files_per_trigger: int = 100) -> None:
+    """Stream the ``events`` table of a driver folder, one file or a folder
+    of part files, as feedback requests (stand-in mapping of
+    ``standins.feedback``) into ``out_dir``."""
     events_schema = S.table(spark, sf_dir, "events").schema
-    stream = (spark.readStream.schema(events_schema)
-              .option("pathGlobFilter", "events.parquet")
-              .option("maxFilesPerTrigger", 1)
-              .parquet(sf_dir))
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    reader = spark.readStream.schema(events_schema).option("maxFilesPerTrigger", files_per_trigger)
+    # A file stream reads folders; a single file is named by a filter on its folder.
+    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getFileStatus(hp).isDirectory():
+        stream = reader.parquet(path)
+    else:
+        stream = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     raw = stream.select(
         F.col("event_id").alias("fid"),
         F.col("event_type").alias("query"),

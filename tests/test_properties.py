@@ -66,8 +66,7 @@ def test_nearest_equals_brute_force(spark, n, nq, dim, k, dups, small_cap, seed)
     qdf = spark.createDataFrame([(100 + j, q.tolist()) for j, q in enumerate(qs)],
                                 "qid LONG, qvec ARRAY<DOUBLE>")
     cap = 8 * dim if small_cap else knn.DEFAULT_BROADCAST_CAP
-    got = knn.nearest(cdf, qdf, k=k, broadcast_cap=cap, corpus_rows=n,
-                      corpus_block_rows=max(1, n // 3)).collect()
+    got = knn.nearest(cdf, qdf, k=k, broadcast_cap=cap).collect()
     by_q = {}
     for r in got:
         by_q.setdefault(r.qid, []).append((r.rk, r.vec_id, r.d2))

@@ -67,7 +67,20 @@ def test_adapt_cycle_publishes_then_consumes(spark, tmp_path):
     assert res["trained"] and res["n_pos"] == 3 and res["n_neg"] == 1
     assert all(b <= a + 1e-12 for a, b in zip(res["losses"], res["losses"][1:]))
     assert index_store.resolve_version(spark, root) == "v1"
-    assert spark.read.parquet(store_path + "_next").count() == 0
+    assert feedback_store.read(spark, store_path).count() == 0
+    # The next run sees the consume: nothing to train on, nothing published.
+    again = jobs.adapt_from_feedback(spark, root, store_path, "v2", dim=16, steps=3)
+    assert not again["trained"] and index_store.resolve_version(spark, root) == "v1"
+    # Records that name no verse are no pairs: they stay, and nothing is published.
+    stray = spark.createDataFrame([("alpha", "nowhere", True)], "query STRING, verse_id STRING, is_relevant BOOLEAN")
+    feedback_store.append(feedback_store.stamp(stray), store_path)
+    none = jobs.adapt_from_feedback(spark, root, store_path, "v2", dim=16, steps=3)
+    assert not none["trained"] and none["n_pos"] == 1 and index_store.resolve_version(spark, root) == "v1"
+    with pytest.raises(KeyError):
+        jobs.adapt_from_feedback(spark, root, store_path, "v2", dim=16, strict=True)
+    feedback_store.append(feedback_store.stamp(reqs.limit(2)), store_path)
+    more = jobs.adapt_from_feedback(spark, root, store_path, "v1b", dim=16, steps=3)
+    assert more["trained"] and [r.verse_id for r in feedback_store.read(spark, store_path).collect()] == ["nowhere"]
     vectors, meta, weights = jobs.current_index(spark, root, dim=16)
     assert weights is not None and len(weights) == 16
     q = spark.createDataFrame([(1, "om shanti"), (2, "beta gamma")], "qid LONG, query STRING")
@@ -76,8 +89,14 @@ def test_adapt_cycle_publishes_then_consumes(spark, tmp_path):
     assert top == {1: "Upanishads+Test-0-3", 2: "Upanishads+Test-0-2"}
     out = jobs.answer_batch(vectors, meta, spark.createDataFrame(
         [(1, "om", 2), (2, " ", 3), (3, "alpha", 11)], "qid LONG, query STRING, k INT"), dim=16)
-    assert out["rejected"].count() == 2
+    assert out["rejected"].count() == 2 and out["rejected_answers"].count() == 1
     assert [len(r.results) for r in out["responses"].collect()] == [2]
+    # An answer request has no upper bound on k.
+    assert sorted((r.qid, len(r.context)) for r in out["answers"].collect()) == [(1, 2), (3, 4)]
+    spark.createDataFrame([("v1c",)], "version STRING").write.parquet(f"{root}/vectors/v1c")
+    index_store.publish_version(spark, root, "v1c")
+    with pytest.raises(Exception, match="weights"):
+        jobs.current_index(spark, root, dim=16)
 
 
 def test_stream_ingest_splits_valid_and_rejected(spark, tmp_path):
@@ -110,6 +129,24 @@ def test_json_request_stream(spark, tmp_path):
     assert sorted(r.reason for r in rejected) == ["is_relevant not a boolean", "verse_id missing"]
 
 
+@pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="driver tables not present")
+def test_stream_of_a_folder_of_part_files(spark, tmp_path):
+    spark.read.parquet(SF_SMALL + "/events.parquet").repartition(7).write.parquet(str(tmp_path / "sf" / "events.parquet"))
+    feedback_ingest.ingest_events_once(spark, str(tmp_path / "sf"), str(tmp_path / "out"), files_per_trigger=3)
+    assert feedback_ingest.read_ingested(spark, str(tmp_path / "out")).count() == spark.read.parquet(
+        SF_SMALL + "/events.parquet").count()
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+    from lectern import session
+    conf = SimpleNamespace(get=lambda *a: None)
+    sc = SimpleNamespace(getConf=lambda: conf, master="yarn", _jsc=SimpleNamespace(
+        sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))
+
+
 @pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="driver tables not present")
 def test_entry_contract(spark):
     import __spark_entry__ as E
