@@ -1,0 +1,105 @@
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from lectern.llm import repeats as R
+from tests.llm.conftest import documents
+
+
+def brute(texts, length):
+    raw = [(t or "").encode() for t in texts]
+    count = Counter(b[i:i + length] for b in raw for i in range(len(b) - length + 1))
+    out = []
+    for b in raw:
+        gone = np.zeros(len(b) + 1, int)
+        for i in range(len(b) - length + 1):
+            if count[b[i:i + length]] > 1:
+                gone[i] += 1
+                gone[i + length] -= 1
+        gone = np.cumsum(gone)[:-1] > 0
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        out.append((len(b), int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept))
+    return out
+
+
+def run(spark, texts, length=R.LENGTH, ids=None, **kw):
+    got = R.remove(documents(spark, texts, ids=ids), length, **kw).collect()
+    want = brute(texts, length)
+    key = lambda r: (str(r[0]), *r[1:])
+    ids = ids or list(range(len(texts)))
+    assert sorted((tuple(r[:5]) + (bytes(r[5]),) for r in got), key=key) == sorted(
+        ((i, *w) for i, w in zip(ids, want)), key=key)
+
+
+def text(rng, n, letters="abcdefghij éß"):
+    return "".join(rng.choice(letters) for _ in range(n))
+
+
+def test_suffix_array_of_small_strings():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 3, 4, 5, 7, 50, 300):
+        for k in (2, 3, 6):
+            s = rng.integers(1, k, n)
+            assert R.suffix_array(s, k).tolist() == sorted(range(n), key=lambda i: s[i:].tolist())
+
+
+def test_copies_edits_passages_and_shifts(spark):
+    rng = random.Random(1)
+    base = text(rng, 3000)
+    passage = text(rng, 700)
+    texts = [base, base, base[:1500] + "X" + base[1500:], base[37:], base[:900] + text(rng, 200) + base[1100:]]
+    texts += [text(rng, rng.randrange(0, 900)) + passage + text(rng, rng.randrange(0, 900)) for _ in range(12)]
+    texts += [text(rng, 1500) for _ in range(5)]
+    texts += [passage[:400], passage[1:400], passage[100:499] + "q"]
+    run(spark, texts)
+
+
+def test_repetition_inside_a_document_and_periods(spark):
+    rng = random.Random(2)
+    block = text(rng, 650)
+    texts = ["a" * 399, "b" * 400, "c" * 401, "ab " * 300, block + text(rng, 50) + block, "se " * 1000 + block,
+             "x" * 5000, ("abcdefg" * 100)[:395]]
+    run(spark, texts)
+
+
+def test_an_anchor_with_many_texts_is_finished_by_hashes(spark):
+    rng = random.Random(3)
+    passage = text(rng, 640)
+    texts = [text(rng, 500) + passage + text(rng, 500) for _ in range(40)]
+    run(spark, texts, group_texts=5)
+    run(spark, texts, group_texts=5, bucket_bytes=5000)
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    rng = random.Random(4)
+    block = text(rng, 5000)
+    run(spark, [block + text(rng, 9000) + block, text(rng, 7000), block[100:4000]], 400)
+    data = np.frombuffer((block * 3).encode(), np.uint8)
+    offs = np.array([0, 100, 100, len(data)])
+    monkeypatch.setattr(R, "PIECE", 1000)
+    seen = [(int(rows[0]), place, len(part)) for part, _, rows, place in R._pieces(data, offs, 400)]
+    assert seen[0] == (0, 0, 100) and all(n <= 1399 for _, _, n in seen)
+    starts = sorted(p + k for r, p, n in seen if r == 2 for k in range(min(1000, n - 399)))
+    assert starts == list(range(len(data) - 100 - 399))
+
+
+@pytest.mark.parametrize("length", [80, 100])
+def test_random_texts_of_few_letters(spark, length):
+    rng = random.Random(length)
+    texts = []
+    for _ in range(25):
+        t = text(rng, rng.randrange(0, 400), "ab")
+        if texts and rng.random() < 0.7:
+            o = rng.choice(texts)
+            i = rng.randrange(0, len(o) + 1)
+            t += o[i:i + rng.randrange(0, 300)]
+        texts.append(t)
+    run(spark, texts, length)
+
+
+def test_odd_rows(spark):
+    run(spark, [None, "", "short", "é" * 250, "é" * 250, None, "z" * 10], ids=[0, 1, 2, 3, 3, None, None])
+    assert R.remove(documents(spark, [])).collect() == []
