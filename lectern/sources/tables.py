@@ -4,23 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+# A table of fewer bytes than this for each task slot is dealt out again.
+BYTES_PER_SLOT = 4 << 20
 
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Hash-repartition ``df`` by ``key`` when its scan has fewer partitions
-    than the cluster has task slots.
 
-    A single Parquet file with one row group is read by one task, and the
-    CPU-heavy text work right after the scan (regexes, tokenising, hashing)
-    would run on one core.  On large inputs the scan already has many more
-    partitions than slots and this is a no-op, so no extra shuffle happens at
-    scale.  Hash partitioning (not round-robin) keeps retries deterministic.
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or folder, by the file system's own listing."""
+    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getContentSummary(hp).getLength()
+
+
+def read_table(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    """A table whose scan is followed by CPU-heavy work (regexes,
+    tokenising, hashing, distances).
+
+    A small Parquet file is read by one task, and that work would run on one
+    core; such a table is hash-repartitioned by ``key`` over the task slots
+    (hash, not round-robin: retries are deterministic).  A large table has
+    more splits than slots and stays as the scan deals it.
     """
-    spark = df.sparkSession
+    df = spark.read.parquet(path)
     slots = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
+    if stored_bytes(spark, path) >= slots * BYTES_PER_SLOT:
         return df
     return df.repartition(slots, key) if key else df.repartition(slots)
-
-
-def read_table(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    return spread(spark.read.parquet(path), key)
