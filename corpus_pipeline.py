@@ -16,15 +16,14 @@ from lectern.llm.catalog import tokenizer_path
 from lectern.llm.common import crc_mod, discard, materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-MIN_SCORE = 0.35         # least mean probability of the predicted language
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; texts without letters go."""
+    """Documents whose language can be told; null texts and texts without a
+    letter go.  Short or mixed texts have low scores but are not dirty, so no
+    score is asked for."""
     net = language.train(language.training_sample(docs, crc_mod("doc_id", 5) != 0))
     scored = language.classify(docs.select(*COLUMNS), net)
-    if len(net.labels) > 1:
-        scored = scored.filter(F.col("score") >= MIN_SCORE)
     return scored.filter(F.col("lang_pred") != language.UNDETERMINED).select(*COLUMNS)
 
 
