@@ -3,14 +3,17 @@
 Two sets whose Jaccard similarity reaches the threshold share a token among
 the first ``n - ceil(t * n) + 1`` tokens of each, under *every* order of all
 tokens.  Candidates come from a join on the prefix tokens of the first
-order; they stay only if they also share prefix tokens under the other
-orders, and the rest is verified on the whole sets.  Every order puts tokens
+order; the overlap that a pair needs grows with both sizes, so of the smaller
+set only the first ``n - ceil(2t / (1 + t) * n) + 1`` tokens count.  Their sizes, and counts of their tokens by a few bits of the hash,
+bound the similarity from above and leave out most of them.  The others stay
+only if they also share prefix tokens under the other orders, and what is left
+is verified on the whole sets.  Every order puts tokens
 that are frequent (a bounded table, counted over all documents) last, so
 common lines make no candidates.  An order is a fixed function of the token:
 however rough the counts are, no link is lost.
 
 Groups of copies: documents with equal sets become one node first.  Nodes
-that share a prefix token are compared with the smallest node of that token
+that share a prefix token are compared with one node of that token
 (linear in the group); once those links have merged their components, only
 nodes of *different* components that share a prefix token are paired.  The
 components are those of all links, but a large group of near copies never
@@ -32,15 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import (SPACE, bounded_batches, components, discard, materialize, mix64, run_hashes, runs,
-                                text_bytes)
+from pyspark.sql.functions import arrow_udf
+
+from lectern.llm.common import (SPACE, bounded_batches, components, materialize, mix64, process_cache, release,
+                                run_hashes, runs, text_bytes)
 
 WORDS = 4
 PERCENT = 85
 ORDERS = 3
-HOT_TOKENS = 1 << 16     # frequent tokens that the orders put last
-HOT_IN_BATCH = 4         # documents of a batch that make a token worth counting
-HOT_AT_LEAST = 32
+HOT_TOKENS = 1 << 18     # frequent tokens that the orders put last (8 bytes each)
+HOT_IN_BATCH = 2         # documents of a batch that make a token worth counting
+HOT_AT_LEAST = 6
+CELLS = 1 << 13          # counts of a sketch at most
 
 _PLACE = mix64(np.arange(11, 43, dtype=np.uint64))
 _ORDER = mix64(np.arange(101, 133, dtype=np.uint64))
@@ -74,15 +80,41 @@ def set_hash(x: np.ndarray) -> int:
     return int(mix64(np.array([np.add.reduce(mix64(x ^ _ORDER[-1])) + np.uint64(len(x))], np.uint64)).view(np.int64)[0])
 
 
+def lengths(n: int, percent: int = PERCENT) -> tuple[int, int]:
+    """Prefix lengths of a set of n tokens: towards sets of any size, and
+    towards sets that are not smaller (the overlap is then at least
+    2t / (1 + t) of n)."""
+    return n + (-percent * n) // 100 + 1, n + (-2 * percent * n) // (100 + percent) + 1
+
+
 def prefix(x: np.ndarray, order: int, hot: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The tokens that come first under an order: rare ones by a hash of
-    the order's own, then frequent ones."""
-    p = len(x) + (-percent * len(x)) // 100 + 1
+    """The tokens that come first under an order, in that order: rare ones
+    by a hash of the order's own, then frequent ones."""
+    p = lengths(len(x), percent)[0]
     key = mix64(x ^ _ORDER[order]) >> np.uint64(1)
     if len(hot):
         at = np.minimum(np.searchsorted(hot, x), len(hot) - 1)
         key |= (hot[at] == x).astype(np.uint64) << np.uint64(63)
-    return x[np.argpartition(key, p - 1)[:p]] if p < len(x) else x
+    first = np.argpartition(key, p - 1)[:p] if p < len(x) else np.arange(len(x))
+    return x[first[np.argsort(key[first])]]
+
+
+def sketch(x: np.ndarray) -> bytes:
+    """How many tokens begin with each bit pattern, about 8 patterns' worth
+    of tokens each; empty where a count does not fit a byte."""
+    cells = int(np.clip(1 << max(0, int(len(x)).bit_length() - 3), 16, CELLS))
+    shift = np.uint64(64 - (cells.bit_length() - 1))
+    c = np.bincount((x >> shift).astype(np.int64), minlength=cells)
+    return c.astype(np.uint8).tobytes() if c.max(initial=0) < 256 else b""
+
+
+def at_most(a: bytes, b: bytes) -> int:
+    """Upper bound of the size of the intersection (-1: none known)."""
+    if not a or not b:
+        return -1
+    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+    n = min(len(x), len(y))
+    return int(np.minimum(x.reshape(n, -1).sum(axis=1), y.reshape(n, -1).sum(axis=1)).sum())
 
 
 def _longs(arrays: list[np.ndarray]) -> pa.Array:
@@ -95,6 +127,7 @@ def frequent_tokens(docs: DataFrame, words: int = WORDS, limit: int = HOT_TOKENS
     """Tokens that many documents have, at most ``limit``.  Every batch of
     every partition is counted; a batch reports tokens that recur in it."""
     def count(batches):
+        process_cache("ngram")
         for rb in batches:
             data, offsets = text_bytes(rb.column("text"))
             sets = shingle_sets(data, offsets, words)
@@ -102,6 +135,7 @@ def frequent_tokens(docs: DataFrame, words: int = WORDS, limit: int = HOT_TOKENS
                 tok, c = np.unique(np.concatenate(sets), return_counts=True)
                 keep = c >= HOT_IN_BATCH
                 yield pa.RecordBatch.from_arrays([pa.array(tok[keep].view(np.int64)), pa.array(c[keep])], ["token", "c"])
+        release()
 
     top = (docs.select("text").mapInArrow(count, "token LONG, c LONG").groupBy("token").agg(F.sum("c").alias("c"))
            .filter(F.col("c") >= HOT_AT_LEAST).orderBy(F.desc("c"), "token").limit(limit).select("token").toPandas())
@@ -123,24 +157,47 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, orders: in
                 [rb.column("doc_id"),
                  pa.array([set_hash(x) if len(x) else None for x in sets], pa.int64()),
                  pa.array([len(x) for x in sets], pa.int64()),
-                 _longs([prefix(x, 0, hot.value, percent) if len(x) else x for x in sets])],
-                ["doc_id", "nid", "n", "prefix"])
+                 _longs([prefix(x, 0, hot.value, percent) if len(x) else x for x in sets]),
+                 pa.array([sketch(x) for x in sets], pa.binary())],
+                ["doc_id", "nid", "n", "prefix", "sketch"])
+        release()
 
-    signed = materialize(docs.mapInArrow(signatures, "doc_id LONG, nid LONG, n LONG, prefix ARRAY<LONG>"), "signatures")
+    signed = materialize(docs.mapInArrow(signatures, "doc_id LONG, nid LONG, n LONG, prefix ARRAY<LONG>, sketch BINARY"), "signatures")
     nodes = materialize(signed.filter("n > 0").groupBy("nid").agg(
-        F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")), "nodes")
+        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
+        F.first("sketch").alias("sketch")), "nodes")
 
     # Tokens that several nodes have in their prefixes, with the smallest node.
-    rows = nodes.select("nid", F.explode("prefix").alias("token"))
-    shared = materialize(rows.groupBy("token").agg(
-        F.min("nid").alias("lead"), F.max("nid").alias("last"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "tokens")
-    several = materialize(rows.join(shared.filter("c > 2").select("token", "lead"), "token"), "groups")
-    star = materialize(shared.filter("c = 2").select(F.col("lead").alias("a"), F.col("last").alias("b"))
-                       .union(several.filter("nid <> lead").select(F.col("lead").alias("a"), F.col("nid").alias("b")))
-                       .distinct(), "star")
-
-    wanted = star.select(F.col("a").alias("nid")).union(star.select("b")).distinct()
-    reps = nodes.join(wanted, "nid", "left_semi").select(F.col("rep"), F.col("nid").alias("want"))
+    # ``early``: the token counts towards sets that are not smaller.  Without
+    # an early node the nodes of a token cannot meet.
+    rows = nodes.select("nid", "n", F.posexplode("prefix").alias("at", "token")).select(
+        "nid", "n", "token", (F.col("at") < F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1).alias("early"))
+    shared = materialize(rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.max("early").alias("any"))
+                         .filter("c > 1 AND any").select("token"), "tokens")
+    groups = materialize(rows.join(shared, "token"), "groups")
+    # The leader of a token is an early node that shares most of its prefix
+    # with others: of a group of near copies, one with few edits of its own.
+    common = groups.groupBy("nid").agg((-F.count(F.lit(1)) / F.max("n")).alias("own"))
+    ranked = groups.join(common, "nid")
+    lead = ranked.groupBy("token").agg(F.min(F.struct((~F.col("early")).alias("late"), "own", "nid", "n")).alias("lead"))
+    meet = (f"100 * least({{a}}.n, {{b}}.n) >= {percent} * greatest({{a}}.n, {{b}}.n)"
+            " AND ({a}.early OR {a}.n > {b}.n) AND ({b}.early OR {b}.n > {a}.n)")
+    several = materialize(groups.join(lead, "token").select("token", "nid", "n", "early", "lead"), "led")
+    star = materialize(several.select(F.struct("nid", "n", "early").alias("x"), F.struct(
+        "lead.nid", "lead.n", (~F.col("lead.late")).alias("early")).alias("y"))
+                       .filter("x.nid <> y.nid AND " + meet.format(a="x", b="y"))
+                       .select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct(), "star")
+
+    @arrow_udf("boolean")
+    def possible(a_sketch: pa.Array, b_sketch: pa.Array, both: pa.Array) -> pa.Array:
+        bound = [at_most(x, y) for x, y in zip(a_sketch.to_pylist(), b_sketch.to_pylist())]
+        return pa.array([i < 0 or 100 * i >= percent * (n - i) for i, n in zip(bound, both.to_pylist())], pa.bool_())
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        side = lambda s: nodes.select(F.col("nid").alias(s), F.col("n").alias(f"{s}_n"), F.col("sketch").alias(f"{s}_s"))
+        near = (pairs.join(side("a"), "a").join(side("b"), "b")
+                .filter(F.lit(100) * F.least("a_n", "b_n") >= F.lit(percent) * F.greatest("a_n", "b_n")))
+        return materialize(near.filter(possible("a_s", "b_s", F.col("a_n") + F.col("b_n"))).select("a", "b"), "plausible")
 
     def whole(batches):
         for rb in batches:
@@ -153,37 +210,47 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, orders: in
             yield pa.RecordBatch.from_arrays(
                 [pa.array(want[keep], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), _longs(sets), *later],
                 ["nid", "n", "tokens", *[f"p{o}" for o in range(1, orders)]])
+        release()
 
     schema = "nid LONG, n LONG, tokens ARRAY<LONG>" + "".join(f", p{o} ARRAY<LONG>" for o in range(1, orders))
-    sets = materialize(docs.join(reps, docs["doc_id"].eqNullSafe(reps["rep"])).select("text", "want")
-                       .mapInArrow(whole, schema).dropDuplicates(["nid"]), "sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def token_sets(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """Whole sets, and prefixes under the later orders, of the nodes of pairs."""
+        nids = pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct()
+        if known is not None:
+            nids = nids.join(known, "nid", "left_anti")
+        reps = nodes.join(nids, "nid", "left_semi").select("rep", F.col("nid").alias("want"))
+        return materialize(docs.join(reps, docs["doc_id"].eqNullSafe(reps["rep"])).select("text", "want")
+                           .mapInArrow(whole, schema).dropDuplicates(["nid"]), "sets")
+
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         more = [f"p{o}" for o in range(1, orders)]
         side = lambda s, cols: sets.select(F.col("nid").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in cols])
-        test = F.lit(100) * F.least("a_n", "b_n") >= F.lit(percent) * F.greatest("a_n", "b_n")
+        test = F.lit(True)
         for p in more:
             test &= F.arrays_overlap(f"a_{p}", f"b_{p}")
-        left = materialize(pairs.join(side("a", ["n", *more]), "a").join(side("b", ["n", *more]), "b")
+        left = materialize(pairs.join(side("a", more), "a").join(side("b", more), "b")
                            .filter(test).select("a", "b"), "candidates")
         both = left.join(side("a", ["n", "tokens"]), "a").join(side("b", ["n", "tokens"]), "b")
         i = F.size(F.array_intersect("a_tokens", "b_tokens"))
         return materialize(both.select("a", "b", (F.col("a_n") + F.col("b_n")).alias("s"), i.alias("i"))
                            .filter(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b"), "links")
 
-    links = verified(star)
+    star = plausible(star)
+    sets = token_sets(star)
+    links = verified(star, sets)
     comp = components(links)
-    placed = several.join(comp, several["nid"] == comp["node"], "left").select(
-        "token", "nid", "lead", F.coalesce("component", "nid").alias("comp"))
-    placed = materialize(placed, "placed")
+    # Nodes of different components that share a prefix token.
+    placed = materialize(several.join(comp, several["nid"] == comp["node"], "left").select(
+        "token", "nid", "lead", "n", "early", F.coalesce("component", "nid").alias("comp")), "placed")
     mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    rest = placed.filter("nid <> lead").join(mixed, "token").select("token", "nid", "comp")
+    rest = placed.filter("nid <> lead.nid").join(mixed, "token").select("token", "nid", "n", "early", "comp")
     cross = (rest.alias("x").join(rest.alias("y"), "token")
-             .filter("x.nid < y.nid AND x.comp <> y.comp")
+             .filter("x.nid < y.nid AND x.comp <> y.comp AND " + meet.format(a="x", b="y"))
              .select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b")).distinct())
-    late = verified(cross)
-    if late.take(1):
-        discard(comp) if comp.inputFiles() else None
+    cross = plausible(cross)
+    if cross.take(1):
+        late = verified(cross, sets.unionByName(token_sets(cross, sets)))
         comp = components(links.union(late))
 
     named = nodes.select("nid", "rep").join(comp, F.col("nid") == F.col("node"), "left").select(
@@ -196,6 +263,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, orders: in
 
 
 def one_of_each(docs: DataFrame, joined: DataFrame) -> DataFrame:
-    """One row of every group: the one that names the component."""
+    """One row of every group: the one that names the component.  Rows that
+    share their doc_id (or have none) but not their text all stay."""
     keep = joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return (docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id"]))
+    return (docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+            .withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text"))
