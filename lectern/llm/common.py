@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from lectern.session import scratch_path
 
 BATCH_ROWS = 2000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -55,9 +56,26 @@ def crc_mod(col: str, n: int):
 
 
 def process_cache(name: str) -> dict:
-    """A dict that lives as long as the Python worker, across its tasks."""
+    """A dict that lives as long as the Python worker, across its tasks.  A
+    worker keeps one operator's cache at a time: the next stage of a pipeline
+    drops what the last one kept."""
     holder = sys.modules.setdefault("_lectern_process_cache", types.ModuleType("_lectern_process_cache"))
-    return holder.__dict__.setdefault(name, {})
+    kept = holder.__dict__.setdefault("kept", {})
+    if name not in kept:
+        kept.clear()
+        kept[name] = {}
+        release()
+    return kept[name]
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers outlive their
+    tasks, and what their allocators hold counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:      # another C library
+        pass
 
 
 # ---------------------------------------------------------------- bytes

@@ -33,7 +33,7 @@ HIDDEN = 16
 STEPS = 350
 MINIBATCH = 256
 RUN = 48                 # bytes of a run at most
-KEPT_RUNS = 1_000_000    # runs whose labels a worker keeps
+KEPT_RUNS = 400_000    # runs whose labels a worker keeps
 UNDETERMINED = "und"
 
 LETTER = np.zeros(256, dtype=bool)

@@ -12,7 +12,7 @@ import numpy as np
 
 from lectern.llm.common import run_hashes
 
-MAX_PARTS = 2_000_000    # parts a worker keeps between batches (about 30 bytes each)
+MAX_PARTS = 700_000    # parts a worker keeps between batches (about 30 bytes each)
 
 
 class PartTable:
