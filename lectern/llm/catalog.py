@@ -109,7 +109,7 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op3_cap_filters": """
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings),
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 u AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS r FROM v),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
   WHERE list_inner_product(a.e, b.e) >= 0.93 * a.r * b.r),
