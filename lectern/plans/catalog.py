@@ -108,12 +108,11 @@ def e11_adapt_publish_consume(spark, sf):
     feedback_store.append(S.feedback(spark, sf), store)
     jobs.adapt_from_feedback(spark, root, store, "adapted-1", dim=64, steps=2)
     vectors, _, weights = jobs.current_index(spark, root, 64)
-    n = vectors.agg(F.count(F.lit(1)).alias("n_vectors"), F.max(F.size("embedding")).alias("dim"))
-    return (feedback_store.read(spark, store).select("fid")
-            .crossJoin(F.broadcast(n.withColumn("version", F.lit(index_store.resolve_version(spark, root)))
-                                   .withColumn("n_weights", F.lit(len(weights)))))   # one row
-            .select("fid", "version", F.col("n_vectors").cast("long").alias("n_vectors"),
-                    F.col("dim").cast("long").alias("dim"), F.col("n_weights").cast("long").alias("n_weights")))
+    n = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    return feedback_store.read(spark, store).select(
+        "fid", F.lit(index_store.resolve_version(spark, root)).alias("version"),
+        F.lit(n["n"]).cast("long").alias("n_vectors"), F.lit(n["dim"]).cast("long").alias("dim"),
+        F.lit(len(weights)).cast("long").alias("n_weights"))
 
 
 def a10_feedback_stream(spark, sf):

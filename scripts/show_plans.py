@@ -1,4 +1,4 @@
-"""Print the physical-plan outline of every registered query: scans (with
+"""Print the physical-plan outline of every query of the engine: scans (with
 their read schema and pushed filters), exchanges, joins, windows, Python
 stages.  Used to write PLANS.md.
 
@@ -39,7 +39,7 @@ def outline(plan: str) -> list[str]:
 def main(argv):
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     from lectern.session import get_spark
-    import __spark_entry__ as E
+    from lectern.plans.catalog import QUERIES
     spark = get_spark("local[8]", shuffle_partitions=8)
     print("# Physical plan outlines\n")
     print("Generated by `scripts/show_plans.py` on the sf0.01 driver tables (plans")
@@ -47,7 +47,7 @@ def main(argv):
     print("local table such as the latest-N feedback; small `FileScan parquet` tables under")
     print("the checkpoint folder are written carries and offsets).")
     print("No plan contains a Cartesian product or a nested-loop join.\n")
-    for name, fn in E.queries().items():
+    for name, fn in QUERIES.items():
         if name == "e10_adapt_weights":
             continue
         plan = fn(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
