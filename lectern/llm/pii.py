@@ -12,7 +12,8 @@ The table of entities is aggregated before any join.  Clean texts never
 leave the scan: only texts with an entity are split, joined and put together.
 
 Defined cases: null and empty texts stay as they are; digits that only look
-like a card number (check digit wrong) stay; repeated rows get equal texts;
+like a card number (check digit wrong) stay; passwords without a letter or
+digit (``****``, the second ``=`` of a comparison) stay; repeated rows get equal texts;
 an empty table gives an empty table; other columns pass through, and a
 column named ``n_entities`` is replaced.
 """
@@ -44,6 +45,10 @@ SYLLABLES = {
     "cyrillic": "ба бе бо да де до га го ка ке ко ла ле ло ма ме мо на не но ра ре ро са се со та те то ва ве во".split(),
     "greek": "βα βε βο γα γο δα δε δο κα κε κο λα λε λο μα με μο να νε νο πα πε πο ρα ρε ρο σα σε σο τα τε το".split(),
 }
+ALPHABETS = {
+    r"[\p{IsCyrillic}&&\p{Ll}]": "абвгдежзиклмнопрстуфхцчшэюя", r"[\p{IsCyrillic}&&\p{Lu}]": "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ",
+    r"[\p{IsGreek}&&\p{Ll}]": "αβγδεζηθικλμνξοπρστυφχψω", r"[\p{IsGreek}&&\p{Lu}]": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
+}
 
 NAME = r"\p{Lu}[\p{L}'-]*\p{L}"
 PATTERNS = [
@@ -62,6 +67,10 @@ ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 HINT = rf"[0-9@=:]|(?<!\p{{L}})(?:{TITLES_M}|{TITLES_F}|{TITLES_N})\.? \p{{Lu}}"
 
 
+# The value of a password without its label.
+PASSWORD = "regexp_replace({}, '^[A-Za-z]+\\\\s?[=:]\\\\s?', '')"
+
+
 def _quoted(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -84,6 +93,7 @@ def typed(entity: str = "ent") -> Column:
         + (f"CASE WHEN {_luhn(_digits(entity), 1)} % 10 = 0 THEN 'card' END" if t == "card" else
            f"CASE WHEN {entity} rlike {_quoted('^(?:' + TITLES_M + ')[. ]')} THEN 'name_m' "
            f"WHEN {entity} rlike {_quoted('^(?:' + TITLES_F + ')[. ]')} THEN 'name_f' ELSE 'name_n' END" if t == "name" else
+           f"CASE WHEN {PASSWORD.format(entity)} rlike '[\\\\p{{L}}\\\\p{{N}}]' THEN 'password' END" if t == "password" else
            f"'{t}'") for t, p in PATTERNS)
     return F.expr(f"CASE {whens} END")
 
@@ -93,7 +103,7 @@ def normal(kind: str = "kind", entity: str = "ent") -> Column:
     d = _digits(entity)
     return F.expr(f"""CASE
         WHEN {kind} IN ('email', 'hex_secret') THEN lower({entity})
-        WHEN {kind} = 'password' THEN regexp_replace({entity}, '^[A-Za-z]+\\\\s?[=:]\\\\s?', '')
+        WHEN {kind} = 'password' THEN {PASSWORD.format(entity)}
         WHEN {kind} = 'phone' THEN CASE WHEN length({d}) = 11 AND left({d}, 1) = '1' THEN substr({d}, 2) ELSE {d} END
         WHEN {kind} IN ('card', 'national_id') THEN {d}
         WHEN {kind} LIKE 'name%' THEN element_at(split({entity}, ' '), -1)
@@ -101,10 +111,14 @@ def normal(kind: str = "kind", entity: str = "ent") -> Column:
 
 
 def _shaped(value: str, h: str) -> str:
-    """Letters for letters, digits for digits, the rest as it is."""
+    """Letters for letters, digits for digits, the rest as it is.  Letters of
+    scripts without an alphabet here become Latin."""
     b = f"cast(conv(substr({h}, 2 * (i % 32) + 1, 2), 16, 10) as int)"
     return (f"array_join(transform(split({value}, ''), (c, i) -> CASE WHEN c rlike '[a-z]' THEN char(97 + {b} % 26) "
-            f"WHEN c rlike '[A-Z]' THEN char(65 + {b} % 26) WHEN c rlike '[0-9]' THEN char(48 + {b} % 10) ELSE c END), '')")
+            f"WHEN c rlike '[A-Z]' THEN char(65 + {b} % 26) WHEN c rlike '[0-9]' THEN char(48 + {b} % 10) "
+            + "".join(f"WHEN c rlike {_quoted(p)} THEN substr('{a}', 1 + {b} % {len(a)}, 1) " for p, a in ALPHABETS.items())
+            + f"WHEN c rlike '\\\\p{{Lu}}' THEN char(65 + {b} % 26) WHEN c rlike '\\\\p{{L}}' THEN char(97 + {b} % 26) "
+            f"WHEN c rlike '\\\\p{{N}}' THEN char(48 + {b} % 10) ELSE c END), '')")
 
 
 def script_of(value: str) -> str:
@@ -118,7 +132,7 @@ def surrogate(attempt: int, key: str = KEY) -> Column:
     byte = lambda k: f"cast(conv(substr(h, {2 * k + 1}, 2), 16, 10) as int)"
     body = "concat(left(norm, 1), substr(dig, 1, length(norm) - 2))"
     syl = {s: "array(" + ", ".join(map(_quoted, v)) + ")" for s, v in SYLLABLES.items()}
-    n_syl = 3 + (attempt > 2) + (attempt > 6)
+    n_syl = 3 + attempt // 2
     family = "CASE " + " ".join(
         f"WHEN {script_of('norm')} = '{s}' THEN initcap(concat("
         + ", ".join(f"get({a}, {byte(k)} % {len(SYLLABLES[s])})" for k in range(n_syl)) + "))"
@@ -128,12 +142,12 @@ def surrogate(attempt: int, key: str = KEY) -> Column:
     exchange = "'555'" if attempt < 4 else "concat(2 + cast(substr(dig, 4, 1) as int) % 8, substr(dig, 5, 2))"
     expr = f"""CASE
         WHEN kind = 'email' THEN concat({_shaped("substring_index(norm, '@', 1)", 'h')}{extra}, '@example.org')
-        WHEN kind = 'password' THEN {_shaped('norm', 'h')}
+        WHEN kind = 'password' THEN concat({_shaped('norm', 'h')}, substr(h, 33, {min(attempt, 32)}))
         WHEN kind = 'access_key' THEN concat(left(norm, 4), upper({_shaped('substr(norm, 5)', 'h')}))
         WHEN kind = 'hex_secret' THEN left(concat(h, h), length(norm))
         WHEN kind = 'ip' THEN concat({octet}, '.', {byte(0)}, '.', {byte(1)}, '.', 1 + {byte(2)} % 254)
         WHEN kind = 'card' THEN concat({body}, (10 - {_luhn(body, 0)} % 10) % 10)
-        WHEN kind = 'national_id' THEN concat(9, substr(dig, 1, 8))
+        WHEN kind = 'national_id' THEN {"concat(9, substr(dig, 1, 8))" if attempt < 8 else "substr(dig, 1, 9)"}
         WHEN kind = 'phone' THEN CASE WHEN length(norm) = 10
              THEN concat(2 + cast(left(dig, 1) as int) % 8, substr(dig, 2, 2), {exchange}, substr(dig, 7, 4))
              ELSE concat(1 + cast(left(dig, 1) as int) % 9, substr(dig, 2, length(norm) - 1)) END

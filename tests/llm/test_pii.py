@@ -104,3 +104,13 @@ def test_the_key_decides(spark, key):
     got = pii.replace(documents(spark, ["a.bcdefgh@c.org"]), key).first()["text"]
     other = pii.replace(documents(spark, ["a.bcdefgh@c.org"]), key + "x").first()["text"]
     assert got != other
+
+
+def test_passwords_that_shape_alone_cannot_change(spark):
+    texts = ["Password: ****", "if password == stored", "password: -", "password: пароль", "pwd=密码", *[f"pwd={d}" for d in range(10)]]
+    got = fixed(spark, texts)
+    assert [got[i] for i in range(3)] == [(t, 0) for t in texts[:3]]
+    assert all(got[i][1] == 1 and got[i][0] != texts[i] for i in range(3, 15))
+    assert re.fullmatch("password: [а-я]{6}[0-9a-f]*", got[3][0])
+    masked = {got[i][0] for i in range(5, 15)}
+    assert len(masked) == 10 and not masked & set(texts)
