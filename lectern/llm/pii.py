@@ -12,7 +12,8 @@ The table of entities is aggregated before any join.  Clean texts never
 leave the scan: only texts with an entity are split, joined and put together.
 
 Defined cases: null and empty texts stay as they are; digits that only look
-like a card number (check digit wrong) stay; passwords without a letter or
+like a card number (check digit wrong) stay unless an id or a phone number is
+among them; passwords without a letter or
 digit (``****``, the second ``=`` of a comparison) stay; repeated rows get equal texts;
 an empty table gives an empty table; other columns pass through, and a
 column named ``n_entities`` is replaced.
@@ -62,7 +63,19 @@ PATTERNS = [
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])"),
     ("name", rf"(?<!\p{{L}})(?:{TITLES_M}|{TITLES_F}|{TITLES_N})\.? (?:{NAME} )?{NAME}"),
 ]
-ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
+# Digits that may be a card, an id or a phone number are told apart in turns:
+# cards in a usual grouping whose check digit is right, wherever they begin;
+# then ids and phone numbers in what is left; then digits in any grouping.
+CARD_START = r"(?:(?<![\w.-])|(?<=(?<![\w.-])\d{1,3}-))"
+CARD_END = r"(?!\w)(?!-(?!\d{1,4}(?![\w-])))"
+FOURS = [r"\d{4} \d{4} \d{4} \d{4}", r"\d{4}-\d{4}-\d{4}-\d{4}"]
+GROUPINGS = "|".join([*FOURS, r"\d{4} \d{6} \d{4,5}", r"\d{4}-\d{6}-\d{4,5}", r"\d{4} \d{4} \d{5}", r"\d{4}-\d{4}-\d{5}", r"\d{13,19}"])
+LONG_GROUPINGS = "|".join([*(f + f[5] + r"\d{1,3}" for f in FOURS), r"\d{6}[ -]\d{13}"])
+PATTERN = dict(PATTERNS)
+FIRST = "|".join(f"(?:{PATTERN[t]})" for t in ("email", "password", "access_key", "hex_secret", "ip"))
+# A grouped card with a wrong check digit stays, and is no phone number.
+SECOND = "|".join([f"{CARD_START}(?=[2-6])(?:{'|'.join(FOURS)}){CARD_END}", *(f"(?:{PATTERN[t]})" for t in ("national_id", "phone"))])
+ANY = "|".join(f"(?:{p})" for t, p in PATTERNS if t != "card") + r"|\d(?:[ -]?\d){12}"
 # What every entity contains; most texts have none of it and are not searched further.
 HINT = rf"[0-9@=:]|(?<!\p{{L}})(?:{TITLES_M}|{TITLES_F}|{TITLES_N})\.? \p{{Lu}}"
 
@@ -199,15 +212,48 @@ def rendered() -> Column:
         ELSE sur END""")
 
 
+def _cards(text: str) -> str:
+    """Pieces of a text in the groupings of cards, overlapping ones too."""
+    found = (f"regexp_extract_all({text}, {_quoted(f'{CARD_START}(?=({g}){CARD_END})')}, 1)" for g in (GROUPINGS, LONG_GROUPINGS))
+    return f"concat({', '.join(found)})"
+
+
+def _first_turn() -> str:
+    """Pattern of a text's first turn: its cards are those of ``_cards`` with a right check digit (``_valid``)."""
+    card = lambda p: f"concat({_quoted('|' + CARD_START + '(?:')}, {p}, {_quoted(')' + CARD_END)})"
+    return (f"concat({_quoted(FIRST)}, CASE WHEN size(_valid) = 0 THEN '' "
+            f"WHEN size(_valid) = size(_cards) THEN {card(_quoted(GROUPINGS + '|' + LONG_GROUPINGS))} "
+            f"ELSE {card("array_join(array_distinct(_valid), '|')")} END, {_quoted('|(?:' + PATTERN['name'] + ')')})")
+
+
+def _again(found: DataFrame, pattern: str) -> DataFrame:
+    """Search the gaps between the entities found so far for more."""
+    p = _quoted(pattern)
+    return (found.withColumn("_ents", F.expr(
+        f"flatten(zip_with(_gaps, _ents, (g, e) -> concat(regexp_extract_all(g, {p}, 0), "
+        "CASE WHEN e IS NULL THEN cast(array() AS array<string>) ELSE array(e) END)))"))
+        .withColumn("_gaps", F.expr(f"flatten(transform(_gaps, g -> CASE WHEN g rlike {p} THEN split(g, {p}, -1) ELSE array(g) END))")))
+
+
+def pieces(texts: DataFrame, text: str) -> DataFrame:
+    """Entities of the texts (``_ents``) and what lies around them (``_gaps``, one more)."""
+    found = (texts.withColumn("_cards", F.expr(_cards(text)))
+             .withColumn("_valid", F.expr(f"filter(_cards, c -> {_luhn(_digits('c'), 1)} % 10 = 0)"))
+             .withColumn("_first", F.expr(_first_turn()))
+             .withColumn("_gaps", F.expr(f"split({text}, _first, -1)"))
+             .withColumn("_ents", F.expr(f"regexp_extract_all({text}, _first, 0)"))
+             .drop(text, "_cards", "_valid", "_first"))
+    return _again(_again(found, SECOND), PATTERN["card"])
+
+
 def replace(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """``docs`` with surrogates in ``text``, plus ``n_entities`` (replaced)."""
     cols = [c for c in docs.columns if c != "n_entities"]
     found = F.col(text).rlike(HINT) & F.col(text).rlike(ANY)
     clean = docs.filter(~F.coalesce(found, F.lit(False))).select(*cols, F.lit(0).cast("long").alias("n_entities"))
-    hit = materialize(docs.filter(found).select(
-        *[F.col(c).alias(f"c{i}") for i, c in enumerate(cols) if c != text],
-        F.split(text, ANY, -1).alias("_gaps"), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)).alias("_ents"),
-        F.monotonically_increasing_id().alias("_rid")), "entities-in-texts")
+    hit = materialize(pieces(docs.filter(found).select(
+        *[F.col(c).alias(f"c{i}") for i, c in enumerate(cols) if c != text], F.col(text).alias("_text"),
+        F.monotonically_increasing_id().alias("_rid")), "_text"), "entities-in-texts")
     occ = (hit.select("_rid", F.posexplode("_ents").alias("pos", "ent")).withColumn("kind", typed())
            .withColumn("norm", normal()))
     occ = materialize(occ, "occurrences")
@@ -215,10 +261,11 @@ def replace(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     done = (occ.join(chosen, ["kind", "norm"], "left")
             .select("_rid", "pos", F.when(F.col("sur").isNull(), F.col("ent")).otherwise(rendered()).alias("new"),
                     F.col("sur").isNotNull().cast("long").alias("hit")))
-    # One list per text, as long as the text has entities.
+    # One list per text, as long as the text has entities; none where digits turned out to be none.
     lists = done.groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("_new"),
                                      F.sum("hit").alias("n_entities"))
     whole = F.expr("array_join(transform(_gaps, (g, i) -> concat(g, coalesce(get(_new, i).new, ''))), '')")
-    fixed = hit.join(lists, "_rid").select(
-        *[(whole if c == text else F.col(f"c{i}")).alias(c) for i, c in enumerate(cols)], "n_entities")
+    fixed = hit.join(lists, "_rid", "left").select(
+        *[(whole if c == text else F.col(f"c{i}")).alias(c) for i, c in enumerate(cols)],
+        F.coalesce("n_entities", F.lit(0).cast("long")).alias("n_entities"))
     return clean.unionByName(fixed)

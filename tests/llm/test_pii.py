@@ -114,3 +114,18 @@ def test_passwords_that_shape_alone_cannot_change(spark):
     assert re.fullmatch("password: [а-я]{6}[0-9a-f]*", got[3][0])
     masked = {got[i][0] for i in range(5, 15)}
     assert len(masked) == 10 and not masked & set(texts)
+
+
+def test_numbers_beside_other_numbers(spark):
+    texts = ["4111 1111 1111 1111 12/27", "4111111111111111 123", "123-45-6789 415-555-1234", "415-555-1234 2024-01-15",
+             "12 4111 1111 1111 1111", "2024 4111 1111 1111 1111 4111-1111-1111-1111-123", "4041 8949 7460 8796", "3782 822463 10005 08/29",
+             "4111 1111 1111 1111", "123-45-6789", "415-555-1234"]
+    got = fixed(spark, texts)
+    card, nid, phone = (got[i][0] for i in (8, 9, 10))
+    assert card != texts[8] and nid != texts[9] and phone != texts[10]
+    assert got[0] == (card + " 12/27", 1) and got[1] == (card.replace(" ", "") + " 123", 1)
+    assert got[2] == (f"{nid} {phone}", 2) and got[3] == (phone + " 2024-01-15", 1)
+    assert got[4] == ("12 " + card, 1)
+    assert got[5] == (f"2024 {card} {card.replace(' ', '-')}-123", 2)
+    assert got[6] == (texts[6], 0)
+    assert re.fullmatch(r"3\d{3} \d{6} \d{5} 08/29", got[7][0]) and got[7][0] != texts[7] and luhn(got[7][0][:17])
