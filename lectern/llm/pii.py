@@ -1,8 +1,8 @@
 """Personal data: surrogates for detected entities, in DataFrame functions alone.
 
 Entities are found by pattern, typed and brought to a normal form (e-mail in
-lower case, phone and card numbers as digits, the family name of a titled
-name).  Every different (type, normal form) gets one surrogate of the same
+lower case, phone and card numbers as digits).  A titled name holds several:
+its given names, its initials and its family name, whatever the title.  Every different (type, normal form) gets one surrogate of the same
 type and format, made from a keyed hash, so an entity reads the same wherever
 and however it is written.  Surrogates are checked against each other and
 against all originals; those that collide are drawn again until none does,
@@ -51,7 +51,8 @@ ALPHABETS = {
     r"[\p{IsGreek}&&\p{Ll}]": "αβγδεζηθικλμνξοπρστυφχψω", r"[\p{IsGreek}&&\p{Lu}]": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 }
 
-NAME = r"\p{Lu}[\p{L}'-]*\p{L}"
+NAME = r"\p{Lu}(?:[\p{L}\p{M}]|['’-](?!s(?!\p{L}))(?=\p{L}))++"      # without the 's of a possessive
+INITIALS = r"(?:\p{Lu}\.[ -]?|\p{Lu} )*+"
 PATTERNS = [
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     ("password", r"(?<![A-Za-z])(?:[Pp]assword|PASSWORD|passwd|pwd)\s?[=:]\s?[^\s\"']+"),
@@ -61,8 +62,10 @@ PATTERNS = [
     ("card", r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"),
     ("national_id", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])"),
-    ("name", rf"(?<!\p{{L}})(?:{TITLES_M}|{TITLES_F}|{TITLES_N})\.? (?:{NAME} )?{NAME}"),
+    ("name", rf"(?<!\p{{L}})(?:{TITLES_M}|{TITLES_F}|{TITLES_N})\.? {INITIALS}{NAME}(?: {INITIALS}{NAME})*+"),
 ]
+# Pieces of a name: the title, names, initials, and what is between them.
+NAME_PIECES = rf"^(?:{TITLES_M}|{TITLES_F}|{TITLES_N})\.? |{NAME}|\p{{Lu}}\.?|."
 # Digits that may be a card, an id or a phone number are told apart in turns:
 # cards in a usual grouping whose check digit is right, wherever they begin;
 # then ids and phone numbers in what is left; then digits in any grouping.
@@ -104,8 +107,6 @@ def typed(entity: str = "ent") -> Column:
     whens = " ".join(
         f"WHEN {entity} rlike {_quoted('^(?:' + p + ')$')} THEN "
         + (f"CASE WHEN {_luhn(_digits(entity), 1)} % 10 = 0 THEN 'card' END" if t == "card" else
-           f"CASE WHEN {entity} rlike {_quoted('^(?:' + TITLES_M + ')[. ]')} THEN 'name_m' "
-           f"WHEN {entity} rlike {_quoted('^(?:' + TITLES_F + ')[. ]')} THEN 'name_f' ELSE 'name_n' END" if t == "name" else
            f"CASE WHEN {PASSWORD.format(entity)} rlike '[\\\\p{{L}}\\\\p{{N}}]' THEN 'password' END" if t == "password" else
            f"'{t}'") for t, p in PATTERNS)
     return F.expr(f"CASE {whens} END")
@@ -119,10 +120,23 @@ def normal(kind: str = "kind", entity: str = "ent") -> Column:
         WHEN {kind} = 'password' THEN {PASSWORD.format(entity)}
         WHEN {kind} = 'phone' THEN CASE WHEN length({d}) = 11 AND left({d}, 1) = '1' THEN substr({d}, 2) ELSE {d} END
         WHEN {kind} IN ('card', 'national_id') THEN {d}
-        WHEN {kind} LIKE 'name%' THEN element_at(split({entity}, ' '), -1)
+        WHEN {kind} = 'initial' THEN left({entity}, 1)
         ELSE {entity} END""")
 
 
+def named(occ: DataFrame) -> DataFrame:
+    """Occurrences, names in pieces: ``part`` numbers them, and ``role`` tells
+    a family name (a) from a given name (f, m; u where the title does not say)."""
+    whole = occ.withColumn("_parts", F.expr(f"CASE WHEN kind = 'name' THEN regexp_extract_all(ent, {_quoted(NAME_PIECES)}, 0) ELSE array(ent) END"))
+    title = lambda t: f"_parts[0] rlike {_quoted('^(?:' + t + ')[. ]')}"
+    return (whole.select("_rid", "pos", "kind", "_parts", F.posexplode("_parts").alias("part", "ent"))
+            .withColumn("kind", F.expr(f"CASE WHEN kind <> 'name' THEN kind WHEN kind IS NULL OR part = 0 THEN NULL "
+                                       f"WHEN ent rlike {_quoted('^' + NAME + '$')} THEN 'name' WHEN ent rlike '^\\\\p{{Lu}}' THEN 'initial' END"))
+            .withColumn("role", F.expr(f"CASE WHEN kind IS NULL OR kind <> 'name' OR part = size(_parts) - 1 THEN 'a' "
+                                       f"WHEN {title(TITLES_M)} THEN 'm' WHEN {title(TITLES_F)} THEN 'f' ELSE 'u' END"))
+            .withColumn("counts", F.expr("kind IS NOT NULL AND part = size(_parts) - 1")).drop("_parts"))
+
+
 def _shaped(value: str, h: str) -> str:
     """Letters for letters, digits for digits, the rest as it is.  Letters of
     scripts without an alphabet here become Latin."""
@@ -150,6 +164,14 @@ def surrogate(attempt: int, key: str = KEY) -> Column:
         f"WHEN {script_of('norm')} = '{s}' THEN initcap(concat("
         + ", ".join(f"get({a}, {byte(k)} % {len(SYLLABLES[s])})" for k in range(n_syl)) + "))"
         for s, a in syl.items()) + " END"
+    sylls = lambda s, n, k0=0: "".join(f", get({syl[s]}, {byte(k0 + k)} % {len(SYLLABLES[s])})" for k in range(n))
+    given = "CASE " + " ".join(
+        f"WHEN {script_of('norm')} = '{s}'" + (f" AND (role = 'm' OR role = 'u' AND {byte(31)} % 2 = 0)" if g == "m" else "")
+        + " THEN concat(get(array(" + ", ".join(map(_quoted, v)) + f"), {byte(0)} % {len(v)}){sylls(s, min(max(attempt - 1, 0), 20), 1)})"
+        for g in ("m", "f") for (g2, s), v in GIVEN.items() if g2 == g) + " END"
+    initial = "CASE " + " ".join(
+        f"WHEN {script_of('norm')} = '{s}' THEN " + (f"upper(left(concat(''{sylls(s, 1)}), 1))" if attempt < 2 else
+                                                    f"initcap(concat(''{sylls(s, min(attempt - 1, 20))}))") for s in syl) + " END"
     extra = f", substr(dig, 1, {min(attempt, 12)})" if attempt else ""
     octet = f"'{10}'" if attempt < 8 else f"cast(11 + {byte(3)} % 200 as string)"
     exchange = "'555'" if attempt < 4 else "concat(2 + cast(substr(dig, 4, 1) as int) % 8, substr(dig, 5, 2))"
@@ -164,6 +186,8 @@ def surrogate(attempt: int, key: str = KEY) -> Column:
         WHEN kind = 'phone' THEN CASE WHEN length(norm) = 10
              THEN concat(2 + cast(left(dig, 1) as int) % 8, substr(dig, 2, 2), {exchange}, substr(dig, 7, 4))
              ELSE concat(1 + cast(left(dig, 1) as int) % 9, substr(dig, 2, length(norm) - 1)) END
+        WHEN kind = 'initial' THEN {initial}
+        WHEN role <> 'a' THEN {given}
         ELSE {family} END"""
     return F.expr(f"element_at(transform(array(named_struct('h', {h})), x -> {_with(expr, dig)}), 1)")
 
@@ -175,8 +199,10 @@ def _with(expr: str, dig: str) -> str:
 
 
 def surrogates(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS, propose=surrogate) -> DataFrame:
-    """``kind, norm`` (distinct) -> plus ``sur``: no two alike within a kind,
-    none equal to any original."""
+    """``kind, norm`` (distinct; ``role`` for names) -> plus ``sur``: no two
+    alike within a kind, none equal to any original."""
+    if "role" not in entities.columns:
+        entities = entities.withColumn("role", F.lit("a"))
     pending = materialize(entities, "entities")
     originals, accepted = pending, None
     for attempt in range(rounds):
@@ -186,7 +212,7 @@ def surrogates(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS, propos
             free = free.join(accepted.select("kind", "sur"), ["kind", "sur"], "left_anti")
         won = materialize(free.groupBy("kind", "sur").agg(F.min("norm").alias("norm")).select("kind", "norm", "sur"), "surrogates")
         accepted = won if accepted is None else accepted.union(won)
-        pending = materialize(cand.select("kind", "norm").join(won, ["kind", "norm"], "left_anti"), "pending")
+        pending = materialize(cand.select("kind", "norm", "role").join(won, ["kind", "norm"], "left_anti"), "pending")
         if not pending.take(1):
             return accepted
     raise RuntimeError(f"surrogates still collide after {rounds} draws")
@@ -199,15 +225,10 @@ def rendered() -> Column:
     in_place = (f"aggregate(split(ent, ''), named_struct('o', '', 'k', 0), (s, c) -> CASE WHEN c rlike '[0-9]' "
                 f"THEN named_struct('o', concat(s.o, substr({full}, s.k + 1, 1)), 'k', s.k + 1) "
                 f"ELSE named_struct('o', concat(s.o, c), 'k', s.k) END, s -> s.o)")
-    given = "CASE " + " ".join(
-        f"WHEN {'kind = ' + repr('name_' + g) if g != 'f' else 'true'} AND {script_of('norm')} = '{s}' THEN get(array("
-        + ", ".join(map(_quoted, v)) + "), cast(conv(left(sha2(concat(" + _quoted(KEY) + ", split(ent, ' ')[1]), 256), 4), 16, 10) as int) % "
-        + f"{len(v)})" for g in ("m", "f") for s, v in [(s2, v2) for (g2, s2), v2 in GIVEN.items() if g2 == g]) + " END"
     return F.expr(f"""CASE
         WHEN kind IN ('card', 'phone', 'national_id') THEN {in_place}
         WHEN kind = 'password' THEN concat(regexp_extract(ent, '^[A-Za-z]+\\\\s?[=:]\\\\s?', 0), sur)
-        WHEN kind LIKE 'name%' AND size(split(ent, ' ')) > 2 THEN concat_ws(' ', split(ent, ' ')[0], {given}, sur)
-        WHEN kind LIKE 'name%' THEN concat_ws(' ', split(ent, ' ')[0], sur)
+        WHEN kind = 'initial' THEN concat(sur, substr(ent, 2))
         WHEN kind = 'hex_secret' AND ent = upper(ent) THEN upper(sur)
         ELSE sur END""")
 
@@ -254,17 +275,18 @@ def replace(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     hit = materialize(pieces(docs.filter(found).select(
         *[F.col(c).alias(f"c{i}") for i, c in enumerate(cols) if c != text], F.col(text).alias("_text"),
         F.monotonically_increasing_id().alias("_rid")), "_text"), "entities-in-texts")
-    occ = (hit.select("_rid", F.posexplode("_ents").alias("pos", "ent")).withColumn("kind", typed())
+    occ = (named(hit.select("_rid", F.posexplode("_ents").alias("pos", "ent")).withColumn("kind", typed()))
            .withColumn("norm", normal()))
     occ = materialize(occ, "occurrences")
-    chosen = surrogates(occ.filter("kind IS NOT NULL").select("kind", "norm").distinct(), key)
+    chosen = surrogates(occ.filter("kind IS NOT NULL").groupBy("kind", "norm").agg(F.min("role").alias("role")), key)
     done = (occ.join(chosen, ["kind", "norm"], "left")
-            .select("_rid", "pos", F.when(F.col("sur").isNull(), F.col("ent")).otherwise(rendered()).alias("new"),
-                    F.col("sur").isNotNull().cast("long").alias("hit")))
+            .select("_rid", "pos", "part", F.when(F.col("sur").isNull(), F.col("ent")).otherwise(rendered()).alias("new"),
+                    F.col("counts").cast("long").alias("hit")))
     # One list per text, as long as the text has entities; none where digits turned out to be none.
-    lists = done.groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("_new"),
+    lists = done.groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("pos", "part", "new"))).alias("_new"),
                                      F.sum("hit").alias("n_entities"))
-    whole = F.expr("array_join(transform(_gaps, (g, i) -> concat(g, coalesce(get(_new, i).new, ''))), '')")
+    whole = F.expr("concat(coalesce(array_join(transform(_new, x -> concat(CASE WHEN x.part = 0 THEN _gaps[x.pos] ELSE '' END, x.new)), ''), ''), "
+                   "element_at(_gaps, -1))")
     fixed = hit.join(lists, "_rid", "left").select(
         *[(whole if c == text else F.col(f"c{i}")).alias(c) for i, c in enumerate(cols)],
         F.coalesce("n_entities", F.lit(0).cast("long")).alias("n_entities"))

@@ -129,3 +129,28 @@ def test_numbers_beside_other_numbers(spark):
     assert got[5] == (f"2024 {card} {card.replace(' ', '-')}-123", 2)
     assert got[6] == (texts[6], 0)
     assert re.fullmatch(r"3\d{3} \d{6} \d{5} 08/29", got[7][0]) and got[7][0] != texts[7] and luhn(got[7][0][:17])
+
+
+def test_names_are_distinct_and_coreferent(spark):
+    males = [f"Mr {g} Smith" for g in "John Paul Peter Adam Bruno Carl Denis Emil Felix Georg Hugo Ivan Jonas Leon Marco".split()]
+    texts = ["Mr Smith", "Dr Smith", "Mr Smith's hat", "Mr John Paul Smith", "Señora María García López", "Señora García", "Mr J. Smith",
+             "Mr K. R. Smith left", "Dr. John Smith", *males]
+    got = fixed(spark, texts)
+    words = [got[i][0].split() for i in range(len(texts))]
+    family = words[0][1]
+    assert family != "Smith" and words[1] == ["Dr", family] and words[2] == ["Mr", family + "'s", "hat"]
+    full = [got[9 + i][0] for i in range(len(males))]
+    assert len(set(full)) == len(males) and not set(full) & set(males) and all(f.split()[2] == family for f in full)
+    originals = {m.split()[1] for m in males}
+    assert not {f.split()[1] for f in full} & originals
+    assert words[3] == ["Mr", words[9][1], words[10][1], family] and words[8] == ["Dr.", words[9][1], family]
+    assert not set(words[4][1:]) & {"María", "García", "López"} and len(words[4]) == 4 and words[5] == ["Señora", words[4][2]]
+    assert words[6][0] == "Mr" and words[6][1][-1] == "." and words[6][1] != "J." and words[6][2] == family
+    assert words[7][1] != words[7][2] and words[7][3:] == [family, "left"] and not {"K.", "R."} & set(words[7])
+    assert all(got[i][1] == 1 for i in range(len(texts)))
+
+
+def test_all_initials_at_once(spark):
+    got = fixed(spark, [f"Mr {chr(65 + i)}. Smith" for i in range(26)])
+    firsts = [got[i][0].split()[1] for i in range(26)]
+    assert len(set(firsts)) == 26 and all(len(f) > 2 for f in firsts)
