@@ -80,7 +80,7 @@ FIRST = "|".join(f"(?:{PATTERN[t]})" for t in ("email", "password", "access_key"
 SECOND = "|".join([f"{CARD_START}(?=[2-6])(?:{'|'.join(FOURS)}){CARD_END}", *(f"(?:{PATTERN[t]})" for t in ("national_id", "phone"))])
 ANY = "|".join(f"(?:{p})" for t, p in PATTERNS if t != "card") + r"|\d(?:[ -]?\d){12}"
 # What every entity contains; most texts have none of it and are not searched further.
-HINT = rf"[0-9@=:]|(?<!\p{{L}})(?:{TITLES_M}|{TITLES_F}|{TITLES_N})\.? \p{{Lu}}"
+HINT = rf"[0-9@=:]|A[KS]IA[A-Z0-9]{{16}}|(?<!\p{{L}})(?:{TITLES_M}|{TITLES_F}|{TITLES_N})\.? \p{{Lu}}"
 
 
 # The value of a password without its label.
