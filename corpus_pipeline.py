@@ -16,6 +16,7 @@ from lectern.llm.catalog import tokenizer_path
 from lectern.llm.common import crc_mod, discard, materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+WORDS, PERCENT = 5, 80      # shingles and least similarity of near copies; op5 has its own
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +29,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every class of near copies."""
-    joined = materialize(ngram_join.join(docs), "classes")
+    """One document of every class of near copies: five-word shingles, similarity 0.8."""
+    joined = materialize(ngram_join.join(docs, words=WORDS, percent=PERCENT), "classes")
     return ngram_join.one_of_each(docs.select(*COLUMNS), joined)
 
 

@@ -65,3 +65,16 @@ def test_entry_without_the_subpackage(tmp_path):
     code = "import __spark_entry__ as E; q = E.queries(); assert 'pipeline' not in q and len(q) > 40; E.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120,
                    env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def pipeline_rows(spark, rows):
+    return spark.createDataFrame([(i, t, lang, "s", len(t)) for i, (t, lang) in enumerate(rows)],
+                                 "doc_id LONG, text STRING, lang STRING, source STRING, n_chars INT")
+
+
+def test_near_copies_take_five_words_and_four_fifths(spark):
+    base = " ".join(f"w{i}" for i in range(208))
+    longer = base + " " + " ".join(f"x{i}" for i in range(45))     # 204 of 249 five-word shingles, 205 of 250 four-word ones
+    other = base + " " + " ".join(f"y{i}" for i in range(60))      # 204 of 264
+    docs = pipeline_rows(spark, [(base, "en"), (longer, "en"), (other, "en")])
+    assert {r["doc_id"] for r in C.near_duplicates(spark, docs, "").collect()} == {0, 2}
