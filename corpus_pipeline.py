@@ -22,10 +22,11 @@ WORDS, PERCENT = 5, 80      # shingles and least similarity of near copies; op5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; null texts and texts without a
     letter go.  Short or mixed texts have low scores but are not dirty, so no
-    score is asked for."""
+    score is asked for.  Where the language is missing, the network's stands in."""
     net = language.train(language.training_sample(docs, crc_mod("doc_id", 5) != 0))
     scored = language.classify(docs.select(*COLUMNS), net)
-    return scored.filter(F.col("lang_pred") != language.UNDETERMINED).select(*COLUMNS)
+    kept = scored.filter(F.col("lang_pred") != language.UNDETERMINED)
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,3 +78,11 @@ def test_near_copies_take_five_words_and_four_fifths(spark):
     other = base + " " + " ".join(f"y{i}" for i in range(60))      # 204 of 264
     docs = pipeline_rows(spark, [(base, "en"), (longer, "en"), (other, "en")])
     assert {r["doc_id"] for r in C.near_duplicates(spark, docs, "").collect()} == {0, 2}
+
+
+def test_missing_languages_come_from_the_network(spark):
+    en = "the house and the river with those words which they would have thought through"
+    el = "το σπίτι και το ποτάμι με τις λέξεις που θα είχαν σκεφτεί όλοι μαζί"
+    rows = [(f"{en} {i}", "en") for i in range(10)] + [(f"{el} {i}", "el") for i in range(10)] + [(en, None), (el, None), ("12 34", None), (el, "en")]
+    got = {r["doc_id"]: r["lang"] for r in C.language_id(spark, pipeline_rows(spark, rows), "").collect()}
+    assert got == {**{i: lang for i, (_, lang) in enumerate(rows[:20])}, 20: "en", 21: "el", 23: "en"}
