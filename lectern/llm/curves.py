@@ -38,6 +38,7 @@ CURVES = 6
 DIMENSIONS = 8           # projected
 BITS = 6                 # a coordinate
 BLOCK = 2048             # rows of a block
+CHUNK = 2048             # queries that meet a block in one task, about
 SAMPLE_QUERIES = 64      # answered exactly, to set the windows
 RECALL = 0.95            # share of their answers that the windows must hold
 RESULT = "query_id LONG, vec_id LONG, score DOUBLE"
@@ -124,11 +125,11 @@ def exact(rows: DataFrame, queries: list, dim: int, k: int) -> DataFrame:
 
 
 def nearest(df: DataFrame, k: int, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding",
-            curves: int = CURVES, block: int = BLOCK, recall: float = RECALL, seed: int = 5,
+            curves: int = CURVES, block: int = BLOCK, recall: float = RECALL, seed: int = 5, chunk: int = CHUNK,
             report: dict | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k largest inner products
     found for each query row among all other rows.  ``report`` receives the
-    measured window width."""
+    measured window width and the most queries of a task's group."""
     spark = df.sparkSession
     bounded_batches(spark)
     dim = dimension(df, vec_col)
@@ -194,8 +195,9 @@ def nearest(df: DataFrame, k: int, is_query: Column, id_col: str = "vec_id", vec
     total = offsets.join(counts.select("curve", "part", "n"), ["curve", "part"]).agg(F.max(F.col("before") + F.col("n"))).first()[0]
     blocks = max(1, math.ceil(total / block))
     # Equal blocks, so that the last one is not a remainder.
-    of = F.floor((F.col("before") + F.col("_at") - F.col("first")) * blocks / F.lit(total)).cast("int")
-    placed = placed.withColumn("part", part).join(offsets, ["curve", "part"]).select("curve", "kind", "id", "vec", of.alias("block"))
+    spot = F.col("before") + F.col("_at") - F.col("first")
+    of = F.floor(spot * blocks / F.lit(total)).cast("int")
+    placed = placed.withColumn("part", part).join(offsets, ["curve", "part"]).select("curve", "kind", "id", "vec", of.alias("block"), spot.alias("spot"))
 
     reach = 0
     if blocks > 1:
@@ -217,10 +219,18 @@ def nearest(df: DataFrame, k: int, is_query: Column, id_col: str = "vec_id", vec
     low = F.greatest(F.lit(0), F.least(F.col("block") - reach, F.lit(blocks - width)))
     asked = placed.filter("kind = 1").withColumn("block", F.explode(F.sequence(low, low + (width - 1))))
 
+    # However wide the windows, a task takes one block and a bounded part of its queries.
+    parts = materialize(asked.groupBy("curve", "block").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts")), "parts")
+    cols = ["curve", "kind", "id", "vec", "block", "chunk"]
+    asked = asked.join(parts, ["curve", "block"]).withColumn("chunk", F.pmod(F.xxhash64("spot"), "parts")).select(cols)
+    there = (placed.filter("kind = 0").join(parts, ["curve", "block"])
+             .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(cols))
+    if report is not None:
+        report["queries"] = asked.groupBy("curve", "block", "chunk").count().agg(F.max("count")).first()[0]
+
     def search(table):
         kind, ids = table.column("kind").to_numpy(), table.column("id").to_numpy()
         m = matrix(table.column("vec"), dim)
         return pa.Table.from_batches([best_pairs(ids[kind == 1], m[kind == 1], ids[kind == 0], m[kind == 0], k)])
 
-    both = placed.filter("kind = 0").unionByName(asked.select("curve", "kind", "id", "vec", "block"))
-    return best_of(both.groupBy("curve", "block").applyInArrow(search, RESULT), k)
+    return best_of(there.unionByName(asked).groupBy("curve", "block", "chunk").applyInArrow(search, RESULT), k)

@@ -58,6 +58,17 @@ def test_recall_with_many_blocks(spark, scale):
         assert [x[2] for x in rows] == list(range(1, 11)) and rows == sorted(rows)
 
 
+def test_many_queries_of_a_block_are_shared_out(spark):
+    x = np.random.default_rng(4).standard_normal((1500, 8))
+    rows = embeddings(spark, [(i, [float(y) for y in v], 0) for i, v in enumerate(x)])
+    report = {}
+    got = curves.nearest(rows, 5, F.lit(True), block=256, recall=1.0, chunk=200, report=report).collect()
+    whole = {}
+    want = curves.nearest(rows, 5, F.lit(True), block=256, recall=1.0, chunk=10 ** 9, report=whole).collect()
+    assert whole["queries"] > 1000 and report["queries"] <= 300
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 5 * 1500
+
+
 def test_search_of_odd_rows(spark):
     nan = float("nan")
     rows = [(0, [1, 0, 0], 1), (1, [1, 0, 0], 1), (2, [1, 0, 0], 2), (3, None, 1), (4, [0, 0, 0], 1), (20, [0.5, 0.5, 0], 1),
