@@ -46,8 +46,8 @@ MIN_LETTERS = 5
 MIN_COUNT = 3
 RATIO = 2               # a form occurs this many times as often as its word at least
 SAMPLE = 1 << 16        # words that the upper splits are fitted on, about
-LEAF = 4096             # words of a leaf of the upper tree, about
-BLOCK = 16384           # points, and queries, of a leaf that one task takes
+LEAF = 16384            # words of a leaf of the upper tree, about
+BLOCK = 32768           # points, and queries, of a leaf that one task takes
 BUCKET = 16             # points of a leaf of the lower tree
 KEPT_WORDS = 400_000    # words that a task counts before it passes them on
 
@@ -116,71 +116,78 @@ def bits(counts: np.ndarray) -> np.ndarray:
     return np.stack([low.sum(axis=1, dtype=np.uint64), high.sum(axis=1, dtype=np.uint64)], axis=1)
 
 
-PARTS = ("dim", "cut", "lo", "hi", "left")
+PARTS = ("dim", "cut", "left", "lo", "hi", "a_lo", "a_hi", "b_lo", "b_hi", "root_lo", "root_hi")
 
 
-class Tree:
-    """K-d tree over count vectors.  Node i splits box [lo, hi] of letter
-    ``dim`` behind ``cut``; a leaf has ``dim`` -1 and its number in ``cut``."""
+def outside(x, lo, hi):
+    return np.maximum(np.maximum(lo - x, x - hi), 0)
+
 
-    def __init__(self, vectors: np.ndarray | None, leaf: int = BUCKET, splits: list[np.ndarray] | None = None):
-        if splits is not None:          # the splits of another one, without its members
-            for name, values in zip(PARTS, splits):
+class Tree:
+    """K-d tree over count vectors.  Node i splits by letter ``dim``: up to
+    ``cut`` to node ``left``, above it to the next one; a leaf has ``dim`` -1
+    and its number in ``cut``.  ``lo`` and ``hi`` bound that letter before the
+    split, ``a_`` and ``b_`` behind it.  Boxes are as small as the vectors
+    allow, or (``open_``) hold whatever vector goes down that way."""
+
+    def __init__(self, vectors: np.ndarray | None, leaf: int = BUCKET, open_: bool = False,
+                 parts: list[np.ndarray] | None = None):
+        if parts is not None:           # of another tree, without its members
+            for name, values in zip(PARTS, parts):
                 setattr(self, name, values)
             return
-        self.dim, self.cut, self.lo, self.hi, self.left = [], [], [], [], []
         self.members: list[np.ndarray] = []
-        todo = [(self._node(), np.arange(len(vectors)), {})]
+        nodes: list[list[int]] = [[-1] * 9]
+        self.root_lo = np.full(LETTERS, -FAR) if open_ or not len(vectors) else vectors.min(axis=0).astype(np.int64)
+        self.root_hi = np.full(LETTERS, FAR) if open_ or not len(vectors) else vectors.max(axis=0).astype(np.int64)
+        todo = [(0, np.arange(len(vectors)), {})]
         while todo:
             i, rows, box = todo.pop()
-            d = cut = -1
+            d = -1
             if len(rows) > leaf:
                 v = vectors[rows]
                 low, high = v.min(axis=0), v.max(axis=0)
                 spread = np.where(high > low, v.var(axis=0), -1.0)
                 d = int(spread.argmax())
-                if spread[d] < 0:
-                    d = -1                      # all alike
-                else:
-                    cut = min(int(np.median(v[:, d])), int(high[d]) - 1)
+                d = d if spread[d] >= 0 else -1             # -1: all alike
             if d < 0:
-                self.cut[i] = len(self.members)
+                nodes[i][1] = len(self.members)
                 self.members.append(rows)
                 continue
-            lo, hi = box.get(d, (-FAR, FAR))
-            self.dim[i], self.cut[i], self.lo[i], self.hi[i], self.left[i] = d, cut, lo, hi, len(self.dim)
-            a, b = self._node(), self._node()
-            below = v[:, d] <= cut
-            todo.append((a, rows[below], {**box, d: (lo, cut)}))
-            todo.append((b, rows[~below], {**box, d: (cut + 1, hi)}))
-        for name in PARTS:
-            setattr(self, name, np.array(getattr(self, name), dtype=np.int64))
-
-    def splits(self) -> list[np.ndarray]:
+            x = v[:, d]
+            cut = min(int(np.median(x)), int(high[d]) - 1)
+            below = x <= cut
+            lo, hi = box.get(d, (int(self.root_lo[d]), int(self.root_hi[d])))
+            a = (lo, cut) if open_ else (int(low[d]), int(x[below].max()))
+            b = (cut + 1, hi) if open_ else (int(x[~below].min()), int(high[d]))
+            nodes[i] = [d, cut, len(nodes), lo, hi, *a, *b]
+            todo.append((len(nodes), rows[below], {**box, d: a}))
+            todo.append((len(nodes) + 1, rows[~below], {**box, d: b}))
+            nodes += [[-1] * 9, [-1] * 9]
+        for name, column in zip(PARTS, np.array(nodes, dtype=np.int64).T):
+            setattr(self, name, np.ascontiguousarray(column))
+
+    def parts(self) -> list[np.ndarray]:
         return [getattr(self, name) for name in PARTS]
 
-    def _node(self) -> int:
-        for x in (self.dim, self.cut, self.lo, self.hi, self.left):
-            x.append(-1)
-        return len(self.dim) - 1
-
     def reach(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, leaf) of all leaves whose box is within ``radius``."""
-        q, node = np.arange(len(queries)), np.zeros(len(queries), np.int64)
-        left = np.full(len(queries), radius, np.int64)
-        found = []
+        left = radius - outside(queries, self.root_lo, self.root_hi).sum(axis=1)
+        q = np.flatnonzero(left >= 0)
+        left, node = left[q], np.zeros(len(q), np.int64)
+        found = [(q[:0], q[:0])]
         while len(q):
             leaf = self.dim[node] < 0
             found.append((q[leaf], self.cut[node[leaf]]))
             q, node, left = q[~leaf], node[~leaf], left[~leaf]
-            x, cut, lo, hi = queries[q, self.dim[node]].astype(np.int64), self.cut[node], self.lo[node], self.hi[node]
-            left = left + np.maximum(np.maximum(lo - x, x - hi), 0)
-            below = left - np.maximum(np.maximum(lo - x, x - cut), 0)
-            above = left - np.maximum(np.maximum(cut + 1 - x, x - hi), 0)
+            x = queries[q, self.dim[node]].astype(np.int64)
+            left = left + outside(x, self.lo[node], self.hi[node])
+            below = left - outside(x, self.a_lo[node], self.a_hi[node])
+            above = left - outside(x, self.b_lo[node], self.b_hi[node])
             a, b = below >= 0, above >= 0
             q, node, left = (np.concatenate(z) for z in ((q[a], q[b]), (self.left[node[a]], self.left[node[b]] + 1),
                                                          (below[a], above[b])))
-        return tuple(np.concatenate(z) for z in zip(*found)) if found else (q, node)
+        return tuple(np.concatenate(z) for z in zip(*found))
 
 
 # --------------------------------------------------------------- search
@@ -292,7 +299,7 @@ def upper_trees(words: DataFrame, leaf: int = LEAF, sample: int = SAMPLE) -> dic
     for k, mine in rows.sort_values(["k", "v"]).groupby("k"):
         vectors = np.frombuffer(b"".join(mine["v"]), np.int32).reshape(-1, LETTERS)
         leaves = -(-long[k] // leaf)
-        out[int(k)] = Tree(vectors, max(8, len(vectors) // leaves))
+        out[int(k)] = Tree(vectors, max(8, len(vectors) // leaves), open_=True)
     return out
 
 
@@ -300,10 +307,10 @@ def near_words(words: DataFrame, leaf: int = LEAF, block: int = BLOCK, sample: i
     """``word, n_near, best_n, best`` of the words that have a near word."""
     spark = words.sparkSession
     # The splits of trees over about SAMPLE words.
-    upper = spark.sparkContext.broadcast({k: tree.splits() for k, tree in upper_trees(words, leaf, sample).items()})
+    upper = spark.sparkContext.broadcast({k: tree.parts() for k, tree in upper_trees(words, leaf, sample).items()})
 
     def deal(batches):
-        trees = {k: Tree(None, splits=splits) for k, splits in upper.value.items()}
+        trees = {k: Tree(None, parts=parts) for k, parts in upper.value.items()}
         for rb in batches:
             got = rb.column("word").to_pylist()
             length = np.array([len(w) for w in got], dtype=np.int64)
