@@ -41,14 +41,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a ``materialize``d table that is no longer read."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(conf).delete(path, True)
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of ``materialize``d tables that are no longer read."""
+    for df in tables:
+        if df is None:
+            continue
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def crc_mod(col: str, n: int):

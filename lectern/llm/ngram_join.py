@@ -12,10 +12,12 @@ that are frequent (a bounded table, counted over all documents) last, so
 common lines make no candidates.  An order is a fixed function of the token:
 however rough the counts are, no link is lost.
 
-Groups of copies: documents with equal sets become one node first.  Nodes
-that share a prefix token are compared with one node of that token
-(linear in the group); once those links have merged their components, only
-nodes of *different* components that share a prefix token are paired.  The
+Groups of copies: documents with equal sets become one node first.  Every
+prefix token has a leader among its nodes, and a node is compared with at most
+``LEADERS`` leaders of its tokens (linear in the group); the links merge
+components.  That is done ``ROUNDS`` times, with other leaders, for the nodes
+that share a token with another component still.  Only what is then left,
+nodes of *different* components that share a prefix token, is paired.  The
 components are those of all links, but a large group of near copies never
 becomes all its pairs.
 
@@ -32,20 +34,25 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pyspark.sql.functions import arrow_udf
 
-from lectern.llm.common import (SPACE, bounded_batches, components, materialize, mix64, process_cache, release,
-                                run_hashes, runs, text_bytes)
+from lectern.llm.common import (SPACE, bounded_batches, components, discard, materialize, mix64, process_cache,
+                                release, run_hashes, runs, text_bytes)
 
 WORDS = 4
 PERCENT = 85
 ORDERS = 3
-HOT_TOKENS = 1 << 18     # frequent tokens that the orders put last (8 bytes each)
-HOT_IN_BATCH = 2         # documents of a batch that make a token worth counting
+LEADERS = 32             # leaders that a node is compared with in a round
+SHARES = 8               # leaders of a token from the second round on
+ROUNDS = 4
+WORTH = 50               # a round in which one pair of so many links is worth another one
+HOT_TOKENS = 1 << 19     # frequent tokens that the orders put last (8 bytes each)
+HOT_IN_CHUNK = 2         # documents of a chunk that make a token worth counting
 HOT_AT_LEAST = 6
+CHUNK_TOKENS = 1 << 22   # tokens counted at once in a task
 CELLS = 1 << 13          # counts of a sketch at most
 
 _PLACE = mix64(np.arange(11, 43, dtype=np.uint64))
@@ -124,17 +131,28 @@ def _longs(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def frequent_tokens(docs: DataFrame, words: int = WORDS, limit: int = HOT_TOKENS) -> np.ndarray:
-    """Tokens that many documents have, at most ``limit``.  Every batch of
-    every partition is counted; a batch reports tokens that recur in it."""
+    """Tokens that many documents have, at most ``limit``.  Every chunk of
+    every partition is counted; a chunk reports tokens that recur in it."""
     def count(batches):
         process_cache("ngram")
+        kept, size = [], 0
+
+        def counted():
+            tok, c = np.unique(np.concatenate(kept), return_counts=True)
+            kept.clear()
+            keep = c >= HOT_IN_CHUNK
+            return pa.RecordBatch.from_arrays([pa.array(tok[keep].view(np.int64)), pa.array(c[keep])], ["token", "c"])
+
         for rb in batches:
             data, offsets = text_bytes(rb.column("text"))
             sets = shingle_sets(data, offsets, words)
-            if sets:
-                tok, c = np.unique(np.concatenate(sets), return_counts=True)
-                keep = c >= HOT_IN_BATCH
-                yield pa.RecordBatch.from_arrays([pa.array(tok[keep].view(np.int64)), pa.array(c[keep])], ["token", "c"])
+            kept += sets
+            size += sum(map(len, sets))
+            if size > CHUNK_TOKENS:
+                yield counted()
+                size = 0
+        if kept:
+            yield counted()
         release()
 
     top = (docs.select("text").mapInArrow(count, "token LONG, c LONG").groupBy("token").agg(F.sum("c").alias("c"))
@@ -175,18 +193,30 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, orders: in
     shared = materialize(rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.max("early").alias("any"))
                          .filter("c > 1 AND any").select("token"), "tokens")
     groups = materialize(rows.join(shared, "token"), "groups")
-    # The leader of a token is an early node that shares most of its prefix
-    # with others: of a group of near copies, one with few edits of its own.
+    discard(shared)
+    # Share of a node's prefix that others have: of a group of near copies,
+    # one with few edits of its own makes a good leader.
     common = groups.groupBy("nid").agg((-F.count(F.lit(1)) / F.max("n")).alias("own"))
-    ranked = groups.join(common, "nid")
-    lead = ranked.groupBy("token").agg(F.min(F.struct((~F.col("early")).alias("late"), "own", "nid", "n")).alias("lead"))
+    led = materialize(groups.join(common, "nid"), "led")
+    discard(groups)
     meet = (f"100 * least({{a}}.n, {{b}}.n) >= {percent} * greatest({{a}}.n, {{b}}.n)"
             " AND ({a}.early OR {a}.n > {b}.n) AND ({b}.early OR {b}.n > {a}.n)")
-    several = materialize(groups.join(lead, "token").select("token", "nid", "n", "early", "lead"), "led")
-    star = materialize(several.select(F.struct("nid", "n", "early").alias("x"), F.struct(
-        "lead.nid", "lead.n", (~F.col("lead.late")).alias("early")).alias("y"))
-                       .filter("x.nid <> y.nid AND " + meet.format(a="x", b="y"))
-                       .select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct(), "star")
+
+    def leaders(placed: DataFrame, turn: int) -> DataFrame:
+        """Pairs of a node and leaders of its tokens, of other components."""
+        rank = F.struct((~F.col("early")).alias("late"), (F.col("own") if turn == 0 else F.xxhash64("nid", "token", F.lit(turn))).alias("rank"),
+                        "nid", "n", "comp")
+        # One leader of a token, later several: each is the first of a share of its nodes.
+        share = F.pmod(F.xxhash64("nid", F.lit(-turn)), F.lit(SHARES if turn else 1))
+        lead = placed.groupBy("token", share.alias("share")).agg(F.min(rank).alias("lead"))
+        pairs = (placed.join(lead, "token").filter("comp <> lead.comp")
+                 .select(F.struct("nid", "n", "early").alias("x"), F.struct(
+                     "lead.nid", "lead.n", (~F.col("lead.late")).alias("early")).alias("y"), F.col("lead.rank").alias("rank"))
+                 .filter(meet.format(a="x", b="y"))
+                 .groupBy(F.col("x.nid").alias("nid"), F.col("y.nid").alias("lead")).agg(F.min("rank").alias("rank")))
+        first = Window.partitionBy("nid").orderBy("rank", "lead")       # at most one row for each prefix token
+        return (pairs.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= LEADERS)
+                .select(F.least("nid", "lead").alias("a"), F.greatest("nid", "lead").alias("b")).distinct())
 
     @arrow_udf("boolean")
     def possible(a_sketch: pa.Array, b_sketch: pa.Array, both: pa.Array) -> pa.Array:
@@ -233,28 +263,46 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, orders: in
                            .filter(test).select("a", "b"), "candidates")
         both = left.join(side("a", ["n", "tokens"]), "a").join(side("b", ["n", "tokens"]), "b")
         i = F.size(F.array_intersect("a_tokens", "b_tokens"))
-        return materialize(both.select("a", "b", (F.col("a_n") + F.col("b_n")).alias("s"), i.alias("i"))
-                           .filter(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b"), "links")
-
-    star = plausible(star)
-    sets = token_sets(star)
-    links = verified(star, sets)
-    comp = components(links)
-    # Nodes of different components that share a prefix token.
-    placed = materialize(several.join(comp, several["nid"] == comp["node"], "left").select(
-        "token", "nid", "lead", "n", "early", F.coalesce("component", "nid").alias("comp")), "placed")
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    rest = placed.filter("nid <> lead.nid").join(mixed, "token").select("token", "nid", "n", "early", "comp")
-    cross = (rest.alias("x").join(rest.alias("y"), "token")
-             .filter("x.nid < y.nid AND x.comp <> y.comp AND " + meet.format(a="x", b="y"))
-             .select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b")).distinct())
-    cross = plausible(cross)
-    if cross.take(1):
-        late = verified(cross, sets.unionByName(token_sets(cross, sets)))
-        comp = components(links.union(late))
-
-    named = nodes.select("nid", "rep").join(comp, F.col("nid") == F.col("node"), "left").select(
-        "nid", "rep", F.coalesce("component", "nid").alias("comp"))
+        out = materialize(both.select("a", "b", (F.col("a_n") + F.col("b_n")).alias("s"), i.alias("i"))
+                          .filter(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b"), "links")
+        discard(left)
+        return out
+
+    # Components so far; the nodes of a token that lie in several are paired.
+    links, comp, sets, turn = None, None, None, 0
+    while turn <= ROUNDS:
+        here = led if comp is None else led.join(comp, led["nid"] == comp["node"], "left").drop("node")
+        placed = materialize(here.withColumn("comp", F.col("nid") if comp is None else F.coalesce("component", "nid"))
+                             .select("token", "nid", "n", "early", "own", "comp"), "placed")
+        mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+        here = placed.join(mixed, "token")
+        if turn < ROUNDS:
+            pairs = leaders(here, turn)
+        else:
+            pairs = (here.alias("x").join(here.alias("y"), "token")
+                     .filter("x.nid < y.nid AND x.comp <> y.comp AND " + meet.format(a="x", b="y"))
+                     .select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b")).distinct())
+        pairs = plausible(pairs)
+        discard(placed)
+        met, linked = pairs.count(), 0
+        if met:
+            found = token_sets(pairs, sets)
+            sets = found if sets is None else sets.unionByName(found)
+            more = verified(pairs, sets)
+            linked = more.count()
+            if linked:
+                links = more if links is None else links.unionByName(more)
+                discard(comp)
+                comp = components(links)
+        discard(pairs)
+        # Leaders that hardly link to anything: the rest is for the last turn.
+        turn = turn + 1 if turn >= ROUNDS or linked * WORTH > met else ROUNDS
+    discard(led, sets)
+
+    named = nodes.select("nid", "rep")
+    named = (named.withColumn("comp", F.col("nid")) if comp is None else
+             named.join(comp, F.col("nid") == F.col("node"), "left")
+             .select("nid", "rep", F.coalesce("component", "nid").alias("comp")))
     ids = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of = named.select("nid", "comp").join(ids, "comp").select(F.col("nid").alias("_nid"), "component_id")
     return (signed.select("doc_id", "nid", "n").join(of, F.col("nid") == F.col("_nid"), "left")
