@@ -13,13 +13,11 @@ common lines make no candidates.  An order is a fixed function of the token:
 however rough the counts are, no link is lost.
 
 Groups of copies: documents with equal sets become one node first.  Every
-prefix token has a leader among its nodes, and a node is compared with at most
-``LEADERS`` leaders of its tokens (linear in the group); the links merge
-components.  That is done ``ROUNDS`` times, with other leaders, for the nodes
-that share a token with another component still.  Only what is then left,
-nodes of *different* components that share a prefix token, is paired.  The
-components are those of all links, but a large group of near copies never
-becomes all its pairs.
+prefix token has a few leaders among its nodes, and a node is compared with at
+most ``LEADERS`` leaders of its tokens (linear in the group); the links merge
+components.  Only what is then left, nodes of *different* components that share
+a prefix token, is paired.  The components are those of all links, but a large
+group of near copies never becomes all its pairs.
 
 Sets hold 64-bit hashes of shingles, and a node is the 64-bit hash of a set.
 
@@ -45,10 +43,8 @@ from lectern.llm.common import (SPACE, bounded_batches, components, discard, mat
 WORDS = 4
 PERCENT = 85
 ORDERS = 3
-LEADERS = 32             # leaders that a node is compared with in a round
-SHARES = 8               # leaders of a token from the second round on
-ROUNDS = 4
-WORTH = 50               # a round in which one pair of so many links is worth another one
+LEADERS = 32             # leaders that a node is compared with
+SHARES = 8               # leaders of a token, besides its best one
 HOT_TOKENS = 1 << 19     # frequent tokens that the orders put last (8 bytes each)
 HOT_IN_CHUNK = 2         # documents of a chunk that make a token worth counting
 HOT_AT_LEAST = 6
@@ -202,19 +198,21 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, orders: in
     meet = (f"100 * least({{a}}.n, {{b}}.n) >= {percent} * greatest({{a}}.n, {{b}}.n)"
             " AND ({a}.early OR {a}.n > {b}.n) AND ({b}.early OR {b}.n > {a}.n)")
 
-    def leaders(placed: DataFrame, turn: int) -> DataFrame:
-        """Pairs of a node and leaders of its tokens, of other components."""
-        rank = F.struct((~F.col("early")).alias("late"), (F.col("own") if turn == 0 else F.xxhash64("nid", "token", F.lit(turn))).alias("rank"),
-                        "nid", "n", "comp")
-        # One leader of a token, later several: each is the first of a share of its nodes.
-        share = F.pmod(F.xxhash64("nid", F.lit(-turn)), F.lit(SHARES if turn else 1))
-        lead = placed.groupBy("token", share.alias("share")).agg(F.min(rank).alias("lead"))
-        pairs = (placed.join(lead, "token").filter("comp <> lead.comp")
+    def leaders(placed: DataFrame) -> DataFrame:
+        """Pairs of a node and leaders of its tokens.  A token has several:
+        its best one, and the first of each share of its nodes."""
+        rank = lambda r: F.struct((~F.col("early")).alias("late"), r.alias("rank"), "nid", "n")
+        share = F.pmod(F.xxhash64("nid"), F.lit(SHARES))
+        found = placed.groupBy("token", share.alias("share")).agg(
+            F.min(rank(F.col("own"))).alias("central"), F.min(rank(F.xxhash64("nid", "token") / F.lit(2.0 ** 63))).alias("some"))
+        lead = found.groupBy("token").agg(F.min("central").alias("central"), F.collect_list("some").alias("others")).select(
+            "token", F.explode(F.array_distinct(F.concat(F.array("central"), "others"))).alias("lead"))
+        pairs = (placed.join(lead, "token").filter("nid <> lead.nid")
                  .select(F.struct("nid", "n", "early").alias("x"), F.struct(
                      "lead.nid", "lead.n", (~F.col("lead.late")).alias("early")).alias("y"), F.col("lead.rank").alias("rank"))
                  .filter(meet.format(a="x", b="y"))
                  .groupBy(F.col("x.nid").alias("nid"), F.col("y.nid").alias("lead")).agg(F.min("rank").alias("rank")))
-        first = Window.partitionBy("nid").orderBy("rank", "lead")       # at most one row for each prefix token
+        first = Window.partitionBy("nid").orderBy("rank", "lead")       # at most SHARES + 1 rows for each prefix token
         return (pairs.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= LEADERS)
                 .select(F.least("nid", "lead").alias("a"), F.greatest("nid", "lead").alias("b")).distinct())
 
@@ -268,41 +266,29 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, orders: in
         discard(left)
         return out
 
-    # Components so far; the nodes of a token that lie in several are paired.
-    links, comp, sets, turn = None, None, None, 0
-    while turn <= ROUNDS:
-        here = led if comp is None else led.join(comp, led["nid"] == comp["node"], "left").drop("node")
-        placed = materialize(here.withColumn("comp", F.col("nid") if comp is None else F.coalesce("component", "nid"))
-                             .select("token", "nid", "n", "early", "own", "comp"), "placed")
-        mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-        here = placed.join(mixed, "token")
-        if turn < ROUNDS:
-            pairs = leaders(here, turn)
-        else:
-            pairs = (here.alias("x").join(here.alias("y"), "token")
-                     .filter("x.nid < y.nid AND x.comp <> y.comp AND " + meet.format(a="x", b="y"))
-                     .select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b")).distinct())
-        pairs = plausible(pairs)
-        discard(placed)
-        met, linked = pairs.count(), 0
-        if met:
-            found = token_sets(pairs, sets)
-            sets = found if sets is None else sets.unionByName(found)
-            more = verified(pairs, sets)
-            linked = more.count()
-            if linked:
-                links = more if links is None else links.unionByName(more)
-                discard(comp)
-                comp = components(links)
-        discard(pairs)
-        # Leaders that hardly link to anything: the rest is for the last turn.
-        turn = turn + 1 if turn >= ROUNDS or linked * WORTH > met else ROUNDS
-    discard(led, sets)
-
-    named = nodes.select("nid", "rep")
-    named = (named.withColumn("comp", F.col("nid")) if comp is None else
-             named.join(comp, F.col("nid") == F.col("node"), "left")
-             .select("nid", "rep", F.coalesce("component", "nid").alias("comp")))
+    star = plausible(leaders(led))
+    sets = token_sets(star)
+    links = verified(star, sets)
+    comp = components(links)
+    # Nodes of different components that share a prefix token.
+    placed = materialize(led.join(comp, led["nid"] == comp["node"], "left").select(
+        "token", "nid", "n", "early", F.coalesce("component", "nid").alias("comp")), "placed")
+    mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+    rest = placed.join(mixed, "token")
+    cross = (rest.alias("x").join(rest.alias("y"), "token")
+             .filter("x.nid < y.nid AND x.comp <> y.comp AND " + meet.format(a="x", b="y"))
+             .select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b")).distinct())
+    cross = plausible(cross)
+    discard(led, placed, star)
+    if cross.take(1):
+        more = token_sets(cross, sets)
+        late = verified(cross, sets.unionByName(more))
+        discard(more, comp)
+        comp = components(links.union(late))
+    discard(sets, cross)
+
+    named = nodes.select("nid", "rep").join(comp, F.col("nid") == F.col("node"), "left").select(
+        "nid", "rep", F.coalesce("component", "nid").alias("comp"))
     ids = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of = named.select("nid", "comp").join(ids, "comp").select(F.col("nid").alias("_nid"), "component_id")
     return (signed.select("doc_id", "nid", "n").join(of, F.col("nid") == F.col("_nid"), "left")
