@@ -113,15 +113,25 @@ def running_scan(df: DataFrame, keys: list[str], order: str,
     return out.drop(chunk, *drop)
 
 
-def small_table(df: DataFrame, prefix: str) -> DataFrame:
-    """Write a small derived table under the shared checkpoint folder and
-    read it back, so that the planner sees its real size."""
+def small_table(df: DataFrame, prefix: str, max_records: int = 0) -> DataFrame:
+    """Write a derived table under the shared checkpoint folder and read it
+    back, so that the planner sees its real size.  ``max_records``: rows of a
+    file at most (0: any number)."""
     spark = df.sparkSession
     path = scratch_path(spark, f"{prefix}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", max_records).parquet(path)
     return spark.read.parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a ``small_table`` that is no longer read."""
+    spark = df.sparkSession
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable, eager checkpoint computed once: the rows are cached while
     the checkpoint files are written (otherwise writing them would run the

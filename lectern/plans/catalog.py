@@ -263,11 +263,14 @@ def d2_top_k_single(spark, sf):
                        _r(1.0 / (1.0 + F.col("d2"))).alias("score"))
 
 
-def _text_hits(spark, sf, queries, k, **options):
+def _text_queries(spark, sf, queries):
     """``queries`` (qid, text), hashed to the vector length of ``embeddings``."""
-    e = S.vectors(spark, sf)
-    q = encode.encode_hashed(queries, "text", encode.vector_dimension(e), out_col="qvec")
-    return knn.nearest(e, q, k=k, **options)
+    dim = encode.vector_dimension(S.vectors(spark, sf))
+    return encode.encode_hashed(queries, "text", dim, out_col="qvec")
+
+
+def _text_hits(spark, sf, queries, k=None, **options):
+    return knn.nearest(S.vectors(spark, sf), _text_queries(spark, sf, queries), k=k, **options)
 
 
 def _benchmark_queries(spark, sf):
@@ -278,13 +281,37 @@ def d3_batch_top_k(spark, sf):
     """Every turn of ``conversations`` as a query, in several blocks."""
     turns = S.table(spark, sf, "conversations", spread=True).select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("qid"), "text")
-    # A small bound, so that the batch takes several blocks at any size.
-    cap = 8 * 64 * max(1, turns.count() // 4)
-    hits = _text_hits(spark, sf, turns, 3, broadcast_cap=cap)
+    # A small bound (2,048 queries), the same at any size.
+    hits = _text_hits(spark, sf, turns, 3, broadcast_cap=8 * 64 * 2048)
     return hits.select("qid", "rk", "vec_id", _r("d2").alias("d2"),
                        _r(1.0 / (1.0 + F.col("d2"))).alias("score"))
 
 
+def d3_own_k(spark, sf):
+    """Every query with a k of its own: a few of 1 to 7, one in 50 of 300."""
+    k = F.when(F.col("qid") % 50 == 0, 300).otherwise(1 + F.col("qid") % 7)
+    hits = _text_hits(spark, sf, _benchmark_queries(spark, sf).withColumn("k", k), k_col="k")
+    return hits.select("qid", "rk", "vec_id", _r("d2").alias("d2"))
+
+
+def c3_grown_index(spark, sf):
+    """An index built from a third of ``embeddings``, grown by
+    the rest in two steps, searched, compacted and searched again."""
+    from lectern.sources import cluster_index as ci
+    root = scratch_path(spark, f"clusters-{uuid.uuid4().hex}")
+    e = S.vectors(spark, sf).select("vec_id", "embedding")
+    third = lambda k: e.filter(F.pmod("vec_id", F.lit(3)) == k)
+    queries = _text_queries(spark, sf, _benchmark_queries(spark, sf))
+    ci.build(third(0), root)
+    ci.add(third(1), root)
+    ci.add(third(2), root)
+    grown, _ = ci.search(spark, root, queries, k=4)
+    ci.compact(spark, root)
+    compacted, _ = ci.search(spark, root, queries, k=4)
+    rows = lambda hits, name: hits.select(F.lit(name).alias("index"), "qid", "rk", "vec_id", _r("d2").alias("d2"))
+    return rows(grown, "grown").unionByName(rows(compacted, "compacted"))
+
+
 def d3_text_queries_top_k(spark, sf):
     """``benchmark`` texts, hashed to the vector length of ``embeddings``,
     retrieve their 10 nearest vectors."""
@@ -481,6 +508,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "d2_top_k_single": d2_top_k_single,
     "d3_batch_top_k": d3_batch_top_k,
     "d3_text_queries_top_k": d3_text_queries_top_k,
+    "d3_own_k": d3_own_k,
+    "c3_grown_index": c3_grown_index,
     "d5_metadata_hits": d5_metadata_hits,
     "d6_dropped_hits": d6_dropped_hits,
     "d7_query_validation": d7_query_validation,

@@ -334,6 +334,14 @@ FROM d"""
 SQL["d3_text_queries_top_k"] = "WITH " + _text_hits("item_id", "benchmark", 10) + """
 SELECT qid, rk, vec_id, round(d2, 6) AS d2 FROM hits"""
 
+SQL["d3_own_k"] = "WITH " + _text_hits("item_id", "benchmark", 300) + """
+SELECT qid, rk, vec_id, round(d2, 6) AS d2 FROM hits
+WHERE rk <= CASE WHEN qid % 50 = 0 THEN 300 ELSE 1 + qid % 7 END"""
+
+SQL["c3_grown_index"] = "WITH " + _text_hits("item_id", "benchmark", 4) + """
+SELECT "index", qid, rk, vec_id, round(d2, 6) AS d2
+FROM hits, (VALUES ('grown'), ('compacted')) AS i("index")"""
+
 SQL["a1_text_file_books"] = SQL["b_parse_verses"]
 
 SQL["c5_published_index"] = "WITH " + _BOOKS + """
