@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as TX
 from lectern.functions.vectors import cosine_distance, sq_l2
-from lectern.operators import adapt, encode, feedback as fb, knn, parse, retrieve
+from lectern.operators import adapt, encode, feedback as fb, knn, parse, retrieve, train
 from lectern.operators.scan import small_table
 from lectern.plans import standins as S
 from lectern.session import scratch_path
@@ -484,6 +484,21 @@ def e10_adapt_weights(spark, sf):
         "dim", _r("weight").alias("weight"), _r(F.lit(losses[0])).alias("loss_before"))
 
 
+def e10_minibatch_fit(spark, sf):
+    """One epoch in 16 mini-batches.  Every step's batch, size and
+    rate, the batch's loss under the encoder that training starts from, and
+    whether the map that came out has a lower loss over all pairs."""
+    pairs = small_table(_vector_pairs(spark, sf).select(F.col("vec_id").alias("fid"), "a", "b", "label"), "pairs")
+    dim = encode.vector_dimension(S.vectors(spark, sf))
+    size = max(adapt.BATCH_SIZE, -(-pairs.count() // 16))
+    learned, log = train.fit_metric(pairs, dim, batch_size=size)
+    better = train.mean_loss(pairs, learned) < train.mean_loss(pairs, train.Metric.start(dim))
+    before = adapt.contrastive_loss(adapt.numbered_batches(pairs, "fid", size), group_cols=["batch"])
+    steps = spark.createDataFrame([(s["batch"], s["n_pairs"], s["rate"]) for s in log], "batch LONG, n_pairs LONG, rate DOUBLE")
+    return steps.join(before.select("batch", _r("loss").alias("loss_before")), "batch").select(
+        "batch", "n_pairs", _r("rate").alias("rate"), "loss_before", F.lit(better).alias("better"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "a1_text_file_books": a1_text_file_books,
     "a2_book_titles": a2_book_titles,
@@ -529,5 +544,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "e8_schedule": e8_schedule,
     "e9_contrastive_loss": e9_contrastive_loss,
     "e10_adapt_weights": e10_adapt_weights,
+    "e10_minibatch_fit": e10_minibatch_fit,
     "e11_adapt_publish_consume": e11_adapt_publish_consume,
 }

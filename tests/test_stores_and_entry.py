@@ -1,5 +1,6 @@
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,26 @@ def test_versions_publish_and_resolve(spark, tmp_path):
     assert index_store.resolve_version(spark, root) == "v2"
 
 
+def test_adapt_cycle_with_a_trained_map(spark, tmp_path):
+    from lectern.operators import train
+    root, store_path = str(tmp_path / "idx"), str(tmp_path / "fb")
+    jobs.build_corpus(spark, lines_df(spark, "I\nalpha beta\n\nII\nbeta gamma\n\nIII\nom shanti\n"), root, dim=16)
+    reqs = spark.createDataFrame([("alpha", "Upanishads+Test-0-1", True), ("om", "Upanishads+Test-0-3", True),
+                                  ("alpha", "Upanishads+Test-0-3", False)], "query STRING, verse_id STRING, is_relevant BOOLEAN")
+    feedback_store.append(feedback_store.stamp(reqs), store_path)
+    res = jobs.adapt_from_feedback(spark, root, store_path, "m1", dim=16, rank=2)
+    assert res["trained"] and len(res["losses"]) == 1 and feedback_store.read(spark, store_path).count() == 0
+    vectors, meta, weights = jobs.current_index(spark, root, dim=16)
+    assert isinstance(weights, train.Metric) and weights.a.shape == (16, 2) and weights.b.any()
+    base = {r.vec_id: r.embedding for r in index_store.read_vectors(spark, root, "base").collect()}
+    for r in vectors.collect():
+        want = weights.map(np.array(base[r.vec_id], dtype=float)[None])[0]
+        np.testing.assert_allclose(r.embedding, want / np.linalg.norm(want), atol=1e-6)
+    q = spark.createDataFrame([(1, "om shanti")], "qid LONG, query STRING")
+    top = jobs.retrieve_hits(vectors, meta, q, k=1, dim=16, weights=weights).first()
+    assert top.verse_id == "Upanishads+Test-0-3" and top.score == pytest.approx(1.0, abs=1e-6)
+
+
 def test_adapt_cycle_publishes_then_consumes(spark, tmp_path):
     root = str(tmp_path / "idx")
     lines = lines_df(spark, "I\nalpha beta\n\nII\nbeta gamma\n\nIII\nom shanti\n\nIV\nalpha om\n")
