@@ -156,8 +156,11 @@ def frequent_tokens(docs: DataFrame, words: int = WORDS, limit: int = HOT_TOKENS
     return np.sort(top["token"].to_numpy(np.int64).view(np.uint64))
 
 
-def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
+def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, orders: int = ORDERS,
+         scratch: list | None = None) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs``.
+    ``scratch`` is given the tables that the result still reads: a caller that
+    has written it can discard them."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -287,6 +290,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, orders: in
         comp = components(links.union(late))
     discard(sets, cross)
 
+    if scratch is not None:
+        scratch += [signed, nodes, links, comp]
     named = nodes.select("nid", "rep").join(comp, F.col("nid") == F.col("node"), "left").select(
         "nid", "rep", F.coalesce("component", "nid").alias("comp"))
     ids = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
