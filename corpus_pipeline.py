@@ -31,7 +31,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every class of near copies: five-word shingles, similarity 0.8."""
-    joined = materialize(ngram_join.join(docs, words=WORDS, percent=PERCENT), "classes")
+    scratch: list[DataFrame] = []
+    joined = materialize(ngram_join.join(docs, words=WORDS, percent=PERCENT, scratch=scratch), "classes")
+    discard(*scratch)
     return ngram_join.one_of_each(docs.select(*COLUMNS), joined)
 
 
