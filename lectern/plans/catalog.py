@@ -89,6 +89,46 @@ def a9_feedback_consume(spark, sf):
     return fb.consume(store, used, mode="used")
 
 
+def a9_compacted_feedback(spark, sf):
+    """Two appends, two runs that consume and two compactions, the
+    files they folded removed; the store as the next reader sees it."""
+    from lectern.sources import feedback_store
+    path = scratch_path(spark, f"feedback-{uuid.uuid4().hex}")
+    records = S.feedback(spark, sf)
+    for run, (part, used) in enumerate((("fid % 2 = 0", "fid % 5 = 0"), ("fid % 2 <> 0", "fid % 7 = 0"))):
+        feedback_store.append(records.filter(part), path)
+        feedback_store.consume(feedback_store.read(spark, path).filter(used), path, f"run-{run}")
+        feedback_store.compact(spark, path)
+    feedback_store.vacuum(spark, path, grace=0.0)
+    return feedback_store.read(spark, path)
+
+
+def e11_two_publishers(spark, sf):
+    """Two publishers that began on the same state each write the
+    vectors under a scale of their own.  One publishes, the other is refused
+    and its folder goes.  The rows are the vectors that readers get, summed."""
+    from lectern.sources import index_store
+    root = scratch_path(spark, f"index-{uuid.uuid4().hex}")
+    vectors = S.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    seen = index_store.published(spark, root)
+    refused = 0
+    for scale in (2.0, 4.0):
+        folder = index_store.new_folder("scaled")
+        index_store.write_vectors(
+            vectors.withColumn("embedding", F.transform("embedding", lambda x: x * F.lit(scale))), root, folder)
+        try:
+            index_store.publish_version(spark, root, "scaled", folder, seen)
+        except index_store.Conflict:
+            index_store.drop_folder(spark, root, folder)
+            refused += 1
+    left = index_store.vacuum(spark, root, grace=0.0)
+    version = index_store.resolve_version(spark, root)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    return index_store.read_vectors(spark, root, version).select(
+        "vec_id", F.lit(version).alias("version"), _r(total).alias("total"),
+        F.lit(refused).cast("long").alias("refused"), F.lit(left).cast("long").alias("left_over"))
+
+
 def e11_adapt_publish_consume(spark, sf):
     """The base index is built where it is
     missing, an adapted version is trained and published, and the feedback
@@ -505,6 +545,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "a7_feedback_append": a7_feedback_append,
     "a8_feedback_scan": a8_feedback_scan,
     "a9_feedback_consume": a9_feedback_consume,
+    "a9_compacted_feedback": a9_compacted_feedback,
     "a10_feedback_stream": a10_feedback_stream,
     "a11_feedback_validate": a11_feedback_validate,
     "b2_line_kinds": b2_line_kinds,
@@ -546,4 +587,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "e10_adapt_weights": e10_adapt_weights,
     "e10_minibatch_fit": e10_minibatch_fit,
     "e11_adapt_publish_consume": e11_adapt_publish_consume,
+    "e11_two_publishers": e11_two_publishers,
 }

@@ -131,6 +131,9 @@ SQL["a10_feedback_stream"] = _FEEDBACK_ROWS
 SQL["a9_feedback_consume"] = "WITH " + _FEEDBACK + """
 SELECT * FROM fbk WHERE fid NOT IN (SELECT fid FROM latest)"""
 
+SQL["a9_compacted_feedback"] = "WITH " + _FEEDBACK + """
+SELECT * FROM fbk WHERE NOT (fid % 2 = 0 AND fid % 5 = 0) AND fid % 7 <> 0"""
+
 SQL["a11_feedback_validate"] = """
 WITH raw AS (
   SELECT event_id AS fid,
@@ -476,6 +479,11 @@ SELECT fid, 'adapted-1' AS version, (SELECT count(*) FROM documents) AS n_vector
        CAST(64 AS BIGINT) AS dim, CAST(64 AS BIGINT) AS n_weights
 FROM fbk WHERE fid NOT IN (SELECT fid FROM pairs)"""
 
+SQL["e11_two_publishers"] = """
+SELECT vec_id, 'scaled' AS version, round(2.0 * list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total,
+       CAST(1 AS BIGINT) AS refused, CAST(0 AS BIGINT) AS left_over
+FROM embeddings"""
+
 # One gradient step from weights of 1 at rate 0.5.
 SQL["e10_adapt_weights"] = """
 WITH n AS (SELECT count(*) AS n FROM embeddings),

@@ -31,9 +31,7 @@ and neither's vectors are lost.  ``vacuum`` removes parts no manifest names.
 
 from __future__ import annotations
 
-import json
 import math
-import time
 import uuid
 
 import numpy as np
@@ -44,73 +42,31 @@ from pyspark.sql import functions as F
 from lectern.operators import knn
 from lectern.operators.scan import drop_table, small_table
 from lectern.session import scratch_path
+from lectern.sources import manifest as manifests
+from lectern.sources.manifest import Conflict, file_system
 
 SAMPLE = 16_384             # vectors that the pivots are fitted on, about
 UNIT_ROWS = 16_384          # vectors of a file at least
 MAX_FILES = 1 << 17         # files of a part at most; larger ones beyond that
 ROUNDS = 8                  # steps of the pivots' fit
-GRACE = 30.0                # seconds that a manifest may stay half written
 VECTORS = "vec_id LONG, embedding ARRAY<FLOAT>, g INT, dist DOUBLE"
 
 
-class Conflict(RuntimeError):
-    """Another writer took the version first."""
-
-
 # ------------------------------------------------------------- manifest
 
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def manifest(spark: SparkSession, root: str) -> dict:
-    """The newest whole manifest: ``version``, ``parts`` (name, pivot set) and
-    the number that comes ``next``.  A newer file that isn't whole is being
-    written; ``GRACE`` seconds after its last change its writer is taken for
-    lost, and the next number is the one behind it."""
-    folder, fs = _fs(spark, f"{root}/manifest")
-    files = list(fs.listStatus(folder)) if fs.exists(folder) else []
-    names = sorted((s.getPath().getName(), s.getModificationTime()) for s in files)
-    later = None
-    for name, changed in reversed([x for x in names if x[0].endswith(".json") and not x[0].startswith(".")]):
-        text = "".join(r["value"] for r in spark.read.text(f"{root}/manifest/{name}").collect())
-        try:
-            return {"next": later or int(name[:8]) + 1, **json.loads(text)}
-        except ValueError:
-            if time.time() - changed / 1000 > GRACE:
-                later = later or int(name[:8]) + 1
-            else:
-                later = None
-    return {"version": 0, "parts": [], "next": later or 1}
+    """The newest manifest: ``version``, ``parts`` (name, pivot set), ``next``."""
+    return {"parts": [], **manifests.newest(spark, f"{root}/manifest")}
 
 
 def commit(spark: SparkSession, root: str, base: dict, parts: list[dict]) -> dict:
     """Create the manifest that follows ``base``; Conflict if it is there."""
-    new = {"version": base["next"], "parts": parts}
-    path, fs = _fs(spark, f"{root}/manifest/{new['version']:08d}.json")
-    try:
-        out = fs.create(path, False)
-    except Exception as exc:
-        if fs.exists(path):
-            raise Conflict(f"version {new['version']} is there") from exc
-        raise
-    out.write(bytearray(json.dumps(new).encode()))
-    out.close()
-    return new
+    return manifests.commit(spark, f"{root}/manifest", base, {"parts": parts})
 
 
 def publish(spark: SparkSession, root: str, change, base: dict | None = None) -> dict:
-    """Commit ``change(parts) -> parts`` on the newest manifest, again and
-    again until no other writer comes in between.  Every failed try means
-    that another one was successful."""
-    while True:
-        base = base or manifest(spark, root)
-        try:
-            return commit(spark, root, base, change(base["parts"]))
-        except Conflict:
-            base = None
-            time.sleep(0.2)
+    """Commit ``change(parts) -> parts`` on the newest manifest."""
+    return manifests.update(spark, f"{root}/manifest", lambda state: {"parts": change(state.get("parts", []))}, base)
 
 
 # ---------------------------------------------------------------- parts
@@ -227,7 +183,7 @@ def vacuum(spark: SparkSession, root: str) -> int:
     keep = {f"part={p['part']}" for p in parts} | {f"set={p['pivots']}" for p in parts}
     gone = 0
     for kind in ("vectors", "units", "pivots"):
-        folder, fs = _fs(spark, f"{root}/{kind}")
+        folder, fs = file_system(spark, f"{root}/{kind}")
         for s in fs.listStatus(folder) if fs.exists(folder) else []:
             if s.getPath().getName() not in keep:
                 gone += bool(fs.delete(s.getPath(), True))
