@@ -1,14 +1,18 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads runs of letter bytes (ASCII letters and bytes >= 0x80, at
-most 48 a run; longer ones are cut) from both ends, its state starting anew
-at each run, and labels every byte position.  A document's probabilities are
-the means over all its positions, so every byte of a letter counts.  Equal
-runs get equal labels and are computed once per worker.
+The network reads runs of letter bytes (ASCII letters and bytes >= 0x80) from
+both ends, its state starting anew at each run, and labels every byte
+position.  A document's probabilities are the means over all its positions, so
+every byte of a letter counts.  Equal runs get equal labels and are computed
+once per worker.  A run of any length is read whole, ``WINDOW`` bytes at a
+time: the forward states at the windows' edges are kept, the windows are then
+labelled from the last to the first, and the backward state is carried on.
 
 The weights are learned here, in numpy, by backpropagation through time on a
 bounded sample of labelled documents: the ``SAMPLE_DOCS`` of each language
-with the smallest hashes, at most ``SAMPLE_RUNS`` runs of each.
+with the smallest hashes, at most ``SAMPLE_RUNS`` runs of each, longer ones in
+pieces of ``WINDOW`` bytes; the ``LANGUAGES`` with most documents where there
+are more.
 
 Defined cases: a null or empty text, or one without a letter, gets ``und``
 with score 0; rows without a language are not learned from; without any
@@ -32,7 +36,9 @@ SAMPLE_RUNS = 250        # runs of letters of each of them
 HIDDEN = 16
 STEPS = 350
 MINIBATCH = 256
-RUN = 48                 # bytes of a run at most
+WINDOW = 48              # bytes that are labelled at once; of a run in the sample at most
+LANGUAGES = 1000         # languages that are learned at most
+CELLS = 1 << 18          # runs x labels of a block at most
 KEPT_RUNS = 400_000    # runs whose labels a worker keeps
 UNDETERMINED = "und"
 
@@ -40,13 +46,14 @@ LETTER = np.zeros(256, dtype=bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 
 
-def letter_runs(data: np.ndarray, offsets: np.ndarray):
-    """Runs of letter bytes cut to RUN bytes: starts, ends, rows."""
+def letter_runs(data: np.ndarray, offsets: np.ndarray, longest: int = 0):
+    """Runs of letter bytes: starts, ends, rows; in pieces of ``longest``
+    bytes at most where that is given."""
     s, e, row = runs(LETTER[data], offsets)
-    if len(s) and int((e - s).max()) > RUN:
-        n = -(-(e - s) // RUN)
-        first = np.repeat(s, n) + RUN * (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
-        e, row, s = np.minimum(first + RUN, np.repeat(e, n)), np.repeat(row, n), first
+    if longest and len(s) and int((e - s).max()) > longest:
+        n = -(-(e - s) // longest)
+        first = np.repeat(s, n) + longest * (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+        e, row, s = np.minimum(first + longest, np.repeat(e, n)), np.repeat(row, n), first
     return s, e, row
 
 
@@ -76,11 +83,12 @@ class Network:
             self.w["b" + d] = np.zeros(3 * hidden, np.float32)
         self.w["o"], self.w["ob"] = f(2 * hidden, len(labels)), np.zeros(len(labels), np.float32)
 
-    def _direction(self, x, n, d, keep):
-        """States at every position; a run's state is held beyond its end."""
+    def _direction(self, x, n, d, keep, state=None):
+        """States at every position, from ``state`` on; a run's state is held beyond its end."""
         h, (T, B) = self.h, x.shape
         wx, wu, b = self.w["x" + d], self.w["u" + d], self.w["b" + d]
-        state, out, tape = np.zeros((B, h), wx.dtype), np.zeros((T, B, h), wx.dtype), []
+        state = np.zeros((B, h), wx.dtype) if state is None else state
+        out, tape = np.zeros((T, B, h), wx.dtype), []
         for t in (range(T) if d == "f" else range(T - 1, -1, -1)):
             live = (t < n)[:, None]
             a, r = wx[x[t]] + b, state @ wu[:, :2 * h]
@@ -98,12 +106,16 @@ class Network:
         """Label probabilities at every position: (time, run, label)."""
         hf, tf = self._direction(x, n, "f", keep)
         hb, tb = self._direction(x, n, "b", keep)
+        p, hidden = self._labels(hf, hb)
+        return (p, hidden, tf, tb) if keep else p
+
+    def _labels(self, hf, hb):
         hidden = np.concatenate([hf, hb], axis=2)
         logit = hidden @ self.w["o"] + self.w["ob"]
         logit -= logit.max(axis=2, keepdims=True)
         p = np.exp(logit)
         p /= p.sum(axis=2, keepdims=True)
-        return (p, hidden, tf, tb) if keep else p
+        return p, hidden
 
     def gradients(self, x, n, y):
         """Mean cross entropy of all positions and its gradients."""
@@ -161,12 +173,37 @@ class Network:
     def run_sums(self, data, starts, ends, block: int = 4096) -> np.ndarray:
         """Sum of the position probabilities of each run, by label."""
         out = np.zeros((len(starts), len(self.labels)), np.float32)
+        block = max(1, min(block, CELLS // max(1, len(self.labels))))
         order = np.argsort(ends - starts, kind="stable")
         for i in range(0, len(order), block):
             rows = order[i:i + block]
-            x, n = batch_of(data, starts[rows], ends[rows])
-            p = self.positions(x, n)
-            out[rows] = (p * (np.arange(x.shape[0])[:, None] < n[None, :])[..., None]).sum(axis=0)
+            out[rows] = self._sums(data, starts[rows], ends[rows])
+        return out
+
+    def _sums(self, data, starts, ends) -> np.ndarray:
+        """``run_sums`` of runs in ascending order of length, a window at a time."""
+        n, h = ends - starts, self.h
+        edges = range(0, max(int(n.max()), 1), WINDOW)
+        # Of each window only the runs that reach it: those from ``live`` on.
+        live = [int(np.searchsorted(n, a, side="right")) if a else 0 for a in edges]
+
+        def window(i):
+            k, a = live[i], edges[i]
+            return batch_of(data, starts[k:] + a, np.minimum(ends[k:], starts[k:] + a + WINDOW))
+
+        before = [np.zeros((len(n), h), self.w["xf"].dtype)]
+        for i in range(len(edges) - 1):
+            last = self._direction(*window(i), "f", False, before[i])[0][-1]
+            before.append(last[live[i + 1] - live[i]:])
+        out, after = np.zeros((len(n), len(self.labels))), np.zeros((len(n), h), self.w["xb"].dtype)
+        for i in reversed(range(len(edges))):
+            x, m = window(i)
+            k = live[i]
+            hf = self._direction(x, m, "f", False, before.pop())[0]
+            hb = self._direction(x, m, "b", False, after[k:])[0]
+            after[k:] = hb[0]
+            p, _ = self._labels(hf, hb)
+            out[k:] += (p * (np.arange(x.shape[0])[:, None] < m[None, :])[..., None]).sum(axis=0)
         return out
 
 
@@ -181,9 +218,9 @@ def training_sample(docs: DataFrame, learn: Column, docs_per_label: int = SAMPLE
     ranked = (named.select("lang", key.alias("key"))
               .withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
               .filter(F.col("r") <= docs_per_label))
-    limits = ranked.groupBy("lang").agg(F.max("key").alias("last")).limit(1001).collect()
-    if len(limits) > 1000:
-        raise ValueError("more than 1000 languages")
+    limits = ranked.groupBy("lang").agg(F.max("key").alias("last"))
+    sizes = named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    limits = limits.join(sizes, "lang").select("lang", "last").collect()      # LANGUAGES rows at most
     if not limits:
         return pd.DataFrame({"lang": [], "runs": []})
     small = docs.sparkSession.createDataFrame([(r["lang"], r["last"]) for r in limits], "lang STRING, last LONG")
@@ -191,7 +228,7 @@ def training_sample(docs: DataFrame, learn: Column, docs_per_label: int = SAMPLE
     @arrow_udf("string")
     def some_runs(texts: pa.Array) -> pa.Array:
         data, offsets = text_bytes(texts)
-        s, e, row = letter_runs(data, offsets)
+        s, e, row = letter_runs(data, offsets, WINDOW)
         order = np.argsort(mix64(run_hashes(data, s, e) + np.arange(len(s), dtype=np.uint64)), kind="stable")
         order = order[np.argsort(row[order], kind="stable")]
         rank = np.arange(len(order)) - np.searchsorted(row[order], row[order])
@@ -211,7 +248,7 @@ def train(sample: pd.DataFrame, hidden: int = HIDDEN, steps: int = STEPS) -> Net
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     net = Network(labels, hidden)
-    s, e, row = letter_runs(data, offsets)
+    s, e, row = letter_runs(data, offsets, WINDOW)
     if len(s) and len(labels) > 1:
         y = np.array([labels.index(x) for x in sample["lang"]])[row]
         net.fit(data, s, e, y, steps)

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import language as L
 from lectern.llm.common import crc_mod, text_bytes
@@ -53,11 +54,62 @@ def test_padding_does_not_change_a_run():
     assert np.allclose(both.sum(axis=1), e - s, atol=1e-4)
 
 
-def test_runs_are_cut_and_cover_all_letters():
+def test_runs_cover_all_letters():
     text = "a1b " + "é" * 100 + "," + "x" * 97
     data, offsets = text_bytes(pa.array([text, None, "z"]))
     s, e, row = L.letter_runs(data, offsets)
-    assert (e - s).max() <= L.RUN and (e - s).sum() == 2 + 200 + 97 + 1 and row[-1] == 2
+    assert (e - s).tolist() == [1, 1, 200, 97, 1] and row.tolist() == [0, 0, 0, 0, 2]
+    s, e, row = L.letter_runs(data, offsets, L.WINDOW)
+    assert (e - s).max() <= L.WINDOW and (e - s).sum() == 2 + 200 + 97 + 1 and row[-1] == 2
+
+
+def plain_sums(net, run):
+    """A forward pass over one run, byte by byte."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    states = {}
+    for d in "fb":
+        state, out, h = np.zeros(net.h), [], net.h
+        for c in (run if d == "f" else run[::-1]):
+            a = net.w["x" + d][c] + net.w["b" + d]
+            zq = sig(a[:2 * h] + state @ net.w["u" + d][:, :2 * h])
+            new = np.tanh(a[2 * h:] + (zq[h:] * state) @ net.w["u" + d][:, 2 * h:])
+            state = (1 - zq[:h]) * state + zq[:h] * new
+            out.append(state)
+        states[d] = out if d == "f" else out[::-1]
+    logit = np.concatenate([states["f"], states["b"]], axis=1) @ net.w["o"] + net.w["ob"]
+    p = np.exp(logit - logit.max(axis=1, keepdims=True))
+    return (p / p.sum(axis=1, keepdims=True)).sum(axis=0)
+
+
+def test_runs_of_any_length_equal_a_plain_forward_pass():
+    rng = np.random.default_rng(3)
+    net = L.Network(["a", "b", "c"], hidden=5, seed=2)
+    texts = [bytes(rng.choice(np.flatnonzero(L.LETTER), n).astype(np.uint8))
+             for n in (1, 47, 48, 49, 95, 96, 97, 500, 2000, 2000, 3, 144)]
+    data = np.frombuffer(b"1".join(texts), np.uint8)
+    s, e, _ = L.letter_runs(data, np.array([0, len(data)]))
+    assert len(s) == len(texts)
+    want = np.array([plain_sums(net, t) for t in texts])
+    np.testing.assert_allclose(net.run_sums(data, s, e), want, rtol=1e-4, atol=1e-4)
+    np.testing.assert_allclose(net.run_sums(data, s, e, block=5), want, rtol=1e-4, atol=1e-4)
+
+
+def test_pooled_probabilities_equal_a_plain_forward_pass(spark):
+    texts, lang = corpus(60, 5)
+    data = pd.DataFrame({"lang": lang, "runs": [t.encode().hex() for t in texts]})
+    net = L.train(data, hidden=4, steps=20)
+    long = "schüngei" * 300
+    got = L.classify(documents(spark, [*texts[:5], long + " the", "1 2"]), net).orderBy("doc_id").collect()
+    for r, t in zip(got, [*texts[:5], long + " the"]):
+        total = sum(plain_sums(net, w.encode()) for w in t.split())
+        assert r["lang_pred"] == net.labels[int(total.argmax())] and r["score"] == pytest.approx(total.max() / total.sum(), abs=2e-5)
+    assert got[-1]["lang_pred"] == L.UNDETERMINED
+
+
+def test_more_languages_than_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(L, "LANGUAGES", 2)
+    docs = documents(spark, ["ab cd"] * 6).withColumn("lang", F.expr("element_at(array('x', 'x', 'y', 'y', 'y', 'z'), cast(doc_id + 1 as int))"))
+    assert set(L.training_sample(docs, F.lit(True))["lang"]) == {"x", "y"}
 
 
 def test_held_out_accuracy_on_spark(spark):
