@@ -265,8 +265,10 @@ def covered(docs: DataFrame, length: int = LENGTH, kernel: int = KERNEL, group_t
                      pa.array([raw[b:e] for b, e in zip(begin[k].tolist(), end[k].tolist())], pa.binary())],
                     ["anchor", "rid", "first", "copies", "texts", "body"])
 
+    # Equal rows have one rid: each of their run texts is kept once.
     bodies = materialize(docs.join(todo, "rid").select("rid", "text", "wanted").mapInArrow(
-        cut_out, "anchor LONG, rid LONG, first LONG, copies LONG, texts LONG, body BINARY"), "bodies")
+        cut_out, "anchor LONG, rid LONG, first LONG, copies LONG, texts LONG, body BINARY")
+        .dropDuplicates(["anchor", "rid", "first"]), "bodies")
     total = bodies.filter(F.col("texts") <= group_texts).agg(F.sum(F.length("body"))).first()[0] or 0
     buckets = max(1, -(-int(total) // bucket_bytes))
 
@@ -322,7 +324,9 @@ def remove(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
     ranges = covered(docs.select("rid", "text").filter(F.octet_length("text") >= length), length, **options)
-    lists = materialize(ranges.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("ranges")), "ranges")
+    # Equal rows list the same ranges: one of each is left before they are collected.
+    lists = materialize(ranges.groupBy("rid", "s").agg(F.max("e").alias("e"))
+                        .groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("ranges")), "ranges")
 
     @arrow_udf("struct<n_bytes:long,n_removed:long,n_spans:long,kept_sha256:string,kept:binary>")
     def cut(texts: pa.Array, ranges: pa.Array) -> pa.Array:

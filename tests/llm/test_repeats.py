@@ -100,6 +100,24 @@ def test_random_texts_of_few_letters(spark, length):
     run(spark, texts, length)
 
 
+def test_very_many_equal_rows_are_one_list_of_ranges(spark, monkeypatch):
+    rng = random.Random(8)
+    base = text(rng, 3000)
+    kept, whole = [], R.materialize
+
+    def seen(df, name):
+        out = whole(df, name)
+        kept.append((name, out.count(), out))
+        return out
+
+    monkeypatch.setattr(R, "materialize", seen)
+    texts = [base] * 2000 + [base[:900] + text(rng, 300), text(rng, 1000)]
+    run(spark, texts, ids=[7] * 2000 + [8, 9])
+    lists = [df for name, _, df in kept if name == "ranges"][0].collect()
+    assert len(lists) == 2 and sum(len(r["ranges"]) for r in lists) < 60
+    assert all(n < 60 for name, n, _ in kept if name == "bodies")
+
+
 def test_odd_rows(spark):
     run(spark, [None, "", "short", "é" * 250, "é" * 250, None, "z" * 10], ids=[0, 1, 2, 3, 3, None, None])
     assert R.remove(documents(spark, [])).collect() == []
