@@ -13,8 +13,10 @@ documents with the smallest hashes.
 
 Defined cases: a null or empty text gets the share of label 1 among the rows
 that may be learned from; rows with a null label are not learned from;
-without labels every score is 0.5; repeated rows get equal scores; result
-columns replace input columns of the same names.
+without labels every score is 0.5; repeated rows get equal scores, whatever
+rows they are read with (cosines count to ten decimals; of neighbours that tie
+at the edge, those with smaller doc_id vote); result columns replace input
+columns of the same names.
 """
 
 from __future__ import annotations
@@ -112,17 +114,23 @@ class Voter:
         top = top[values[top] > 1e-9 * max(values.max(), 1e-12)]
         right = (x.T @ left[:, top]) / np.sqrt(values[top])
         self.project = (idf[:, None] * right).astype(np.float32)
-        self.vectors = unit(shares @ self.project)
+        self.vectors = unit(shares @ self.project).astype(np.float32)
 
     def scores(self, shares: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
         if not len(self.vectors):
             return np.full(len(shares), self.prior)
-        v = unit(shares @ self.project)
-        cosine = v @ self.vectors.T
+        v = unit(shares.astype(np.float64) @ self.project.astype(np.float64))
+        # The last digits depend on the rows of a block; without them equal
+        # documents have equal cosines and equal neighbours.
+        cosine = np.round(v @ self.vectors.astype(np.float64).T, 10)
         k = min(neighbours, cosine.shape[1])
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        # Ties at the edge: the first ones, in order of doc_id.
+        edge = np.take_along_axis(cosine, near, axis=1).min(axis=1, keepdims=True)
+        tied = np.flatnonzero((cosine >= edge).sum(axis=1) > k)
+        near[tied] = np.argsort(-cosine[tied], axis=1, kind="stable")[:, :k]
         near.sort(axis=1)
-        w = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** SHARPNESS
+        w = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** SHARPNESS
         total = w.sum(axis=1)
         vote = (w * self.labels[near]).sum(axis=1) / np.where(total > 0, total, 1)
         return np.where((total > 0) & (np.abs(v).sum(axis=1) > 0), np.clip(vote, 0, 1), self.prior)
@@ -130,7 +138,7 @@ class Voter:
 
 def unit(m: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(m, axis=1, keepdims=True)
-    return (m / np.where(n > 0, n, 1)).astype(np.float32)
+    return m / np.where(n > 0, n, 1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Voter:

@@ -54,6 +54,20 @@ def test_votes_equal_a_plain_version():
         assert abs((w * v.labels[near]).sum() / w.sum() - g) < 1e-3
 
 
+def test_scores_do_not_depend_on_the_rows_of_a_block(spark):
+    texts, label = corpus(300)
+    texts += texts[:40]                      # equal rows, equal neighbours
+    label = [*label, *(1 - y for y in label[:40])]
+    docs, labels = table(spark, texts, label)
+    voter = Q.fit(docs, labels, crc_mod("doc_id", 3) != 1, sample=60)
+    one = {r["doc_id"]: r["score"] for r in Q.score(docs.coalesce(1), voter).collect()}
+    many = {r["doc_id"]: r["score"] for r in Q.score(docs.repartition(37), voter).collect()}
+    assert one == many and all(one[i] == one[300 + i] for i in range(40))
+    shares = Q.term_shares(*text_bytes(pa.array(texts)))
+    v = Q.Voter(np.tile(shares[:1], (6, 1)), np.array([1, 1, 0, 0, 0, 0]), 0.4)
+    assert v.scores(shares[:1], neighbours=2)[0] == 1.0      # six ties: the first two vote
+
+
 def test_shares_do_not_depend_on_neighbouring_rows():
     texts, _ = corpus(30)
     whole = Q.term_shares(*text_bytes(pa.array(texts)))
