@@ -8,6 +8,11 @@ and however it is written.  Surrogates are checked against each other and
 against all originals; those that collide are drawn again until none does,
 so different entities stay different.
 
+The key is a secret of the user: ``KEY_CONF`` of the session, or an argument.
+There is no default.  Without one a random key is drawn for the application,
+so that surrogates agree within it and nobody can undo them, but those of
+another application differ.  The hash is HMAC-SHA-256.
+
 The table of entities is aggregated before any join.  Clean texts never
 leave the scan: only texts with an entity are split, joined and put together.
 
@@ -21,12 +26,16 @@ column named ``n_entities`` is replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import materialize
 
-KEY = "surrogates-1"
+# Named so that Spark redacts its value wherever it shows settings.
+KEY_CONF = "spark.lectern.surrogate.secret"
 ROUNDS = 40
 
 # Titles by gender, given names by gender and script, syllables.
@@ -152,9 +161,26 @@ def script_of(value: str) -> str:
     return f"CASE WHEN {value} rlike '[\\\\u0400-\\\\u04FF]' THEN 'cyrillic' WHEN {value} rlike '[\\\\u0370-\\\\u03FF]' THEN 'greek' ELSE 'latin' END"
 
 
-def surrogate(attempt: int, key: str = KEY) -> Column:
+_DRAWN: dict[str, str] = {}
+
+
+def secret_key(spark: SparkSession) -> str:
+    """The configured key, else the one drawn for this application."""
+    return (spark.conf.get(KEY_CONF, None) or spark.sparkContext.getConf().get(KEY_CONF)
+            or _DRAWN.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32)))
+
+
+def hmac_sha256(message: str, key: str) -> str:
+    """SQL for the HMAC (lowercase hex) of a string expression."""
+    k = key.encode()
+    k = (hashlib.sha256(k).digest() if len(k) > 64 else k).ljust(64, b"\0")
+    inner, outer = (bytes(b ^ pad for b in k).hex().upper() for pad in (0x36, 0x5C))
+    return f"sha2(concat(X'{outer}', unhex(sha2(concat(X'{inner}', encode({message}, 'UTF-8')), 256))), 256)"
+
+
+def surrogate(attempt: int, key: str) -> Column:
     """Candidate for (kind, norm): the same type and format, from a keyed hash."""
-    h = f"sha2(concat({_quoted(key)}, '|', kind, '|', norm, '|{attempt}'), 256)"
+    h = hmac_sha256(f"concat(kind, '|', norm, '|{attempt}')", key)
     dig = "concat(right(lpad(conv(substr(h, 1, 15), 16, 10), 18, '0'), 12), right(lpad(conv(substr(h, 16, 15), 16, 10), 18, '0'), 12))"
     byte = lambda k: f"cast(conv(substr(h, {2 * k + 1}, 2), 16, 10) as int)"
     body = "concat(left(norm, 1), substr(dig, 1, length(norm) - 2))"
@@ -198,9 +224,10 @@ def _with(expr: str, dig: str) -> str:
     return re.sub(r"\bh\b", "x.h", expr)
 
 
-def surrogates(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS, propose=surrogate) -> DataFrame:
+def surrogates(entities: DataFrame, key: str | None = None, rounds: int = ROUNDS, propose=surrogate) -> DataFrame:
     """``kind, norm`` (distinct; ``role`` for names) -> plus ``sur``: no two
     alike within a kind, none equal to any original."""
+    key = key or secret_key(entities.sparkSession)
     if "role" not in entities.columns:
         entities = entities.withColumn("role", F.lit("a"))
     pending = materialize(entities, "entities")
@@ -267,7 +294,7 @@ def pieces(texts: DataFrame, text: str) -> DataFrame:
     return _again(_again(found, SECOND), PATTERN["card"])
 
 
-def replace(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
+def replace(docs: DataFrame, key: str | None = None, text: str = "text") -> DataFrame:
     """``docs`` with surrogates in ``text``, plus ``n_entities`` (replaced)."""
     cols = [c for c in docs.columns if c != "n_entities"]
     found = F.col(text).rlike(HINT) & F.col(text).rlike(ANY)

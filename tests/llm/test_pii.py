@@ -99,6 +99,27 @@ def test_no_python_in_the_plan(spark):
     assert not re.search("Python|Pandas|ArrowEval|MapInArrow", plan)
 
 
+@pytest.mark.parametrize("key", ["k", "it's \\ a 'key'", "ключ", "x" * 64, "x" * 65])
+def test_the_hash_is_hmac(spark, key):
+    import hashlib
+    import hmac
+    got = spark.createDataFrame([("a|b",), ("é",)], "m STRING").selectExpr("m", f"{pii.hmac_sha256('m', key)} AS h").collect()
+    assert all(r["h"] == hmac.new(key.encode(), r["m"].encode(), hashlib.sha256).hexdigest() for r in got)
+
+
+def test_the_key_comes_from_the_session_and_has_no_default(spark, monkeypatch):
+    docs = documents(spark, ["a.bcdefgh@c.org"])
+    drawn = pii.replace(docs).first()["text"]
+    assert drawn == pii.replace(docs).first()["text"]            # one application, one key
+    monkeypatch.setattr(pii, "_DRAWN", {})
+    assert pii.replace(docs).first()["text"] != drawn            # another one
+    spark.conf.set(pii.KEY_CONF, "k1")
+    try:
+        assert pii.secret_key(spark) == "k1" and pii.replace(docs).first()["text"] == pii.replace(docs, "k1").first()["text"]
+    finally:
+        spark.conf.unset(pii.KEY_CONF)
+
+
 @pytest.mark.parametrize("key", ["k1", "k2"])
 def test_the_key_decides(spark, key):
     got = pii.replace(documents(spark, ["a.bcdefgh@c.org"]), key).first()["text"]
