@@ -17,24 +17,33 @@ LATEST_N = 100
 POSITIVE_LABEL = 1.0
 NEGATIVE_LABEL = 0.0
 
+MAX_LATEST = 10_000         # the newest records go through the driver and one window
+
 FEEDBACK_COLUMNS = ["fid", "query", "verse_id", "is_relevant", "timestamp"]
 REASON_QUERY = "query missing"
 REASON_VERSE = "verse_id missing"
 REASON_FLAG = "is_relevant not a boolean"
 
 
+def newest_rows(feedback: DataFrame, n: int) -> DataFrame:
+    """Newest ``n`` records (timestamp desc, fid desc), projected.  Sort +
+    limit plans as ``TakeOrderedAndProject``: each task keeps its own top
+    ``n`` and only those are merged."""
+    return (feedback.orderBy(F.col("timestamp").desc(), F.col("fid").desc())
+                    .limit(n)
+                    .select(*FEEDBACK_COLUMNS))
+
+
 def latest(feedback: DataFrame, n: int = LATEST_N) -> DataFrame:
-    """E1 + E2: newest ``n`` records (timestamp desc, fid desc), projected.
+    """E1 + E2: newest ``n`` records, ``n`` at most ``MAX_LATEST``.
 
-    Sort + limit plans as ``TakeOrderedAndProject``: each task keeps its
-    own top ``n`` and only those are merged.  The result has at most ``n``
-    rows by definition, so it is materialised once as a small local table;
-    the split, the lookup and the consume then reuse it instead of scanning
-    the store again for every use.
+    The result is materialised once as a small local table; the split, the
+    lookup and the consume then reuse it instead of scanning the store again
+    for every use.
     """
-    top = (feedback.orderBy(F.col("timestamp").desc(), F.col("fid").desc())
-                   .limit(n)
-                   .select(*FEEDBACK_COLUMNS))
+    if not 0 <= n <= MAX_LATEST:
+        raise ValueError(f"n must be from 0 to {MAX_LATEST}")
+    top = newest_rows(feedback, n)
     spark = feedback.sparkSession
     return spark.createDataFrame(top.collect(), top.schema)
 

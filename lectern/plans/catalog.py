@@ -163,6 +163,19 @@ def a10_feedback_stream(spark, sf):
         "fid", "query", "verse_id", "is_relevant", "timestamp")
 
 
+def a10_latest_stream(spark, sf):
+    """The newest records kept by a stream; every third request is
+    sent twice, and the query is started again when it has ended."""
+    from lectern.streaming import feedback_ingest, latest_stream
+    out = scratch_path(spark, f"latest-stream-{uuid.uuid4().hex}")
+    raw = feedback_ingest.event_requests(spark, sf)
+    sent = raw.unionByName(feedback_ingest.event_requests(spark, sf).filter("fid % 3 = 0"))
+    for _ in range(2):
+        feedback_ingest.finish(latest_stream.start_latest(
+            feedback_ingest.validated_stream(sent), f"{out}/newest", f"{out}/checkpoint"))
+    return latest_stream.read_latest(spark, f"{out}/newest")
+
+
 def a11_feedback_validate(spark, sf):
     checked = fb.validate_records(S.raw_feedback(spark, sf))
     return checked.select("fid", "query", "verse_id", "is_relevant", "reason")
@@ -547,6 +560,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "a9_feedback_consume": a9_feedback_consume,
     "a9_compacted_feedback": a9_compacted_feedback,
     "a10_feedback_stream": a10_feedback_stream,
+    "a10_latest_stream": a10_latest_stream,
     "a11_feedback_validate": a11_feedback_validate,
     "b2_line_kinds": b2_line_kinds,
     "b_parse_verses": b_parse_verses,

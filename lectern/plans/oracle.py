@@ -291,6 +291,7 @@ SQL["d12_listing"] = "WITH " + _SCORED_HITS + """
 SELECT qid, rk, source, verse AS text, printf('%.3f', score) AS score_3 FROM scored"""
 
 SQL["e1_latest_feedback"] = "WITH " + _FEEDBACK + "\nSELECT * FROM latest"
+SQL["a10_latest_stream"] = SQL["e1_latest_feedback"]
 
 SQL["e3_split"] = "WITH " + _FEEDBACK + """
 SELECT fid, query, verse_id, CASE WHEN is_relevant THEN 'positive' ELSE 'negative' END AS side

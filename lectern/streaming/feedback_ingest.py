@@ -39,6 +39,18 @@ REQUEST_SCHEMA = T.StructType([
 ])
 
 
+def with_request_ids(batch: DataFrame, epoch_id: int) -> DataFrame:
+    """Add ``fid``, a hash of the batch id, the request and its number among
+    equal requests of the batch: the same on a retry, however the batch is
+    split then.  Equal requests are counted before they are shuffled."""
+    columns = batch.columns
+    counted = batch.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = counted.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    # Nulls are skipped by the hash, so their places go in as well.
+    places = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in columns])
+    return numbered.select(*columns, F.xxhash64(F.lit(epoch_id), places, *columns, "_i").alias("fid"))
+
+
 def start_ingest(checked: DataFrame, out_dir: str, checkpoint: str,
                  available_now: bool = True):
     """A10: write valid records to ``out_dir/valid`` and malformed ones to
@@ -51,10 +63,7 @@ def start_ingest(checked: DataFrame, out_dir: str, checkpoint: str,
     """
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         if "fid" not in batch.columns:
-            # Request id from the batch id and the row's position in the
-            # batch: the same on a retry of the same batch.
-            batch = batch.withColumn("fid", F.xxhash64(F.lit(epoch_id),
-                                                       F.monotonically_increasing_id()))
+            batch = with_request_ids(batch, epoch_id)
         batch = batch.persist()
         (batch.filter(F.col("reason").isNull()).drop("reason")
               .write.mode("overwrite").parquet(f"{out_dir}/valid/batch={epoch_id}"))
@@ -90,10 +99,10 @@ def ingest_json_requests(spark: SparkSession, in_dir: str, out_dir: str,
     return start_ingest(checked, out_dir, f"{out_dir}/_checkpoint", available_now)
 
 
-def ingest_events_once(spark: SparkSession, sf_dir: str, out_dir: str, files_per_trigger: int = 100) -> None:
-    """Stream the ``events`` table of a driver folder, one file or a folder
-    of part files, as feedback requests (stand-in mapping of
-    ``standins.feedback``) into ``out_dir``."""
+def event_requests(spark: SparkSession, sf_dir: str, files_per_trigger: int = 100) -> DataFrame:
+    """The ``events`` table of a driver folder, one file or a folder of part
+    files, as a stream of feedback requests (stand-in mapping of
+    ``standins.feedback``)."""
     events_schema = S.table(spark, sf_dir, "events").schema
     path = f"{sf_dir.rstrip('/')}/events.parquet"
     reader = spark.readStream.schema(events_schema).option("maxFilesPerTrigger", files_per_trigger)
@@ -104,14 +113,23 @@ def ingest_events_once(spark: SparkSession, sf_dir: str, out_dir: str, files_per
         stream = reader.parquet(path)
     else:
         stream = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    raw = stream.select(
+    return stream.select(
         F.col("event_id").alias("fid"),
         F.col("event_type").alias("query"),
         F.col("user_id").cast("string").alias("verse_id"),
         F.when(F.col("event_type").isin(*S.RELEVANT_EVENTS), "true")
          .otherwise("false").alias("is_relevant"),
         F.col("ts").alias("timestamp"))
-    q = start_ingest(validated_stream(raw), out_dir, f"{out_dir}/_checkpoint")
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise q.exception()
+
+
+def finish(query) -> None:
+    """Wait for a query and raise what it failed with."""
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+
+
+def ingest_events_once(spark: SparkSession, sf_dir: str, out_dir: str, files_per_trigger: int = 100) -> None:
+    """Stream the ``events`` table of a driver folder into ``out_dir``."""
+    raw = event_requests(spark, sf_dir, files_per_trigger)
+    finish(start_ingest(validated_stream(raw), out_dir, f"{out_dir}/_checkpoint"))
