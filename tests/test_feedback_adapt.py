@@ -123,3 +123,15 @@ def test_pluggable_model_encoder(spark):
     out = {r.id: r.embedding for r in encode.encode_with_model(df, LengthModel, dim=2).collect()}
     assert out == {1: [2.0, 1.0], 2: [5.0, 3.0], 3: [0.0, 0.0]}
     assert encode.vector_dimension(encode.encode_with_model(df, LengthModel)) == 2
+
+
+def test_feedback_without_a_pair_is_published_unchanged(spark, tmp_path):
+    from lectern.plans import catalog
+    sf = str(tmp_path)
+    spark.createDataFrame([(0, "one\ntwo", "src0"), (1, "three", "src1")], "doc_id LONG, text STRING, source STRING") \
+        .write.parquet(f"{sf}/documents.parquet")
+    spark.range(150).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "id + 5000 AS user_id",
+                                "'click' AS event_type").write.parquet(f"{sf}/events.parquet")
+    rows = catalog.e11_adapt_publish_consume(spark, sf).collect()
+    assert sorted(r.fid for r in rows) == list(range(150))      # nothing was trained on, nothing is consumed
+    assert {(r.version, r.n_vectors, r.dim, r.n_weights) for r in rows} == {("adapted-1", 2, 64, 64)}
