@@ -18,6 +18,7 @@ its own and the model has byte pieces.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,6 +32,7 @@ from lectern.llm.common import bounded_batches, process_cache, text_bytes
 from lectern.llm.memo import PartTable, cuts
 
 MARK = "▁"
+WHOLE = 64               # characters of a part that is searched at once
 UNKNOWN_PENALTY = 10.0   # below the smallest score, as the library has it
 
 
@@ -48,6 +50,8 @@ class Model:
         if any(MARK in p.lstrip(MARK) for p in self.pieces):
             raise ValueError("a piece joins a space mark to the character before it")
         self.longest = max(map(len, self.pieces))
+        # Scores of the pieces; None for what only begins a longer piece.
+        self.scores = {p[:k]: None for p in self.pieces for k in range(1, len(p))} | {p: s for p, (_, s) in self.pieces.items()}
         self.unk_score = min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY
         raw = [b""] * n
         for p, (i, _) in self.pieces.items():
@@ -103,6 +107,25 @@ class Model:
         if text:
             yield self._trace(text, came, len(text))
 
+    def search(self, text: str) -> list[int]:
+        """Ids of a text that is there whole: ``stream``'s segmentation, found
+        from each boundary forwards for as long as a piece may still begin so."""
+        n = len(text)
+        score, came = [0.0] + [-math.inf] * n, [0] * (n + 1)
+        scores, unknown, none = self.scores, self.unk_score, math.nan
+        for start in range(n):
+            here, end = score[start], start + 1
+            got = scores.get(text[start:end], none)
+            s = here + (unknown if got is None or got is none else got)
+            if s > score[end]:
+                score[end], came[end] = s, start
+            while got is not none and end < n:
+                end += 1
+                got = scores.get(text[start:end], none)
+                if got is not None and here + got > score[end]:     # false for none
+                    score[end], came[end] = here + got, start
+        return self._trace(text, came, n) if n else []
+
     def _trace(self, text: str, came: list[int], end: int) -> list[int]:
         parts = []
         while end:
@@ -128,7 +151,8 @@ def _model(path: str) -> tuple[Model, PartTable]:
         model = Model(path)
 
         def search(parts: list[str]) -> list[list[int]]:
-            return [[i for ids in model.stream([p.replace(" ", MARK)]) for i in ids] for p in parts]
+            marked = [p.replace(" ", MARK) for p in parts]
+            return [model.search(p) if len(p) <= WHOLE else [i for ids in model.stream([p]) for i in ids] for p in marked]
         kept[path] = model, PartTable(search)
     return kept[path]
 

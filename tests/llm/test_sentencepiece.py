@@ -101,3 +101,30 @@ def test_columns(spark, model, model_path):
 
 def test_marks_in_the_text_read_as_spaces(model):
     assert model.decode(model.encode("a▁b")) == "a b"
+
+
+def test_a_short_part_is_searched_forwards_with_the_same_ids_and_fewer_lookups(model):
+    import random
+    r, looked = random.Random(5), [0, 0]
+
+    class Counted(dict):
+        def get(self, key, default=None):
+            looked[self.which] += 1
+            return super().get(key, default)
+
+    counted = object.__new__(S.Model)
+    counted.__dict__ |= model.__dict__
+    counted.scores, counted.pieces = Counted(model.scores), Counted(model.pieces)
+    counted.scores.which, counted.pieces.which = 0, 1
+    pieces = list(model.pieces)
+    for _ in range(3000):
+        text = "".join(r.choice([r.choice(pieces), r.choice("abé漢 z9.-▁")]) for _ in range(r.randint(0, 9)))[:S.WHOLE]
+        assert model.search(text) == [i for ids in model.stream([text]) for i in ids]
+    looked[:] = [0, 0]
+    words = ["▁thenanor", "▁andreorstnt", "▁verberge.", "▁isonreingsh", "▁onviment,"] * 20
+    for w in words:
+        counted.search(w)
+    forward, looked[:] = looked[0], [0, 0]
+    for w in words:
+        list(counted.stream([w]))
+    assert forward < 0.8 * looked[1]
