@@ -16,8 +16,12 @@ Groups of copies: documents with equal sets become one node first.  Every
 prefix token has a few leaders among its nodes, and a node is compared with at
 most ``LEADERS`` leaders of its tokens (linear in the group); the links merge
 components.  Only what is then left, nodes of *different* components that share
-a prefix token, is paired.  The components are those of all links, but a large
-group of near copies never becomes all its pairs.
+a prefix token, is compared, within the join on the token: every node has a
+bitmap of its whole set, and only pairs that two bitmaps leave possible become
+rows.  A bit that one set has and the other lacks is a token that only one has,
+so no link is lost, and of the pairs below the threshold few are left.  The
+components are those of all links, but a large group of near copies never
+becomes all its pairs.
 
 Sets hold 64-bit hashes of shingles, and a node is the 64-bit hash of a set.
 
@@ -50,6 +54,7 @@ HOT_IN_CHUNK = 2         # documents of a chunk that make a token worth counting
 HOT_AT_LEAST = 6
 CHUNK_TOKENS = 1 << 22   # tokens counted at once in a task
 CELLS = 1 << 13          # counts of a sketch at most
+BITS = 1 << 11           # bits of a set's bitmap (256 bytes), the same for every set
 
 _PLACE = mix64(np.arange(11, 43, dtype=np.uint64))
 _ORDER = mix64(np.arange(101, 133, dtype=np.uint64))
@@ -120,6 +125,21 @@ def at_most(a: bytes, b: bytes) -> int:
     return int(np.minimum(x.reshape(n, -1).sum(axis=1), y.reshape(n, -1).sum(axis=1)).sum())
 
 
+def bitmap(x: np.ndarray) -> np.ndarray:
+    """One bit for each token: those of two sets differ in at most as many
+    bits as the sets differ in tokens."""
+    inside = np.zeros(BITS, dtype=bool)
+    inside[(mix64(x ^ _ORDER[-2]) & np.uint64(BITS - 1)).astype(np.int64)] = True
+    return np.packbits(inside).view(np.uint64)
+
+
+def may_link(a: str, b: str, percent: int = PERCENT) -> str:
+    """SQL: sizes and bitmaps of two sets do not rule their similarity out.  The
+    overlap is at most half of what the sizes leave after the bits that differ."""
+    differ = f"aggregate(zip_with({a}.bits, {b}.bits, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c)"
+    return f"(100 + {percent}) * {differ} <= (100 - {percent}) * ({a}.n + {b}.n)"
+
+
 def _longs(arrays: list[np.ndarray]) -> pa.Array:
     flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
     stop = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
@@ -175,14 +195,15 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, orders: in
                  pa.array([set_hash(x) if len(x) else None for x in sets], pa.int64()),
                  pa.array([len(x) for x in sets], pa.int64()),
                  _longs([prefix(x, 0, hot.value, percent) if len(x) else x for x in sets]),
-                 pa.array([sketch(x) for x in sets], pa.binary())],
-                ["doc_id", "nid", "n", "prefix", "sketch"])
+                 pa.array([sketch(x) for x in sets], pa.binary()), _longs([bitmap(x) for x in sets])],
+                ["doc_id", "nid", "n", "prefix", "sketch", "bits"])
         release()
 
-    signed = materialize(docs.mapInArrow(signatures, "doc_id LONG, nid LONG, n LONG, prefix ARRAY<LONG>, sketch BINARY"), "signatures")
+    signed = materialize(docs.mapInArrow(signatures, "doc_id LONG, nid LONG, n LONG, prefix ARRAY<LONG>, sketch BINARY, bits ARRAY<LONG>"),
+                         "signatures")
     nodes = materialize(signed.filter("n > 0").groupBy("nid").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
-        F.first("sketch").alias("sketch")), "nodes")
+        F.first("sketch").alias("sketch"), F.first("bits").alias("bits")), "nodes")
 
     # Tokens that several nodes have in their prefixes, with the smallest node.
     # ``early``: the token counts towards sets that are not smaller.  Without
@@ -225,10 +246,10 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, orders: in
         return pa.array([i < 0 or 100 * i >= percent * (n - i) for i, n in zip(bound, both.to_pylist())], pa.bool_())
 
     def plausible(pairs: DataFrame) -> DataFrame:
-        side = lambda s: nodes.select(F.col("nid").alias(s), F.col("n").alias(f"{s}_n"), F.col("sketch").alias(f"{s}_s"))
+        side = lambda s: nodes.select(F.col("nid").alias(s), F.struct("n", "bits").alias(f"_{s}"), F.col("sketch").alias(f"{s}_s"))
         near = (pairs.join(side("a"), "a").join(side("b"), "b")
-                .filter(F.lit(100) * F.least("a_n", "b_n") >= F.lit(percent) * F.greatest("a_n", "b_n")))
-        return materialize(near.filter(possible("a_s", "b_s", F.col("a_n") + F.col("b_n"))).select("a", "b"), "plausible")
+                .filter(f"100 * least(_a.n, _b.n) >= {percent} * greatest(_a.n, _b.n) AND " + may_link("_a", "_b", percent)))
+        return materialize(near.filter(possible("a_s", "b_s", F.col("_a.n") + F.col("_b.n"))).select("a", "b"), "plausible")
 
     def whole(batches):
         for rb in batches:
@@ -277,9 +298,9 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, orders: in
     placed = materialize(led.join(comp, led["nid"] == comp["node"], "left").select(
         "token", "nid", "n", "early", F.coalesce("component", "nid").alias("comp")), "placed")
     mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    rest = placed.join(mixed, "token")
+    rest = placed.join(mixed, "token").join(nodes.select("nid", "bits"), "nid")
     cross = (rest.alias("x").join(rest.alias("y"), "token")
-             .filter("x.nid < y.nid AND x.comp <> y.comp AND " + meet.format(a="x", b="y"))
+             .filter("x.nid < y.nid AND x.comp <> y.comp AND " + meet.format(a="x", b="y") + " AND " + may_link("x", "y", percent))
              .select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b")).distinct())
     cross = plausible(cross)
     discard(led, placed, star)

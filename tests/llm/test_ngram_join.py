@@ -100,6 +100,41 @@ def test_prefixes_of_all_orders_keep_every_link():
                 assert len(np.intersect1d(a, b))
 
 
+def test_bitmaps_differ_in_at_most_as_many_bits_as_sets_in_tokens():
+    import numpy as np
+    rng = np.random.default_rng(4)
+    for n in (1, 30, 400, 5000):
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.9], rng.integers(0, 1 << 63, n // 20, dtype=np.uint64)]))
+        a, b = ngram_join.bitmap(x), ngram_join.bitmap(y)
+        assert len(a) * 64 == ngram_join.BITS
+        assert sum(int(v).bit_count() for v in a ^ b) <= len(np.setxor1d(x, y))
+    assert not ngram_join.bitmap(np.zeros(0, np.uint64)).any()
+
+
+def test_pairs_just_below_the_threshold_do_not_become_rows(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for _ in range(60):         # two of them share 0.8 of their shingles
+        w = list(base)
+        i = rng.randrange(10, 60)
+        w[i], w[i + 60] = f"e{rng.random()}", f"e{rng.random()}"
+        texts.append(" ".join(w))
+    seen, write = [], ngram_join.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "plausible":
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    run(spark, texts)
+    # Of 1,770 pairs about a tenth are linked or nearly so.
+    assert len(seen) == 2 and sum(seen) < 400
+
+
 def test_one_row_of_each_group_stays(spark):
     texts = ["a b c d e"] * 3 + ["other words that stay here", None, "", "no id one two", "no id three four", "a b c d e"]
     docs = documents(spark, texts, ids=[4, 2, 9, 5, 7, 8, None, None, 2])
