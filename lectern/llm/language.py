@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from lectern.llm.common import bounded_batches, mix64, process_cache, run_hashes, runs, text_bytes
+from lectern.llm.common import bounded_batches, mix64, process_cache, release, run_hashes, runs, text_bytes
 
 SAMPLE_DOCS = 200        # labelled documents of each language that the fit sees
 SAMPLE_RUNS = 250        # runs of letters of each of them
@@ -227,6 +227,7 @@ def training_sample(docs: DataFrame, learn: Column, docs_per_label: int = SAMPLE
 
     @arrow_udf("string")
     def some_runs(texts: pa.Array) -> pa.Array:
+        process_cache("language")       # what an earlier stage kept goes before the first batch
         data, offsets = text_bytes(texts)
         s, e, row = letter_runs(data, offsets, WINDOW)
         order = np.argsort(mix64(run_hashes(data, s, e) + np.arange(len(s), dtype=np.uint64)), kind="stable")
@@ -310,9 +311,13 @@ def classify(docs: DataFrame, net: Network, label: str = "lang_pred", score: str
         # Single-precision sums differ in the last digits with the batch a run is computed in.
         p = np.round(np.clip(total[np.arange(len(texts)), best] / np.where(mass > 0, mass, 1), 0, 1), 6)
         names = [model.labels[b] if w > 0 else UNDETERMINED for b, w in zip(best.tolist(), mass.tolist())]
+        release()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(p, pa.float64())], ["label", "score"])
 
     letters = F.col("text").rlike(r"\p{L}")
-    got = docs.withColumn("_got", pooled(F.col("text")))
+    # As if not deterministic: a caller's filter on the label would otherwise be
+    # pushed below this step with a labelling of its own, and every text be
+    # labelled twice, in two workers for each task.
+    got = docs.withColumn("_got", pooled.asNondeterministic()(F.col("text")))
     return (got.withColumn(label, F.when(letters, F.col("_got.label")).otherwise(UNDETERMINED))
             .withColumn(score, F.when(letters, F.col("_got.score")).otherwise(0.0)).drop("_got"))

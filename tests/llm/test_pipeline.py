@@ -86,3 +86,9 @@ def test_missing_languages_come_from_the_network(spark):
     rows = [(f"{en} {i}", "en") for i in range(10)] + [(f"{el} {i}", "el") for i in range(10)] + [(en, None), (el, None), ("12 34", None), (el, "en")]
     got = {r["doc_id"]: r["lang"] for r in C.language_id(spark, pipeline_rows(spark, rows), "").collect()}
     assert got == {**{i: lang for i, (_, lang) in enumerate(rows[:20])}, 20: "en", 21: "el", 23: "en"}
+
+
+def test_a_text_is_labelled_once(spark):
+    rows = [("the house and the river", "en"), ("το σπίτι και το ποτάμι", "el"), ("12", None)]
+    plan = C.language_id(spark, pipeline_rows(spark, rows), "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("pooled(") == 1
