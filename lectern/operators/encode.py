@@ -30,6 +30,7 @@ from lectern.session import bounded_batches
 DEFAULT_DIM = 384
 TOKEN_PATTERN = "[a-z0-9]+"
 HASH_HEX_DIGITS = 7
+BLOCK_TEXTS = 128        # texts encoded at once
 KEPT_TOKENS = 200_000    # tokens whose buckets a worker keeps between batches
 
 
@@ -83,19 +84,23 @@ def _unit_vectors(dim: int):
     def to_unit(texts: pa.Array) -> pa.Array:
         of = kept.setdefault(dim, Buckets(dim))
         find, n = re.compile(TOKEN_PATTERN).findall, len(texts)
-        lengths, flat = np.zeros(n, np.int64), []
-        for i, text in enumerate(texts.to_pylist()):
-            found = find(text)
-            lengths[i] = len(found)
-            flat.append(np.fromiter(map(of.__getitem__, found), np.int32, len(found)))
-        rows = np.repeat(np.arange(n, dtype=np.int64), lengths)
-        counts = np.bincount(rows * dim + np.concatenate([np.zeros(0, np.int32), *flat]), minlength=n * dim)
-        counts = counts.reshape(n, dim).astype(np.float64)
-        norms = np.sqrt((counts * counts).sum(axis=1))
-        norms[norms == 0] = 1.0
-        unit = (counts / norms[:, None]).astype(np.float32).ravel()
+        unit = np.empty((n, dim), np.float32)
+        # A few texts at a time: counts and their products take eight bytes a cell.
+        for s in range(0, n, BLOCK_TEXTS):
+            part = texts.slice(s, BLOCK_TEXTS).to_pylist()
+            lengths, flat = np.zeros(len(part), np.int64), []
+            for i, text in enumerate(part):
+                found = find(text)
+                lengths[i] = len(found)
+                flat.append(np.fromiter(map(of.__getitem__, found), np.int32, len(found)))
+            rows = np.repeat(np.arange(len(part), dtype=np.int64), lengths)
+            counts = np.bincount(rows * dim + np.concatenate([np.zeros(0, np.int32), *flat]), minlength=len(part) * dim)
+            counts = counts.reshape(len(part), dim).astype(np.float64)
+            norms = np.sqrt((counts * counts).sum(axis=1))
+            norms[norms == 0] = 1.0
+            unit[s:s + len(part)] = counts / norms[:, None]
         offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
-        return pa.ListArray.from_arrays(offsets, pa.array(unit, pa.float32()))
+        return pa.ListArray.from_arrays(offsets, pa.array(unit.ravel(), pa.float32()))
     return to_unit
 
 
