@@ -54,7 +54,7 @@ HOT_IN_CHUNK = 2         # documents of a chunk that make a token worth counting
 HOT_AT_LEAST = 6
 CHUNK_TOKENS = 1 << 22   # tokens counted at once in a task
 CELLS = 1 << 13          # counts of a sketch at most
-BITS = 1 << 11           # bits of a set's bitmap (256 bytes), the same for every set
+BITS = 1 << 10           # bits of a set's bitmap (128 bytes), the same for every set
 
 _PLACE = mix64(np.arange(11, 43, dtype=np.uint64))
 _ORDER = mix64(np.arange(101, 133, dtype=np.uint64))
