@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from lectern.llm import catalog
 from lectern.llm import repeats as R
 from tests.llm.conftest import documents
 
@@ -121,3 +122,23 @@ def test_very_many_equal_rows_are_one_list_of_ranges(spark, monkeypatch):
 def test_odd_rows(spark):
     run(spark, [None, "", "short", "é" * 250, "é" * 250, None, "z" * 10], ids=[0, 1, 2, 3, 3, None, None])
     assert R.remove(documents(spark, [])).collect() == []
+
+
+def test_the_query_returns_the_text_that_stays(spark, tmp_path):
+    rng = random.Random(9)
+    words = lambda n: " ".join(text(rng, 7, "abcdefghij") for _ in range(n))
+    passage, short = words(80), words(49)
+    a, b, c = words(60), words(70), words(20)
+    # The last bytes that match end within a character: é and è share their first byte.
+    texts = [f"{a}\n{passage}\n{b}", f"{c}\n{passage}\n{a[:50]}", f"{b[:99]}|{short}|", f"{c}#{short}#", None,
+             "x" * 10 + "é" * 199 + "aé", "y" * 10 + "é" * 199 + "aè"]
+    documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    out = catalog.op4_suffix_repeats(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    want = brute(texts, R.LENGTH)
+    assert {i: tuple(r)[1:5] for i, r in got.items()} == {i: w[:4] for i, w in enumerate(want)}
+    assert {i: r["text"] for i, r in got.items()} == {i: w[4].decode("utf-8", "replace") for i, w in enumerate(want)}
+    assert passage not in got[0]["text"] and got[0]["text"].startswith(a) and got[0]["text"].endswith(b)
+    assert len(short.encode()) < R.LENGTH and [got[i]["text"] for i in (2, 3)] == texts[2:4]
+    assert got[5]["text"] == "x" * 10 + "\ufffd" and got[6]["text"] == "y" * 10 + "\ufffd"
