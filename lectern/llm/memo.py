@@ -13,6 +13,7 @@ import numpy as np
 from lectern.llm.common import run_hashes
 
 MAX_PARTS = 700_000    # parts a worker keeps between batches (about 30 bytes each)
+AT_ONCE = 1 << 15      # parts looked up at a time: what a lookup needs besides is a multiple of it
 
 
 class PartTable:
@@ -45,8 +46,14 @@ class PartTable:
 
     def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all parts one after another, and the number of ids of each."""
-        if not len(starts):
-            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        ids, sizes = [np.zeros(0, np.int32)], np.zeros(len(starts), np.int64)
+        for i in range(0, len(starts), AT_ONCE):
+            k = slice(i, i + AT_ONCE)
+            got, sizes[k] = self._some(data, starts[k], ends[k])
+            ids.append(got)
+        return np.concatenate(ids), sizes
+
+    def _some(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys, where, at = np.unique(run_hashes(data, starts, ends), return_index=True, return_inverse=True)
         known = np.searchsorted(self.keys, keys)
         new = (known == len(self.keys)) | (self.keys[np.minimum(known, max(0, len(self.keys) - 1))] != keys if len(self.keys) else True)
@@ -54,9 +61,8 @@ class PartTable:
             if len(self.keys) > self.max_parts:
                 self.reset()
                 new[:] = True
-            raw = data.tobytes()
             pick = where[new]
-            self._learn(keys[new], [raw[s:e].decode("utf-8") for s, e in zip(starts[pick].tolist(), ends[pick].tolist())])
+            self._learn(keys[new], [data[s:e].tobytes().decode("utf-8") for s, e in zip(starts[pick].tolist(), ends[pick].tolist())])
             known = np.searchsorted(self.keys, keys)
         slot = known[at]
         n = self.size[slot].astype(np.int64)

@@ -128,3 +128,46 @@ def test_a_short_part_is_searched_forwards_with_the_same_ids_and_fewer_lookups(m
     for w in words:
         list(counted.stream([w]))
     assert forward < 0.8 * looked[1]
+
+
+def test_a_lookup_needs_little_beside_its_parts(monkeypatch):
+    """Few parts at a time: the ids are those of one lookup of all parts, and
+    what it needs besides them does not grow with the parts of a batch."""
+    import tracemalloc
+
+    import numpy as np
+
+    from lectern.llm import memo
+
+    words = [f" w{k}" for k in range(500)]
+    picked = [words[k * k % 500] for k in range(400_000)]
+    data = np.frombuffer("".join(picked).encode(), np.uint8)
+    ends = np.cumsum([len(w) for w in picked])
+    starts = np.append(0, ends[:-1])
+
+    def lookup():
+        return memo.PartTable(lambda parts: [[len(p), int(p[2:])] for p in parts]).encode(data, starts, ends)
+
+    tracemalloc.start()
+    ids, sizes = lookup()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids.reshape(-1, 2).tolist() == [[len(w), int(w[2:])] for w in picked] and set(sizes.tolist()) == {2}
+    assert peak - ids.nbytes - sizes.nbytes < 40 * len(picked)
+    monkeypatch.setattr(memo, "AT_ONCE", len(picked))
+    assert all(np.array_equal(a, b) for a, b in zip(lookup(), (ids, sizes)))
+
+
+def test_a_table_that_fills_up_within_a_batch_gives_the_same_ids(monkeypatch):
+    import numpy as np
+
+    from lectern.llm import memo
+
+    monkeypatch.setattr(memo, "AT_ONCE", 7)
+    words = [f" {k % 40}" for k in range(300)]
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    table = memo.PartTable(lambda parts: [[int(p)] * (int(p) % 3) for p in parts], max_parts=10)
+    ids, sizes = table.encode(data, np.append(0, ends[:-1]), ends)
+    assert sizes.tolist() == [int(w) % 3 for w in words]
+    assert ids.tolist() == [int(w) for w in words for _ in range(int(w) % 3)]
