@@ -120,6 +120,24 @@ def test_adapt_cycle_publishes_then_consumes(spark, tmp_path):
         jobs.current_index(spark, root, dim=16)
 
 
+def test_answers_and_responses_shuffle_the_verses_once(spark):
+    from lectern.operators import encode
+    from pyspark.sql import functions as F
+    meta = spark.createDataFrame([(i, f"B+T-0-{i}", f"verse {w}", f"T 0.{i}") for i, w in enumerate("abcdefgh")],
+                                 "vec_id LONG, verse_id STRING, text STRING, source STRING")
+    vectors = encode.encode_hashed(meta, "text").select("vec_id", "embedding")
+    requests = spark.createDataFrame([(1, "verse a", 2), (2, " ", 3), (3, "verse c", 11), (4, "verse d", None)],
+                                     "qid LONG, query STRING, k INT")
+    out = jobs.answer_batch(vectors, meta, requests)
+    both = out["responses"].select("qid", F.col("results.verse").alias("v")).unionByName(
+        out["answers"].select("qid", F.col("context.verse").alias("v")))
+    got = sorted((r.qid, len(r.v), r.v[0]) for r in both.collect())
+    assert got == [(1, 2, "verse a"), (1, 2, "verse a"), (3, 8, "verse c"), (4, 5, "verse d"), (4, 5, "verse d")]
+    # One shuffle of hits with their verses, read by both tables.
+    plan = both._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") >= 1
+
+
 def test_stream_ingest_splits_valid_and_rejected(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
